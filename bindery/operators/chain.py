@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery.functions import text
+from bindery.operators.skew import spread_join
 from bindery.schemas import KEY3
 
 # Audit actions and texts.
@@ -80,10 +81,9 @@ def history(versions: DataFrame, report_ids: DataFrame) -> DataFrame:
         .distinct()
     )
     totals = versions.groupBy(*KEY3).agg(F.count("*").alias("total_versions"))
-    # The groups are distinct, so the join to the versions cannot multiply rows;
-    # a long group on the versions' side is split by the skew-join rule.
+    # The groups are distinct, so the join to the versions cannot multiply rows.
     wanted = totals.join(groups, list(KEY3), "left_semi")
-    return versions.join(wanted, list(KEY3))
+    return spread_join(versions, wanted, KEY3, "inner", spread_by=("report_id", "version"))
 
 
 HISTORY_ORDER = ("version", "uploaded_at", "report_id")

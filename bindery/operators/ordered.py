@@ -13,18 +13,15 @@ rows, so a sketch is good enough to choose them.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-SEGMENT = "_segment"
-SEGMENT_ROWS = 2_000_000
+from bindery.operators.skew import HOT_ROWS, flagged, hot_keys
 
-# Bounds of the sketch: at most HOT_LIMIT keys come out of it, so its result
-# can always be broadcast; a key above 3.5 / TRACKED of all rows is sure to be in.
-HOT_LIMIT = 20_000
-TRACKED = 100_000
+SEGMENT = "_segment"
+SEGMENT_ROWS = HOT_ROWS
 
 
 @dataclass(frozen=True)
@@ -43,21 +40,6 @@ class Order:
         return Window.partitionBy(*self.parts).orderBy(self.seq)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], more_than: int) -> DataFrame:
-    """Hashes of the keys with (by estimate) more than `more_than` rows.
-
-    One pass over the key columns; each task sends on a sketch, not rows.
-    """
-    top = F.expr(f"approx_top_k(_key_hash, {HOT_LIMIT}, {TRACKED})")
-    return (
-        df.select(F.xxhash64(*keys).alias("_key_hash"))
-        .agg(top.alias("top"))
-        .select(F.inline("top"))
-        .where(F.col("count") > more_than)
-        .select(F.col("item").alias("_hot_hash"))
-    )
-
-
 def segmented(
     df: DataFrame, order: Order, segment_rows: int = SEGMENT_ROWS
 ) -> tuple[DataFrame, Order]:
@@ -67,18 +49,12 @@ def segmented(
     the plan keeps to plain windows. Otherwise rows gain a segment column, null
     for the ordinary keys.
     """
-    hot = hot_keys(df, order.keys, segment_rows).collect()
+    hot = hot_keys(df, order.keys, segment_rows)
     if not hot:
         return df, order
-    hashes = df.sparkSession.createDataFrame(hot, "_hot_hash bigint")
     number = F.floor(F.col(order.seq) / F.lit(segment_rows)).cast("long")
-    cut = (
-        df.withColumn("_key_hash", F.xxhash64(*order.keys))
-        .join(F.broadcast(hashes), F.col("_key_hash") == F.col("_hot_hash"), "left")
-        .withColumn(SEGMENT, F.when(F.col("_hot_hash").isNotNull(), number))
-        .drop("_key_hash", "_hot_hash")
-    )
-    return cut, replace(order, cut=True)
+    cut = flagged(df, order.keys, hot).withColumn(SEGMENT, F.when(F.col("_is_hot"), number))
+    return cut.drop("_is_hot"), replace(order, cut=True)
 
 
 def _carried(

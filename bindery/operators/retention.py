@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from bindery.operators.skew import SALTS, spread_join
 from bindery.schemas import KEY3
 
 # Default retention.
 KEEP_VERSIONS = 3
 MAX_AGE_DAYS = 90
 
-SALTS = 256
 ROW_ID = ("report_id", "version")
 
 
@@ -53,7 +53,7 @@ def purge_plan(
     if report_ids is not None:
         anchors = report_ids.select("report_id").distinct()
         groups = versions.join(anchors, "report_id", "left_semi").select(*group).distinct()
-        versions = versions.join(groups, list(group), "left_semi")
+        versions = spread_join(versions, groups, group, "left_semi", spread_by=ROW_ID)
     inactive = versions.where(~F.col("active"))
     held = versions.groupBy(*group).agg(F.count_if("active").alias("n_active"))
     kept = (

@@ -155,40 +155,42 @@ def step_text(prefix: str, changed: F.Column, version: F.Column) -> F.Column:
     )
 
 
-def version_rows(routed: DataFrame) -> DataFrame:
-    """The rows a routed batch appends to the version table."""
-    tpl = "stored_tpl"
-    return routed.where("is_new_version").select(
+def as_versions(rows: DataFrame, change: F.Column) -> DataFrame:
+    """Version rows from flat ones with the effective files of the record."""
+
+    def per_file(column: str, suffix: str = "") -> F.Column:
+        pairs = zip(("json", "sql", "tpl"), FILE_TYPES)
+        return F.struct(*[F.col(f"{s}_{column}").alias(f"{f}{suffix}") for s, f in pairs])
+
+    return rows.select(
         "report_id",
         *KEY4[:3],
         "name",
-        F.struct(
-            F.col("json_name").alias("json_config"),
-            F.col("stored_sql_name").alias("sql_file"),
-            F.col(f"{tpl}.tpl_name").alias("template"),
-        ).alias("original_files"),
+        per_file("name").alias("original_files"),
         # Blobs are addressed by content, so the checksum is the blob id.
-        F.struct(
-            F.col("json_sum").alias("json_config_id"),
-            F.col("sql_sum").alias("sql_file_id"),
-            F.col(f"{tpl}.tpl_sum").alias("template_id"),
-        ).alias("file_contents"),
-        F.struct(
-            F.col("json_sum").alias("json_config"),
-            F.col("sql_sum").alias("sql_file"),
-            F.col(f"{tpl}.tpl_sum").alias("template"),
-        ).alias("checksums"),
-        F.struct(
-            F.col("json_size").alias("json_config"),
-            F.col("sql_size").alias("sql_file"),
-            F.col(f"{tpl}.tpl_size").alias("template"),
-        ).alias("file_sizes"),
+        per_file("sum", "_id").alias("file_contents"),
+        per_file("sum").alias("checksums"),
+        per_file("size").alias("file_sizes"),
         "uploaded_at",
         "version",
-        F.when(F.col("version") == 1, CREATED_TEXT)
-        .otherwise(step_text(CHANGED_TEXT, F.col("changed"), F.col("version")))
-        .alias("change"),
+        change.alias("change"),
+    )
+
+
+def version_rows(routed: DataFrame) -> DataFrame:
+    """The rows a routed batch appends to the version table."""
+    effective = routed.where("is_new_version").withColumns(
+        {
+            "sql_name": F.col("stored_sql_name"),
+            "tpl_name": F.col("stored_tpl.tpl_name"),
+            "tpl_sum": F.col("stored_tpl.tpl_sum"),
+            "tpl_size": F.col("stored_tpl.tpl_size"),
+        }
+    )
+    change = F.when(F.col("version") == 1, CREATED_TEXT).otherwise(
+        step_text(CHANGED_TEXT, F.col("changed"), F.col("version"))
     )
+    return as_versions(effective, change)
 
 
 def create_only(
