@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from bindery.functions.text import is_blank
 
@@ -49,7 +49,12 @@ def config_finding(text: Column) -> Column:
     )
 
 
-@F.pandas_udf("struct<finding string, name string>")
+_FACTS = T.StructType(
+    [T.StructField("finding", T.StringType()), T.StructField("name", T.StringType())]
+)
+
+
+@F.pandas_udf(_FACTS)
 def strict_config(content: pd.Series) -> pd.DataFrame:
     """Exact JSON reading for configs with NaN, duplicate keys or trailing text."""
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery.functions import fingerprint as fp
 from bindery.operators.skew import spread_join
 from bindery.schemas import FILE_TYPES
 
+UPLOAD = ("seq", "file_type")
 _SHORT = dict(zip(("json", "sql", "tpl"), FILE_TYPES))
 
 
@@ -18,13 +21,10 @@ def _file(short: str, *columns: str) -> Column:
     )
 
 
-def uploads(routed: DataFrame) -> DataFrame:
-    """One row per file that a routed bundle changes, without its content."""
-    flags = {"json": "json_changed", "sql": "sql_changed", "tpl": "tpl_changed"}
-    files = F.array(
-        *[F.when(F.col(flag), _file(s, "name", "sum", "size")) for s, flag in flags.items()]
-    )
-    return routed.select("seq", F.explode(files).alias("f")).where(F.col("f").isNotNull()).select(
+def _uploads(rows: DataFrame, wanted: dict[str, Column]) -> DataFrame:
+    files = F.array(*[F.when(w, _file(s, "name", "sum", "size")) for s, w in wanted.items()])
+    each = rows.select("seq", F.explode(files).alias("f")).where(F.col("f").isNotNull())
+    return each.select(
         "seq",
         "f.file_type",
         F.col("f.name").alias("filename"),
@@ -33,6 +33,16 @@ def uploads(routed: DataFrame) -> DataFrame:
     )
 
 
+def uploads(routed: DataFrame) -> DataFrame:
+    """One row per file that a routed bundle changes, without its content."""
+    return _uploads(routed, {s: F.col(f"{s}_changed") for s in _SHORT})
+
+
+def brought(patches: DataFrame) -> DataFrame:
+    """One row per file that a patch brings: all of them are stored."""
+    return _uploads(patches, {s: F.col(f"{s}_sum").isNotNull() for s in _SHORT})
+
+
 def content_type(file_type: Column, filename: Column) -> Column:
     return F.when(file_type == FILE_TYPES[0], fp.CONFIG_CONTENT_TYPE).otherwise(
         fp.content_type(filename)
@@ -67,24 +77,28 @@ def contents(bundles: DataFrame) -> DataFrame:
     )
 
 
-def new_blobs(plan: DataFrame, bundles: DataFrame, uploaded_at: Column) -> DataFrame:
+def new_blobs(
+    plan: DataFrame, contents: DataFrame, uploaded_at: Column, on: Sequence[str] = UPLOAD
+) -> DataFrame:
     """Blob rows for a plan. Contents move once, and only in this last join,
-    whose key (seq, file_type) is unique on both sides."""
-    return (
-        contents(bundles)
-        .join(plan, ["seq", "file_type"])
-        .select(
-            "blob_id",
-            "filename",
-            "content_type",
-            "length",
-            uploaded_at.alias("upload_date"),
-            F.col("blob_id").alias("checksum"),
-            "content",
-        )
+    whose key is unique on both sides."""
+    return contents.join(plan, list(on)).select(
+        "blob_id",
+        "filename",
+        "content_type",
+        "length",
+        uploaded_at.alias("upload_date"),
+        F.col("blob_id").alias("checksum"),
+        "content",
     )
 
 
+def plan_by_path(plan: DataFrame, file_facts: DataFrame) -> DataFrame:
+    """A plan for files on disk: one path per content to read it from."""
+    paths = file_facts.groupBy(F.col("sum").alias("blob_id")).agg(F.min("path").alias("path"))
+    return plan.join(paths, "blob_id")
+
+
 def references(versions: DataFrame) -> DataFrame:
     """One row per file of each version: its blob, name and expected checksum."""
     files = F.array(

@@ -26,20 +26,6 @@ PATCHED_TEXT = "Updated "
 ARROW = " → "
 
 
-def fingerprints(bundles: DataFrame) -> DataFrame:
-    """Replace the contents of bundles by their checksums and sizes.
-
-    Everything after this works on narrow rows; contents are never shuffled.
-    """
-    out = bundles
-    for short in ("json", "sql", "tpl"):
-        content = F.col(f"{short}_content")
-        out = out.withColumn(f"{short}_sum", fp.checksum(content)).withColumn(
-            f"{short}_size", fp.byte_size(content)
-        )
-    return out.drop("json_content", "sql_content", "tpl_content")
-
-
 def base_rows(active: DataFrame) -> DataFrame:
     """Active versions as the rows that precede a batch."""
     return active.select(
@@ -72,7 +58,7 @@ def route(
     batch_id: str = "0",
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Route fingerprinted bundles against the active versions.
+    """Route bundles, known by their facts, against the active versions.
 
     `seq` is unique, not negative, and gives the processing order. Each row
     comes back with `status`, `reason`, `report_id`, `version`, `is_new_version`

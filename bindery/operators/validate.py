@@ -1,8 +1,8 @@
 """Layered checks of bundles, each one an expression over the row.
 
 A bundle row has `index`, `csi_id`, `region`, `regulation`, the paths or names
-`json_config`, `sql_file` and `template`, and, where files were looked up, the
-contents `json_content`, `sql_content` and `tpl_content`.
+`json_config`, `sql_file` and `template`, and what `facts` found out about the
+contents: sizes (null where there is no such file) and findings.
 """
 
 from __future__ import annotations
@@ -10,15 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery.functions import fingerprint as fp, text
-from bindery.functions.config_json import (
-    NO_NAME,
-    NO_REPORT,
-    NOT_JSON,
-    NOT_UTF8,
-    config_finding,
-    report_name,
-    strict_config,
-)
+from bindery.functions.config_json import NO_NAME, NO_REPORT, NOT_JSON, NOT_UTF8
 
 # Required fields, and which layers each way in applies.
 REQUIRED = ("csi_id", "region", "regulation", "json_config", "sql_file")
@@ -39,10 +31,6 @@ def _says(*parts: str | Column) -> Column:
     return F.concat(lead, *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _present(content: str) -> Column:
-    return F.coalesce(F.octet_length(content), F.lit(0)) > 0
-
-
 def _field_errors() -> Column:
     each = [
         F.when(F.col(k).isNull(), f"missing required key '{k}'").when(
@@ -76,17 +64,15 @@ def has_template() -> Column:
 
 
 def _files() -> list[Column]:
-    def check(label: str, path: str, content: str) -> Column:
-        return F.when(
-            F.col(content).isNull(), _says(f": {label} not found: ", F.col(path))
-        ).when(
-            ~_present(content), _says(f": {label} is empty (0 bytes): ", F.col(path))
+    def check(label: str, path: str, size: str) -> Column:
+        return F.when(F.col(size).isNull(), _says(f": {label} not found: ", F.col(path))).when(
+            F.col(size) == 0, _says(f": {label} is empty (0 bytes): ", F.col(path))
         )
 
     return [
-        check("JSON config", "json_config", "json_content"),
-        check("SQL file", "sql_file", "sql_content"),
-        F.when(has_template(), check("Template", "template", "tpl_content")),
+        check("JSON config", "json_config", "json_size"),
+        check("SQL file", "sql_file", "sql_size"),
+        F.when(has_template(), check("Template", "template", "tpl_size")),
     ]
 
 
@@ -106,70 +92,45 @@ def _extensions() -> list[Column]:
 
 
 def _sql() -> list[Column]:
-    name, body = fp.basename(F.col("sql_file")), F.col("sql_content")
-    return [
-        F.when(~text.is_utf8(body), _says(": SQL file is not valid UTF-8: ", name)).when(
-            text.is_blank(body.cast("string")), _says(": SQL file contains only whitespace: ", name)
-        )
-    ]
+    finding = F.col("sql_finding")
+    return [F.when(finding.isNotNull(), _says(": ", finding, ": ", fp.basename(F.col("sql_file"))))]
 
 
-def _config(finding: Column) -> list[Column]:
-    name = fp.basename(F.col("json_config"))
+def _config() -> list[Column]:
+    name, finding = fp.basename(F.col("json_config")), F.col("json_finding")
     ext = F.regexp_extract(name, r"(?s).+(\.[^.]+)$", 1)
-    in_file = [NO_REPORT, NO_NAME]
     return [
         F.when(
             fp.suffix(name) != text.CONFIG_EXTENSION,
             _says(": JSON config must be a .json file, got: '", ext, "'"),
         )
-        .when(~_present("json_content"), _says(": JSON config is empty: ", name))
-        .when(finding.isin(NOT_JSON), _says(f": {NOT_JSON} in ", name))
-        .when(finding.isin(NOT_UTF8), _says(f": {NOT_UTF8}: ", name))
-        .when(finding.isin(*in_file), _says(": JSON config '", name, "' ", finding))
+        .when(F.col("json_size") == 0, _says(": JSON config is empty: ", name))
+        .when(finding == NOT_JSON, _says(f": {NOT_JSON} in ", name))
+        .when(finding == NOT_UTF8, _says(f": {NOT_UTF8}: ", name))
+        .when(finding.isin(NO_REPORT, NO_NAME), _says(": JSON config '", name, "' ", finding))
         .when(finding.isNotNull(), _says(": ", finding))
     ]
 
 
 def validate(
-    bundles: DataFrame,
-    profile: str = "manifest",
-    layers: tuple[str, ...] | None = None,
-    strict_json: bool = False,
+    bundles: DataFrame, profile: str = "manifest", layers: tuple[str, ...] | None = None
 ) -> DataFrame:
-    """Add `valid`, the first `error`, all `errors`, and the config's `name`.
+    """Add `valid`, the first `error`, and all `errors`.
 
     Rows are never dropped, so one bad bundle does not hold up the others.
-    `strict_json` reads configs in Arrow batches instead of inside the JVM, for
-    exactness on NaN, duplicate keys and trailing text.
     """
-    layers = layers or PROFILES[profile]
-    out = bundles
-    if CONFIG in layers:
-        config = F.col("json_content").cast("string")
-        if strict_json:
-            out = out.withColumn("_config", strict_config(F.col("json_content")))
-        else:
-            both = F.struct(
-                config_finding(config).alias("finding"), report_name(config).alias("name")
-            )
-            out = out.withColumn("_config", both)
-    else:
-        out = out.withColumn("_config", F.lit(None).cast("struct<finding string, name string>"))
     checks = {
         FIELDS: _fields, TOKEN: _tokens, FILES: _files, EXTENSIONS: _extensions, SQL: _sql,
-        CONFIG: lambda: _config(F.col("_config.finding")),
+        CONFIG: _config,
     }
-    found = [c for layer in layers for c in checks[layer]()]
+    found = [c for layer in layers or PROFILES[profile] for c in checks[layer]()]
     if "is_mapping" in bundles.columns:
         no_map = F.when(~F.col("is_mapping"), _says(": must be a mapping/dict"))
         found = [no_map] + [F.when(F.col("is_mapping"), c) for c in found]
     return (
-        out.withColumn("errors", F.filter(F.array(*found), lambda e: e.isNotNull()))
+        bundles.withColumn("errors", F.filter(F.array(*found), lambda e: e.isNotNull()))
         .withColumn("error", F.get("errors", F.lit(0)))
         .withColumn("valid", F.col("error").isNull())
-        .withColumn("name", F.col("_config.name"))
-        .drop("_config")
     )
 
 

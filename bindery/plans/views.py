@@ -35,10 +35,8 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_bundles(texts: DataFrame) -> DataFrame:
-    """Text columns to binary contents, with the name read from the config."""
-    from bindery.functions.config_json import report_name
-
-    out = texts.withColumn("name", report_name(F.col("json_text")))
+    """Text columns to binary contents."""
+    out = texts
     for short in ("json", "sql", "tpl"):
         out = out.withColumn(f"{short}_content", F.col(f"{short}_text").cast("binary"))
     return out.drop("json_text", "sql_text", "tpl_text")
