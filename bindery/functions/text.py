@@ -41,10 +41,12 @@ def decode_base64(text: Column) -> Column:
     """Base64 to binary; null if it cannot be decoded.
 
     Characters outside the alphabet are ignored, and so is whatever follows the
-    padding, as lenient decoders do.
+    padding, as lenient decoders do. What is left must be whole groups of four.
     """
     clean = F.regexp_replace(text, "[^A-Za-z0-9+/=]", "")
-    return F.try_to_binary(F.regexp_extract(clean, "^([A-Za-z0-9+/]*={0,2})", 1), F.lit("base64"))
+    body = F.regexp_extract(clean, "^([A-Za-z0-9+/]*={0,2})", 1)
+    whole = F.length(body) % 4 == 0
+    return F.when(whole, F.try_to_binary(body, F.lit("base64")))
 
 
 def is_utf8(content: Column) -> Column:

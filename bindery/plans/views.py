@@ -1,51 +1,123 @@
-"""Bundle-shaped views over the analytics tables, used by queries and bench."""
+"""Bundle-shaped views over the analytics tables, used by queries and bench.
+
+Each view covers its whole table. Defects in `flawed` and `requests` stand in
+for what real submitters send; they are derived from the row, none is dropped.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from bindery.functions import fingerprint as fp
+from bindery.operators import blobs as blob_ops
+from bindery.operators.chain import active_versions, with_successor
+from bindery.operators.facts import content_facts
+from bindery.operators.patch import resolve_keys
+from bindery.operators.route import route, version_rows
+from bindery.schemas import KEY4
+from bindery.session import fresh_path
+from bindery.sources.inline import build_payload
+
+_stored: dict[tuple[str, str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One bundle per event; the event id is the processing order."""
-    user = F.col("user_id")
-    region = F.expr(
-        "CASE CAST(user_id % 5 AS INT) WHEN 0 THEN 'APAC' WHEN 1 THEN 'EMEA' WHEN 2 THEN 'US'"
+def stored(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]
+) -> DataFrame:
+    """A table of the registry, written once per session to the shared folder.
+
+    Lookups, retention and export work on a stored registry, so their queries
+    read one and do not route all bundles again each time.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = fresh_path(spark, name)
+        build().write.mode("overwrite").parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
+def as_bundles(texts: DataFrame) -> DataFrame:
+    """Text columns to binary contents."""
+    out = texts
+    for short in ("json", "sql", "tpl"):
+        out = out.withColumn(f"{short}_content", F.col(f"{short}_text").cast("binary"))
+    return out.drop("json_text", "sql_text", "tpl_text")
+
+
+def _csi(number: Column) -> Column:
+    return F.concat(F.lit("CSI-"), F.lpad(number.cast("string"), 4, "0"))
+
+
+def _region(number: str) -> Column:
+    return F.expr(
+        f"CASE CAST({number} % 5 AS INT) WHEN 0 THEN 'APAC' WHEN 1 THEN 'EMEA' WHEN 2 THEN 'US'"
         " WHEN 3 THEN 'UK' ELSE 'LATAM' END"
     )
+
+
+def _report_json(name: Column) -> Column:
+    return F.concat(F.lit('{"report":{"name":"R'), name, F.lit('"}}'))
+
+
+def _whole(number: Column) -> Column:
+    return F.floor(number).cast("int").cast("string")
+
+
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bundle per event; the event id is the processing order."""
     has_tpl = F.col("event_id") % 3 != 0
-    step = F.floor(F.col("value") / 20).cast("int").cast("string")
-    tpl = F.floor(F.col("value") / 40).cast("int").cast("string")
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"),
         F.col("ts").alias("uploaded_at"),
-        F.concat(F.lit("CSI-"), F.lpad(user.cast("string"), 4, "0")).alias("csi_id"),
-        region.alias("region"),
+        _csi(F.col("user_id")).alias("csi_id"),
+        _region("user_id").alias("region"),
         F.upper("event_type").alias("regulation"),
         F.format_string("report_%d.json", F.col("event_id") % 2).alias("json_name"),
-        F.concat(F.lit('{"report":{"name":"R'), step, F.lit('"}}')).alias("json_text"),
+        _report_json(_whole(F.col("value") / 20)).alias("json_text"),
         F.format_string("q_%d.sql", F.col("event_id") % 7).alias("sql_name"),
         F.concat(F.lit("SELECT "), F.length("props").cast("string")).alias("sql_text"),
         F.when(has_tpl, F.format_string("t_%d.txt", F.col("event_id") % 4)).alias("tpl_name"),
-        F.when(has_tpl, F.concat(F.lit("tpl "), tpl)).alias("tpl_text"),
+        F.when(has_tpl, F.concat(F.lit("tpl "), _whole(F.col("value") / 40))).alias("tpl_text"),
     )
 
 
-def as_bundles(texts: DataFrame) -> DataFrame:
-    """Text columns to binary contents."""
-    out = texts
-    for short in ("json", "sql", "tpl"):
-        out = out.withColumn(f"{short}_content", F.col(f"{short}_text").cast("binary"))
-    return out.drop("json_text", "sql_text", "tpl_text")
+def order_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bundle per order, for the key of its customer: a second batch."""
+    regulation = F.expr(
+        "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'CLICK' WHEN '2' THEN 'VIEW'"
+        " WHEN '3' THEN 'ERROR' WHEN '4' THEN 'SIGNUP' ELSE 'PURCHASE' END"
+    )
+    has_tpl = F.col("o_orderstatus") != "P"
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("seq"),
+        F.col("o_orderdate").alias("uploaded_at"),
+        _csi(F.col("o_custkey")).alias("csi_id"),
+        _region("o_custkey").alias("region"),
+        regulation.alias("regulation"),
+        F.format_string("report_%d.json", F.col("o_orderkey") % 2).alias("json_name"),
+        _report_json(_whole(F.col("o_totalprice") / 100000)).alias("json_text"),
+        F.format_string("q_%d.sql", F.col("o_orderkey") % 7).alias("sql_name"),
+        F.concat(F.lit("SELECT "), F.col("o_orderstatus")).alias("sql_text"),
+        F.when(has_tpl, F.lit("t_0.html")).alias("tpl_name"),
+        F.when(has_tpl, F.concat(F.lit("tpl "), _whole(F.col("o_totalprice") / 200000))).alias(
+            "tpl_text"
+        ),
+        "o_orderstatus",
+        "o_orderpriority",
+    )
 
 
-def documents_as_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as the SQL part; one record per source and language."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(
+    is_long = F.col("n_chars") > 1500
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("seq"),
         F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("uploaded_at"),
         F.col("source").alias("csi_id"),
@@ -58,9 +130,196 @@ def documents_as_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("json_text"),
         F.format_string("body_%d.sql", F.col("doc_id")).alias("sql_name"),
         F.col("text").alias("sql_text"),
-        F.when(F.col("n_chars") > 1500, "long.html").alias("tpl_name"),
+        F.when(is_long, F.lit("long.html")).alias("tpl_name"),
         F.when(
-            F.col("n_chars") > 1500,
-            F.concat(F.lit("<p>"), F.floor(F.col("n_chars") / 1000).cast("string"), F.lit("k</p>")),
+            is_long, F.concat(F.lit("<p>"), _whole(F.col("n_chars") / 1000), F.lit("k</p>"))
         ).alias("tpl_text"),
     )
+
+
+def chat_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per conversation; its turns, whole, are submitted in order."""
+    return table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1048576 + F.col("turn")).alias("seq"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("uploaded_at"),
+        F.concat(F.lit("CONV-"), F.col("conv_id").cast("string")).alias("csi_id"),
+        F.lit("CHAT").alias("region"),
+        F.lit("TURNS").alias("regulation"),
+        F.lit("chat.json").alias("json_name"),
+        F.concat(F.lit('{"report":{"name":"'), F.col("role"), F.lit('"}}')).alias("json_text"),
+        F.lit("turn.sql").alias("sql_name"),
+        F.col("text").alias("sql_text"),
+        F.lit(None).cast("string").alias("tpl_name"),
+        F.lit(None).cast("string").alias("tpl_text"),
+    )
+
+
+def page_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole web pages as templates; addresses are poor tokens."""
+    page = F.col("page_id").cast("string")
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("seq"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("uploaded_at"),
+        F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("csi_id"),
+        F.regexp_extract("url", "^[a-z]+://[^/?#]*/([^/]*)", 1).alias("region"),
+        F.element_at(F.split("url", "/"), -1).alias("regulation"),
+        F.lit("page.json").alias("json_name"),
+        F.concat(F.lit('{"report":{"name":"page '), page, F.lit('"}}')).alias("json_text"),
+        F.concat(F.lit("sql/page_"), page, F.lit(".sql")).alias("sql_name"),
+        F.concat(F.lit("SELECT "), page).alias("sql_text"),
+        F.lit("page.html").alias("tpl_name"),
+        F.col("html").alias("tpl_text"),
+    )
+
+
+def flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The submissions with typical mistakes in some of them."""
+
+    def every(n: int) -> Column:
+        return F.col("seq") % n == 0
+
+    def but(n: int, column: str, instead: Column) -> Column:
+        return F.when(every(n), instead).otherwise(F.col(column))
+
+    text = F.lit(None).cast("string")
+    sub = submissions(spark, sf_dir)
+    json = F.when(every(19), '{"report":').when(every(29), '{"report":{"name":7}}')
+    json = json.when(every(41), text).when(every(43), "").when(every(47), "[1]")
+    json = json.when(every(53), '{"name":"x"}').when(every(59), '{"report":{"name":" "}}')
+    return sub.withColumns(
+        {
+            "csi_id": but(11, "csi_id", F.replace("csi_id", F.lit("-"), F.lit(" "))),
+            "region": but(13, "region", F.lit("  ")),
+            "regulation": but(31, "regulation", text),
+            "json_name": but(61, "json_name", F.lit("report.yaml")),
+            "json_text": json.otherwise(F.col("json_text")),
+            "sql_name": but(17, "sql_name", F.lit("q.txt")),
+            "sql_text": but(23, "sql_text", F.lit(" \t\n")),
+            "tpl_name": F.when(every(37) & F.col("tpl_text").isNotNull(), "t.pdf").otherwise(
+                F.col("tpl_name")
+            ),
+        }
+    )
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of up to eight entries; some have no list, or an empty one."""
+    sub = submissions(spark, sf_dir)
+    entry = F.struct(
+        "csi_id", "region", "regulation",
+        F.col("json_name").alias("json_config"), F.col("sql_name").alias("sql_file"),
+        F.col("tpl_name").alias("template"),
+    )
+    entry = F.when(F.col("tpl_text") == "tpl 0", F.lit(None)).otherwise(entry)
+    group = F.floor(F.col("seq") / 8)
+    grouped = sub.groupBy(group.alias("manifest")).agg(
+        F.sort_array(F.collect_list(F.struct("seq", entry.alias("e")))).alias("rows"),
+        F.min_by("regulation", "seq").alias("first"),
+    )
+    entries = F.transform("rows", lambda r: r["e"])
+    none = F.filter(entries, lambda e: F.lit(False))
+    return grouped.select(
+        F.format_string("manifest_%d", "manifest").alias("source"),
+        F.when(F.col("first") == "ERROR", F.lit(None))
+        .when(F.col("first") == "SIGNUP", none)
+        .otherwise(entries)
+        .alias("bundles"),
+    )
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pushed forms of the submissions, some with texts that are not base64."""
+    good = build_payload(as_bundles(submissions(spark, sf_dir)))
+    sql = F.col("sql_file_content")
+    return good.withColumns(
+        {
+            "sql_file_content": F.when(F.col("seq") % 47 == 0, F.concat(sql, F.lit("A")))
+            .when(F.col("seq") % 53 == 0, F.concat(F.lit("*"), sql))
+            .otherwise(sql),
+            "template_filename": F.when(F.col("seq") % 5 != 0, F.col("template_filename")),
+        }
+    )
+
+
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One patch per order, by report id; some name no file or no record, and
+    some rename the config."""
+    orders = order_bundles(spark, sf_dir)
+    held = resolve_keys(orders, active(spark, sf_dir)).drop("error")
+    urgent, high = "1-URGENT", "2-HIGH"
+    json = F.col("o_orderpriority").isin(urgent, high)
+    sql, tpl = F.col("o_orderstatus") == "O", F.col("o_orderstatus") == "F"
+    moved = F.concat(F.lit("moved_"), F.substring("csi_id", -1, 1), F.lit(".json"))
+    return held.select(
+        "seq",
+        F.coalesce("report_id", fp.report_id(KEY4, "none", "seq")).alias("report_id"),
+        "uploaded_at",
+        F.when(json, F.when(F.col("o_orderpriority") == high, moved).otherwise(F.col("json_name")))
+        .alias("json_name"),
+        F.when(json, F.col("json_text")).alias("json_text"),
+        F.when(sql, F.col("sql_name")).alias("sql_name"),
+        F.when(sql, F.col("sql_text")).alias("sql_text"),
+        F.when(tpl, F.col("tpl_name")).alias("tpl_name"),
+        F.when(tpl, F.col("tpl_text")).alias("tpl_text"),
+    )
+
+
+def routed(bundles: DataFrame, **options) -> DataFrame:
+    return route(content_facts(as_bundles(bundles)), **options)
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry after all submissions: version rows as stored."""
+    build = lambda: version_rows(routed(submissions(spark, sf_dir)))
+    return stored(spark, sf_dir, "versions", build)
+
+
+def active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return active_versions(versions(spark, sf_dir))
+
+
+def current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions with their `active` flag."""
+    return with_successor(versions(spark, sf_dir))
+
+
+def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of the documents' contents; texts are read once for it."""
+    build = lambda: content_facts(as_bundles(document_bundles(spark, sf_dir)))
+    return stored(spark, sf_dir, "document_facts", build)
+
+
+def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    build = lambda: version_rows(route(document_facts(spark, sf_dir)))
+    return stored(spark, sf_dir, "document_versions", build)
+
+
+def document_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs of the documents: some damaged, some lost, and the benchmark texts
+    as uploads that nothing refers to."""
+
+    def build() -> DataFrame:
+        plan = blob_ops.upload_plan(blob_ops.uploads(route(document_facts(spark, sf_dir))))
+        texts = blob_ops.contents(as_bundles(document_bundles(spark, sf_dir)))
+        at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+        good = blob_ops.new_blobs(plan, texts, at)
+        digit = F.substring("blob_id", 8, 1)
+        damaged = F.concat("content", F.lit("!").cast("binary"))
+        kept = good.where(digit != "f").withColumn(
+            "content", F.when(digit == "0", damaged).otherwise(F.col("content"))
+        )
+        body = F.col("text").cast("binary")
+        loose = table(spark, sf_dir, "benchmark").select(
+            fp.checksum(body).alias("blob_id"),
+            F.concat(F.lit("item_"), F.col("item_id").cast("string"), F.lit(".txt")).alias(
+                "filename"
+            ),
+            F.lit("text/plain").alias("content_type"),
+            fp.byte_size(body).alias("length"),
+            at.alias("upload_date"),
+            fp.checksum(body).alias("checksum"),
+            body.alias("content"),
+        )
+        return kept.unionByName(loose)
+
+    return stored(spark, sf_dir, "document_blobs", build)
