@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from bindery.functions.text import is_blank
 
@@ -17,35 +17,36 @@ NO_REPORT = "missing required 'report' object"
 NO_NAME = "missing required field 'report.name'"
 
 
-def _variant(text: Column) -> Column:
-    return F.try_parse_json(text)
+def with_native_facts(df: DataFrame, body: Column, out: str) -> DataFrame:
+    """Add struct `out` of `finding` and `name`, worked out inside the JVM.
 
-
-def report_name(text: Column) -> Column:
-    """`report.name` where it is a JSON string, else null."""
-    name = F.try_variant_get(_variant(text), "$.report.name", "variant")
-    return F.when(
-        F.schema_of_variant(name) == "STRING",
-        F.try_variant_get(_variant(text), "$.report.name", "string"),
-    )
-
-
-def config_finding(text: Column) -> Column:
-    """First thing wrong with the config, or null. Runs inside the JVM.
-
-    Differs from `config_finding_strict` for rare texts only: NaN and duplicate
-    keys are refused, text after the closing brace is not seen.
+    The text is parsed once, in a step of its own. Differs from `strict_config`
+    for rare texts only: NaN and duplicate keys are refused, and text after the
+    closing brace is not seen.
     """
-    root = _variant(text)
-    root_type = F.schema_of_variant(root)
-    report_type = F.schema_of_variant(F.try_variant_get(root, "$.report", "variant"))
-    name = report_name(text)
+    name = F.when(F.schema_of_variant("_name") == "STRING", F.expr("CAST(_name AS STRING)"))
+    finding = (
+        F.when(~F.is_valid_utf8("_body"), NOT_UTF8)
+        .when(F.col("_root_type").isNull(), NOT_JSON)
+        .when(~F.col("_root_type").startswith("OBJECT<"), NOT_OBJECT)
+        .when(~F.coalesce(F.col("_report_type").startswith("OBJECT<"), F.lit(False)), NO_REPORT)
+        .when(F.coalesce(is_blank(F.col("_name_text")), F.lit(True)), NO_NAME)
+    )
     return (
-        F.when(~F.is_valid_utf8(text), NOT_UTF8)
-        .when(root_type.isNull(), NOT_JSON)
-        .when(~root_type.startswith("OBJECT<"), NOT_OBJECT)
-        .when(report_type.isNull() | ~report_type.startswith("OBJECT<"), NO_REPORT)
-        .when(name.isNull() | is_blank(name), NO_NAME)
+        df.withColumn("_body", body)
+        .withColumn("_root", F.try_parse_json("_body"))
+        .withColumns(
+            {
+                "_root_type": F.schema_of_variant("_root"),
+                "_report_type": F.schema_of_variant(
+                    F.try_variant_get("_root", "$.report", "variant")
+                ),
+                "_name": F.try_variant_get("_root", "$.report.name", "variant"),
+            }
+        )
+        .withColumn("_name_text", name)
+        .withColumn(out, F.struct(finding.alias("finding"), F.col("_name_text").alias("name")))
+        .drop("_body", "_root", "_root_type", "_report_type", "_name", "_name_text")
     )
 
 

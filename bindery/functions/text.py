@@ -18,16 +18,14 @@ ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 _SPACE = r"[\s\x1C-\x1F]"
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
-
-
 def is_blank(text: Column) -> Column:
     return text.rlike(rf"(?U)\A{_SPACE}*\z")
 
 
 def is_token(text: Column) -> Column:
-    return strip(text).rlike(TOKEN_PATTERN)
+    """Does the text, white space around it aside, match the token pattern?"""
+    inner = TOKEN_PATTERN.strip("^$")
+    return text.rlike(rf"(?U)\A{_SPACE}*{inner}{_SPACE}*\z")
 
 
 def is_uuid(text: Column) -> Column:

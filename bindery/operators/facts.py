@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery.functions import fingerprint as fp, text
-from bindery.functions.config_json import config_finding, report_name, strict_config
+from bindery.functions.config_json import strict_config, with_native_facts
 
 # The findings about an SQL text.
 SQL_NOT_UTF8 = "SQL file is not valid UTF-8"
@@ -23,21 +23,20 @@ def sql_finding(content: Column) -> Column:
     )
 
 
-def config_facts(content: Column, strict_json: bool = False) -> Column:
-    """Struct of `finding` and `name`.
+def _with_config(df: DataFrame, content: Column, strict_json: bool) -> DataFrame:
+    """Add `_config`, a struct of `finding` and `name`.
 
     `strict_json` reads the config in Arrow batches instead of inside the JVM,
     for exactness on NaN, duplicate keys and trailing text.
     """
     if strict_json:
-        return strict_config(content)
-    body = content.cast("string")
-    return F.struct(config_finding(body).alias("finding"), report_name(body).alias("name"))
+        return df.withColumn("_config", strict_config(content))
+    return with_native_facts(df, content.cast("string"), "_config")
 
 
 def content_facts(bundles: DataFrame, strict_json: bool = False) -> DataFrame:
     """Replace the contents of bundles by what is to be known about them."""
-    out = bundles.withColumn("_config", config_facts(F.col("json_content"), strict_json))
+    out = _with_config(bundles, F.col("json_content"), strict_json)
     out = out.withColumns(
         {
             "name": F.col("_config.name"),
@@ -57,8 +56,8 @@ def file_facts(files: DataFrame, strict_json: bool = False) -> DataFrame:
     """The same per file: `path`, `sum`, `size`, `finding` and config `name`."""
     kind = fp.suffix(F.col("path"))
     is_config = kind == text.CONFIG_EXTENSION
-    config = config_facts(F.when(is_config, F.col("content")), strict_json)
-    return files.withColumn("_config", config).select(
+    config = F.when(is_config, F.col("content"))
+    return _with_config(files, config, strict_json).select(
         "path",
         fp.checksum(F.col("content")).alias("sum"),
         fp.byte_size(F.col("content")).alias("size"),

@@ -24,7 +24,7 @@ from bindery.plans import views
 from bindery.plans.ingest import as_entries
 from bindery.plans.registry import Registry
 from bindery.schemas import KEY3, KEY4
-from bindery.session import fresh_path
+from bindery.session import fresh_path, written
 from bindery.sources import inline, manifests
 from bindery.streaming import ingest as streaming
 
@@ -73,10 +73,6 @@ def _submitted(spark: SparkSession, sf: str) -> DataFrame:
     return views.routed(views.submissions(spark, sf))
 
 
-def _second_batch(spark: SparkSession, sf: str) -> DataFrame:
-    return content_facts(views.as_bundles(views.order_bundles(spark, sf)))
-
-
 # --- routing and version chains ------------------------------------------------
 
 
@@ -115,7 +111,7 @@ def carried_files(spark, sf):
 @query
 def route_snapshot(spark, sf):
     """A second batch on top of the registry that the first one left."""
-    rows = route.route(_second_batch(spark, sf), views.active(spark, sf), batch_id="1")
+    rows = route.route(views.order_facts(spark, sf), views.active(spark, sf), batch_id="1")
     return rows.select("seq", "status", "reason", "report_id", "version", "stored_sql_name")
 
 
@@ -457,7 +453,8 @@ def validate_create(spark, sf):
 
 
 def _details(spark: SparkSession, sf: str, profile: str = "manifest") -> DataFrame:
-    checked = validate.validate(_flawed(spark, sf), profile)
+    # As in ingestion, the checked rows are written, for several steps need them.
+    checked = written(validate.validate(_flawed(spark, sf), profile), "checked")
     routed = route.route(checked.where("valid"))
     return batch.details(checked, routed, inline=profile == "inline")
 
@@ -576,7 +573,7 @@ def check_chain(spark, sf):
 def blob_upload_plan(spark, sf):
     """Uploads of a second batch whose contents the registry does not hold yet."""
     held = blobs.references(views.versions(spark, sf)).select("blob_id").distinct()
-    routed = route.route(_second_batch(spark, sf), views.active(spark, sf), batch_id="1")
+    routed = route.route(views.order_facts(spark, sf), views.active(spark, sf), batch_id="1")
     return blobs.upload_plan(blobs.uploads(routed), held)
 
 

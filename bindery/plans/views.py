@@ -243,7 +243,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One patch per order, by report id; some name no file or no record, and
-    some rename the config."""
+    some rename the config. Landed once, as patches arrive as a table."""
+    return stored(spark, sf_dir, "patches", lambda: _patches(spark, sf_dir))
+
+
+def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = order_bundles(spark, sf_dir)
     held = resolve_keys(orders, active(spark, sf_dir)).drop("error")
     urgent, high = "1-URGENT", "2-HIGH"
@@ -283,6 +287,12 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_successor(versions(spark, sf_dir))
 
 
+def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of the contents of the second batch."""
+    build = lambda: content_facts(as_bundles(order_bundles(spark, sf_dir)))
+    return stored(spark, sf_dir, "order_facts", build)
+
+
 def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is known of the documents' contents; texts are read once for it."""
     build = lambda: content_facts(as_bundles(document_bundles(spark, sf_dir)))

@@ -1,0 +1,172 @@
+"""Routing against a sequential model, with and without cut keys."""
+
+import datetime as dt
+import random
+
+import models
+import pytest
+from pyspark.sql import functions as F, types as T
+
+from bindery.operators.chain import active_versions
+from bindery.operators.ordered import Order, running, segmented
+from bindery.operators.route import create_only, route, version_rows
+
+NOW = dt.datetime(2024, 1, 1)
+TEXTS = ("csi_id", "region", "regulation", "json_name", "sql_name", "tpl_name", "json_sum",
+         "sql_sum", "tpl_sum", "name")
+SCHEMA = T.StructType(
+    [T.StructField("seq", T.LongType())]
+    + [T.StructField(c, T.StringType()) for c in TEXTS]
+    + [T.StructField(f"{s}_size", T.LongType()) for s in ("json", "sql", "tpl")]
+    + [T.StructField("uploaded_at", T.TimestampNTZType())]
+)
+
+
+def bundle(seq, csi="C1", json="a", sql="a", tpl=None, json_name="r.json", sql_name="q.sql"):
+    return {
+        "seq": seq, "csi_id": csi, "region": "EU", "regulation": "R", "json_name": json_name,
+        "sql_name": sql_name, "tpl_name": tpl and f"t{seq}.txt", "json_sum": json,
+        "sql_sum": sql, "tpl_sum": tpl, "name": f"n-{json}", "json_size": 1, "sql_size": 1,
+        "tpl_size": tpl and 1, "uploaded_at": NOW,
+    }
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([tuple(r[c] for c in SCHEMA.names) for r in rows], SCHEMA)
+
+
+def outcomes(df):
+    names = ("status", "reason", "version", "stored_sql_name", "stored_tpl.tpl_name", "report_id")
+    rows = df.select("seq", *[F.col(n).alias(n.split(".")[-1]) for n in names]).collect()
+    return {r[0]: tuple(r[1:]) for r in rows}
+
+
+def random_bundles(rng, n, hot_share):
+    rows = []
+    for seq in range(n):
+        hot = rng.random() < hot_share
+        csi = "HOT" if hot else f"C{rng.randrange(8)}"
+        rows.append(
+            bundle(
+                seq, csi, rng.choice("ab"), rng.choice("abc"), rng.choice((None, "x", "y")),
+                json_name=rng.choice(("r.json", "s.json")) if not hot else "r.json",
+                sql_name=f"q{seq}.sql",
+            )
+        )
+    return rows
+
+
+def same_ids(got, want):
+    """Ids stand for the creating row: equal where the model's origin is."""
+    pairs = {(g[-1], w[-1]) for g, w in ((got[s], want[s]) for s in want)}
+    return len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+
+
+@pytest.mark.parametrize("segment_rows", [1_000_000, 40, 7, 1])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_route_equals_sequential_model(spark, segment_rows, seed):
+    rows = random_bundles(random.Random(seed), 300, 0.4)
+    want, _ = models.route(rows)
+    got = outcomes(route(frame(spark, rows), segment_rows=segment_rows))
+    assert {s: g[:-1] for s, g in got.items()} == {s: w[:-1] for s, w in want.items()}
+    assert same_ids(got, want)
+
+
+@pytest.mark.parametrize("segment_rows", [1_000_000, 10])
+def test_two_batches_equal_one(spark, segment_rows):
+    rows = random_bundles(random.Random(5), 240, 0.4)
+    want, _ = models.route(rows)
+    early, late = rows[:100], rows[100:]
+    first = route(frame(spark, early), batch_id="a")
+    active = active_versions(version_rows(first))
+    second = outcomes(route(frame(spark, late), active, "b", segment_rows))
+    got = outcomes(first) | second
+    assert {s: g[:-1] for s, g in got.items()} == {s: w[:-1] for s, w in want.items()}
+    assert same_ids(got, want)
+
+
+def test_running_totals_across_segments(spark):
+    rng = random.Random(3)
+    rows = [("k" if rng.random() < 0.5 else f"k{rng.randrange(5)}", i, rng.randrange(9))
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "key string, seq long, n long")
+    cut, order = segmented(df, Order(("key",), "seq"), 9)
+    assert order.cut
+    odd = F.when(F.col("n") % 2 == 1, F.col("n"))
+    got = running(cut, order, last={"odd": odd}, total={"total": F.col("n")}, before_only=True)
+    seen, want = {}, {}
+    for key, seq, n in rows:
+        odd_n, total = seen.get(key, (None, 0))
+        want[seq] = (odd_n, total)
+        seen[key] = (n if n % 2 else odd_n, total + n)
+    assert {r.seq: (r.odd, r.total) for r in got.collect()} == want
+
+
+def test_hot_key_is_spread(spark):
+    """No window partition of a hot key holds more rows than a segment."""
+    rows = random_bundles(random.Random(9), 400, 0.6)
+    cut, order = segmented(frame(spark, rows), Order(("csi_id",), "seq"), 50)
+    sizes = cut.groupBy(*order.parts).count().where("csi_id = 'HOT'").collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) <= 50
+
+
+@pytest.mark.parametrize("segment_rows", [1_000_000, 5])
+def test_create_only_takes_the_first_of_a_key(spark, segment_rows):
+    rows = random_bundles(random.Random(4), 120, 0.5)
+    got = {r.seq: r for r in create_only(frame(spark, rows), None, "0", segment_rows).collect()}
+    first = {}
+    for b in rows:
+        key = (b["csi_id"], b["json_name"])
+        expected = "created" if key not in first else "failed"
+        first.setdefault(key, got[b["seq"]].report_id)
+        assert got[b["seq"]].status == expected
+        assert got[b["seq"]].report_id == first[key]
+
+
+# --- named cases ---------------------------------------------------------------
+
+
+def one(spark, *rows):
+    return outcomes(route(frame(spark, rows)))
+
+
+def test_omitted_template_is_an_update_that_writes_nothing(spark):
+    df = route(frame(spark, [bundle(0, tpl="x"), bundle(1)]))
+    got = outcomes(df)
+    assert got[1][:3] == ("updated", "changed: template", 1)
+    assert version_rows(df).count() == 1
+
+
+def test_renamed_but_identical_sql_keeps_its_name(spark):
+    got = one(spark, bundle(0), bundle(1, json="b", sql_name="new.sql"))
+    assert got[1][1:4] == ("changed: json_config", 2, "q.sql")
+
+
+def test_token_with_spaces_is_another_key(spark):
+    got = one(spark, bundle(0), bundle(1, csi=" C1 "))
+    assert got[1][0] == "created"
+
+
+def test_config_name_is_part_of_the_key(spark):
+    got = one(spark, bundle(0), bundle(1, json_name="other.json"))
+    assert got[1][0] == "created" and got[0][-1] != got[1][-1]
+
+
+def test_repeats_in_a_batch_are_taken_in_turn(spark):
+    got = one(spark, bundle(0), bundle(1, sql="b"), bundle(2, sql="a"), bundle(3, sql="a"))
+    assert [got[i][0] for i in range(4)] == ["created", "updated", "updated", "skipped"]
+    assert [got[i][2] for i in range(4)] == [1, 2, 3, 3]
+
+
+def test_same_batch_again_is_skipped(spark):
+    rows = [bundle(i, csi=f"C{i}", tpl="x") for i in range(5)]
+    active = active_versions(version_rows(route(frame(spark, rows))))
+    again = outcomes(route(frame(spark, rows), active, "1"))
+    assert {g[0] for g in again.values()} == {"skipped"}
+
+
+def test_audit_text_leaves_out_an_omitted_template(spark):
+    df = route(frame(spark, [bundle(0, tpl="x"), bundle(1, sql="b")]))
+    assert outcomes(df)[1][1] == "changed: sql_file, template"
+    change = version_rows(df).where("version = 2").first().change
+    assert change == "Changed: sql_file (v1 → v2)"
