@@ -1,0 +1,38 @@
+"""Joins that spread hot keys give what plain joins give."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from bindery.operators.skew import SALTS, hot_keys, spread_join
+
+
+@pytest.fixture(scope="module")
+def sides(spark):
+    left = spark.range(3000).select(
+        "id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k")
+    )
+    left = left.withColumn("k", F.when(F.col("id") % 7 != 0, F.col("k")))
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("k2", 4)], "k string, v int")
+    return left, right
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_equals_plain_join(sides, how):
+    left, right = sides
+    assert hot_keys(left, ["k"], 500)
+    plain = left.join(right, ["k"], how)
+    spread = spread_join(left, right, ("k",), how, ("id",), hot_rows=500).select(*plain.columns)
+    assert sorted(map(str, spread.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_only_hot_keys_are_found(sides):
+    left, _ = sides
+    hot = {r[0] for r in hot_keys(left, ["k"], 500)}
+    want = left.groupBy("k").count().where("count > 500").select(F.xxhash64("k")).collect()
+    assert hot == {r[0] for r in want}
+
+
+def test_salts_spread_a_hot_key(sides):
+    left, _ = sides
+    salts = left.where("k = 'hot'").select(F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    assert salts.distinct().count() > SALTS * 0.8
