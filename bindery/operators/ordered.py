@@ -7,8 +7,8 @@ the segments before it arrives through a join with per-segment tails. Sequence
 numbers are unique, so a segment of width W never holds more than W rows, and
 the tails of a key number at most (highest sequence number / W).
 
-Which keys are cut only affects speed. Cutting any set of keys gives the same
-rows, so a sketch is good enough to choose them.
+Which keys are cut only affects speed; cutting any set of keys gives the same
+rows.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def segmented(
 ) -> tuple[DataFrame, Order]:
     """Cut hot keys into segments.
 
-    The hot keys (HOT_LIMIT at most) are fetched first: with none, as is usual,
+    The hot keys (a short list) are fetched first: with none, as is usual,
     the plan keeps to plain windows. Otherwise rows gain a segment column, null
     for the ordinary keys.
     """

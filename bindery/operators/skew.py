@@ -6,28 +6,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Row, functions as F
 
-# Bounds of the sketch: at most HOT_LIMIT keys come out of it, so its result
-# can always be fetched and broadcast; a key above 3.5 / TRACKED of all rows is
-# sure to be among them.
-HOT_LIMIT = 20_000
-TRACKED = 100_000
-
 HOT_ROWS = 2_000_000
 SALTS = 256
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], more_than: int) -> list[Row]:
-    """Hashes of the keys with (by estimate) more than `more_than` rows.
+    """Hashes of the keys with more than `more_than` rows.
 
-    One pass over the key columns; each task sends on a sketch, not rows.
+    One pass over the key columns alone. Counts are combined within each task
+    before the shuffle. There can be no more such keys than rows / more_than,
+    so the list is small enough to fetch and to broadcast, whatever the data.
     """
-    top = F.expr(f"approx_top_k(_key_hash, {HOT_LIMIT}, {TRACKED})")
     return (
-        df.select(F.xxhash64(*keys).alias("_key_hash"))
-        .agg(top.alias("top"))
-        .select(F.inline("top"))
+        df.groupBy(F.xxhash64(*keys).alias("_hot_hash"))
+        .count()
         .where(F.col("count") > more_than)
-        .select(F.col("item").alias("_hot_hash"))
+        .select("_hot_hash")
         .collect()
     )
 

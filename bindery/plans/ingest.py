@@ -52,7 +52,7 @@ def ingest(
             }
         )
     checked = written(checked, "checked")
-    active = registry.active(before=batch_id)
+    active = registry.active(before=batch_id, touching=checked)
     routed = written(route(checked.where("valid"), active, batch_id, segment_rows), "routed")
 
     plan = blobs.upload_plan(blobs.uploads(routed), registry.blobs(before=batch_id))
@@ -81,7 +81,11 @@ def apply_patches(
         "error", F.coalesce("_known", F.when(F.col("json_sum").isNotNull(), F.col("error")))
     )
     checked = written(checked, "patches")
-    active = registry.active(before=batch_id)
+    # A patch may move a record to a key that another report of its KEY3 holds.
+    named = registry.versions(before=batch_id).join(
+        checked.select("report_id").distinct(), "report_id", "left_semi"
+    )
+    active = written(registry.active(before=batch_id, touching=named), "active")
     outcome = written(patch(checked, active, segment_rows), "patched")
     done = outcome.where("error IS NULL").select("seq", "changed")
     files = blobs.brought(checked.join(done, "seq"))

@@ -12,6 +12,7 @@ batch id, it replaces what it wrote. One batch at a time writes.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
 
 from bindery.operators import blobs as blob_ops, retention
 from bindery.operators.chain import active_versions, with_successor
-from bindery.schemas import BLOBS, VERSIONS
+from bindery.schemas import BLOBS, KEY3, VERSIONS
 from bindery.session import written
 
 _BATCH = [T.StructField("batch_id", T.StringType(), True)]
@@ -53,8 +54,19 @@ class Registry:
         rows = self._read(self._versions_path(self.generation()), VERSIONS)
         return rows if before is None else rows.where(F.col("batch_id") != before)
 
-    def active(self, before: str | None = None) -> DataFrame:
-        return active_versions(self.versions(before))
+    def active(
+        self, before: str | None = None, touching: DataFrame | None = None, on: Sequence[str] = KEY3
+    ) -> DataFrame:
+        """Active versions; of the groups that `touching` names only, if given.
+
+        A batch needs the few groups it touches. Both KEY3 and the report id
+        stay the same along a chain, so cutting down to them first keeps whole
+        chains, and the bulk of the registry is not shuffled.
+        """
+        rows = self.versions(before)
+        if touching is not None:
+            rows = rows.join(touching.select(*on).distinct(), list(on), "left_semi")
+        return active_versions(rows)
 
     def blobs(self, before: str | None = None) -> DataFrame:
         """Blobs not collected as garbage. A content stored again under a later

@@ -3,7 +3,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from bindery.operators import chain, export, fetch, retention
 from bindery.operators.facts import content_facts
@@ -34,10 +33,9 @@ def test_facts_need_no_shuffle(spark):
     assert "Exchange" not in text
 
 
-def test_lookups_push_their_filters(spark):
-    rows = views.versions(spark, SF_DIR)
-    text = plan(fetch.matching(rows.withColumn("active", F.lit(True)), {"csi_id": "CSI-0001"}))
-    assert "EqualTo(csi_id,CSI-0001)" in text
+def test_lookups_push_their_filters_to_both_scans(spark):
+    rows = fetch.matching(views.current(spark, SF_DIR), {"csi_id": "CSI-0001"}, False)
+    assert plan(rows).count("EqualTo(csi_id,CSI-0001)") == 2
 
 
 def test_audit_feed_needs_no_shuffle(spark):

@@ -37,6 +37,13 @@ def _table(columns, rows):
     )
 
 
+# Types of the two engines that stand for each other.
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP", "double": "DOUBLE",
+}
+
+
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
@@ -46,8 +53,11 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF_DIR)
     got_cols, got = _table(df.columns, [tuple(r) for r in df.collect()])
     result = duck.execute(ORACLES[name])
-    want_cols, want = _table([c[0] for c in result.description], result.fetchall())
+    described = result.description
+    want_cols, want = _table([c[0] for c in described], result.fetchall())
     assert got_cols == want_cols
+    want_types = {c[0]: str(c[1]) for c in described}
+    assert {c: TYPES[t] for c, t in df.dtypes} == want_types
     assert got, "an empty result checks nothing"
     if got != want:
         extra, missing = sorted(set(got) - set(want))[:2], sorted(set(want) - set(got))[:2]
