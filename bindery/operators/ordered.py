@@ -41,15 +41,19 @@ class Order:
 
 
 def segmented(
-    df: DataFrame, order: Order, segment_rows: int = SEGMENT_ROWS
+    df: DataFrame,
+    order: Order,
+    segment_rows: int = SEGMENT_ROWS,
+    counted: DataFrame | None = None,
 ) -> tuple[DataFrame, Order]:
     """Cut hot keys into segments.
 
-    The hot keys (a short list) are fetched first: with none, as is usual,
-    the plan keeps to plain windows. Otherwise rows gain a segment column, null
-    for the ordinary keys.
+    The hot keys (a short list) are fetched first: with none, as is usual, the
+    plan keeps to plain windows. Otherwise rows gain a segment column, null for
+    the ordinary keys. Where `df` is a batch on top of one base row per key, it
+    is enough to count the keys of the batch, given as `counted`.
     """
-    hot = hot_keys(df, order.keys, segment_rows)
+    hot = hot_keys(df if counted is None else counted, order.keys, segment_rows)
     if not hot:
         return df, order
     number = F.floor(F.col(order.seq) / F.lit(segment_rows)).cast("long")

@@ -76,7 +76,7 @@ def route(
         touched = base_rows(active).join(keys, list(KEY4), "left_semi")
         rows = rows.unionByName(touched)
 
-    rows, order = segmented(rows, ORDER, segment_rows)
+    rows, order = segmented(rows, ORDER, segment_rows, counted=bundles)
     rows = running(
         rows,
         order,
@@ -193,7 +193,7 @@ def create_only(
         keys = bundles.select(*KEY4).distinct()
         held = base_rows(active).select("seq", *KEY4, F.col("_base_report").alias("_holder"))
         rows = rows.unionByName(held.join(keys, list(KEY4), "left_semi"))
-    rows, order = segmented(rows, ORDER, segment_rows)
+    rows, order = segmented(rows, ORDER, segment_rows, counted=bundles)
     rows = running(rows, order, last={"_prior": F.col("seq")}, before_only=True)
     is_first = F.col("_prior").isNull()
     own_id = F.when(is_first, fp.report_id(KEY4, batch_id, "seq"))

@@ -25,27 +25,34 @@ PROFILES = {
 }
 
 
+def _steps() -> dict[str, Column]:
+    """Columns that several messages share, worked out once per row."""
+    return {
+        "_lead": F.concat(F.lit("Bundle #"), F.col("index").cast("string")),
+        "_has_template": F.coalesce(F.col("template") != "", F.lit(False)),
+        "_sql_ext": fp.suffix(F.col("sql_file")),
+        "_tpl_ext": fp.suffix(F.col("template")),
+        "_sql_name": fp.basename(F.col("sql_file")),
+        "_config_name": fp.basename(F.col("json_config")),
+    }
+
+
 def _says(*parts: str | Column) -> Column:
     """Message after the `Bundle #i` lead; strings are literal text."""
-    lead = F.concat(F.lit("Bundle #"), F.col("index").cast("string"))
-    return F.concat(lead, *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return F.concat(F.col("_lead"), *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _field_errors() -> Column:
+def _fields() -> list[Column]:
     each = [
         F.when(F.col(k).isNull(), f"missing required key '{k}'").when(
             text.is_blank(F.col(k)), f"'{k}' must not be blank"
         )
         for k in REQUIRED
     ]
-    return F.concat_ws("; ", *each)
-
-
-def _fields() -> list[Column]:
-    errors = _field_errors()
+    # No findings make an empty text, and that a null message.
+    errors = F.nullif(F.concat_ws("; ", *each), F.lit(""))
     csi = F.coalesce("csi_id", F.lit("?"))
-    message = _says(" (csi_id=", csi, "): validation failed — ", errors)
-    return [F.when(errors != "", message)]
+    return [_says(" (csi_id=", csi, "): validation failed — ", errors)]
 
 
 def _tokens() -> list[Column]:
@@ -59,10 +66,6 @@ def _tokens() -> list[Column]:
     ]
 
 
-def has_template() -> Column:
-    return F.coalesce(F.col("template") != "", F.lit(False))
-
-
 def _files() -> list[Column]:
     def check(label: str, path: str, size: str) -> Column:
         return F.when(F.col(size).isNull(), _says(f": {label} not found: ", F.col(path))).when(
@@ -72,12 +75,12 @@ def _files() -> list[Column]:
     return [
         check("JSON config", "json_config", "json_size"),
         check("SQL file", "sql_file", "sql_size"),
-        F.when(has_template(), check("Template", "template", "tpl_size")),
+        F.when(F.col("_has_template"), check("Template", "template", "tpl_size")),
     ]
 
 
 def _extensions() -> list[Column]:
-    sql, tpl = fp.suffix(F.col("sql_file")), fp.suffix(F.col("template"))
+    sql, tpl = F.col("_sql_ext"), F.col("_tpl_ext")
     shown = "{" + ", ".join(f"'{e}'" for e in text.TEMPLATE_EXTENSIONS) + "}"
     return [
         F.when(
@@ -85,31 +88,38 @@ def _extensions() -> list[Column]:
             _says(": SQL file must have extension {'.sql'}, got '", sql, "'"),
         ),
         F.when(
-            has_template() & ~tpl.isin(*text.TEMPLATE_EXTENSIONS),
+            F.col("_has_template") & ~tpl.isin(*text.TEMPLATE_EXTENSIONS),
             _says(": Template file extension '", tpl, f"' is not in allowed set {shown}"),
         ),
     ]
 
 
 def _sql() -> list[Column]:
-    finding = F.col("sql_finding")
-    return [F.when(finding.isNotNull(), _says(": ", finding, ": ", fp.basename(F.col("sql_file"))))]
+    # Null in a part of a message makes it null: no finding, no message.
+    return [_says(": ", F.col("sql_finding"), ": ", F.col("_sql_name"))]
 
 
 def _config() -> list[Column]:
-    name, finding = fp.basename(F.col("json_config")), F.col("json_finding")
+    name, finding = F.col("_config_name"), F.col("json_finding")
     ext = F.regexp_extract(name, r"(?s).+(\.[^.]+)$", 1)
-    return [
+    rest = (
+        F.when(finding == NOT_JSON, F.concat(F.lit(f": {NOT_JSON} in "), name))
+        .when(finding == NOT_UTF8, F.concat(F.lit(f": {NOT_UTF8}: "), name))
+        .when(
+            finding.isin(NO_REPORT, NO_NAME),
+            F.concat(F.lit(": JSON config '"), name, F.lit("' "), finding),
+        )
+        .otherwise(F.concat(F.lit(": "), finding))
+    )
+    said = (
         F.when(
-            fp.suffix(name) != text.CONFIG_EXTENSION,
-            _says(": JSON config must be a .json file, got: '", ext, "'"),
+            F.lower(ext) != text.CONFIG_EXTENSION,
+            F.concat(F.lit(": JSON config must be a .json file, got: '"), ext, F.lit("'")),
         )
-        .when(F.col("json_size") == 0, _says(": JSON config is empty: ", name))
-        .when(finding == NOT_JSON, _says(f": {NOT_JSON} in ", name))
-        .when(finding == NOT_UTF8, _says(f": {NOT_UTF8}: ", name))
-        .when(finding.isin(NO_REPORT, NO_NAME), _says(": JSON config '", name, "' ", finding))
-        .when(finding.isNotNull(), _says(": ", finding))
-    ]
+        .when(F.col("json_size") == 0, F.concat(F.lit(": JSON config is empty: "), name))
+        .otherwise(rest)
+    )
+    return [_says(said)]
 
 
 def validate(
@@ -129,11 +139,14 @@ def validate(
         found = [no_map] + [F.when(F.col("is_mapping"), c) for c in found]
     # Messages differ, so taking out null takes out nothing else; unlike a
     # filter with a lambda this stays within generated code.
+    steps = _steps()
     no_message = F.array(F.lit(None).cast("string"))
     return (
-        bundles.withColumn("errors", F.array_except(F.array(*found), no_message))
+        bundles.withColumns(steps)
+        .withColumn("errors", F.array_except(F.array(*found), no_message))
         .withColumn("error", F.get("errors", F.lit(0)))
         .withColumn("valid", F.col("error").isNull())
+        .drop(*steps)
     )
 
 
