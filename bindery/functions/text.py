@@ -54,3 +54,8 @@ def is_utf8(content: Column) -> Column:
 def iso_utc(ts: Column) -> Column:
     """ISO-8601 text of a UTC wall-clock timestamp, microseconds and offset kept."""
     return F.concat(F.date_format(ts, ISO_FORMAT), F.lit("+00:00"))
+
+
+def utc_now() -> Column:
+    """Wall clock in UTC, whatever the time zone of the session."""
+    return F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())

@@ -21,10 +21,13 @@ def details(checked: DataFrame, routed: DataFrame, inline: bool = False) -> Data
     """One row per bundle of the batch, failed or routed.
 
     `checked` holds `index`, `csi_id`, `valid` and `error`; `routed` what the
-    router made of the valid ones, with `seq` equal to `index`. `position`
-    sorts as reported: failures of a manifest come first, those of pushed
-    bundles stay in place.
+    router made of the valid ones, with `index` carried along or else equal to
+    `seq`. A `source` in both is kept. `position` sorts as reported: failures of
+    a manifest come first, those of pushed bundles stay in place.
     """
+    if "index" not in routed.columns:
+        routed = routed.withColumn("index", F.col("seq"))
+    source = ["source"] if "source" in checked.columns else []
     who = label(inline)
     shown = F.concat(
         F.lit("Bundle #"), F.col("index").cast("string"), F.lit(" '"), who, F.lit("': "),
@@ -32,6 +35,7 @@ def details(checked: DataFrame, routed: DataFrame, inline: bool = False) -> Data
     )
     none = F.lit(None)
     failed = checked.where(~F.col("valid")).select(
+        *source,
         "index",
         who.alias("label"),
         F.lit(FAILED).alias("status"),
@@ -40,7 +44,8 @@ def details(checked: DataFrame, routed: DataFrame, inline: bool = False) -> Data
         F.lit(IN_PROCESS if inline else PRE_FAILED).alias("reason"),
         (F.col("error") if inline else shown).alias("error"),
     )
-    done = routed.withColumn("index", F.col("seq")).select(
+    done = routed.select(
+        *source,
         "index",
         label(inline).alias("label"),
         "status",

@@ -8,6 +8,8 @@ windowed scan and not a loop.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from bindery.functions import fingerprint as fp
@@ -57,24 +59,26 @@ def route(
     active: DataFrame | None = None,
     batch_id: str = "0",
     segment_rows: int = SEGMENT_ROWS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Route bundles, known by their facts, against the active versions.
 
     `seq` is unique, not negative, and gives the processing order. Each row
     comes back with `status`, `reason`, `report_id`, `version`, `is_new_version`
-    and the effective files of the record after it.
+    and the effective files of the record after it; columns named in `carry`
+    come along.
     """
     rows = bundles.select(
         "seq", *KEY4, "sql_name", "tpl_name", "json_sum", "sql_sum", "tpl_sum",
         "json_size", "sql_size", "tpl_size", "name", "uploaded_at",
         F.lit(None).cast("string").alias("_base_report"),
-        F.lit(None).cast("int").alias("_base_version"),
+        F.lit(None).cast("int").alias("_base_version"), *carry,
     )
     if active is not None:
         # Only keys that the batch touches take part in the scan.
         keys = bundles.select(*KEY4).distinct()
         touched = base_rows(active).join(keys, list(KEY4), "left_semi")
-        rows = rows.unionByName(touched)
+        rows = rows.unionByName(touched, allowMissingColumns=True)
 
     rows, order = segmented(rows, ORDER, segment_rows, counted=bundles)
     rows = running(

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
+from bindery.functions.text import utc_now
 from bindery.operators import batch, blobs
-from bindery.operators.facts import content_facts
+from bindery.operators.facts import content_facts, file_facts
 from bindery.operators.ordered import SEGMENT_ROWS
-from bindery.operators.patch import patch, patched_versions
-from bindery.operators.route import route, version_rows
+from bindery.operators.patch import patch, patched_versions, resolve_keys
+from bindery.operators.route import create_only, route, version_rows
 from bindery.operators.validate import validate
 from bindery.plans.registry import Registry
+from bindery.schemas import FAILED
 from bindery.session import written
-from bindery.sources import inline
+from bindery.sources import files, inline, manifests
 
 
 def as_entries(bundles: DataFrame) -> DataFrame:
@@ -27,6 +31,37 @@ def as_entries(bundles: DataFrame) -> DataFrame:
     )
 
 
+def _checked(bundles: DataFrame, profile: str, strict_json: bool) -> DataFrame:
+    """Facts and findings of bundles with contents, written out for the steps
+    that follow."""
+    checked = validate(as_entries(content_facts(bundles, strict_json)), profile)
+    if "undecodable" in bundles.columns:
+        broken = F.concat(F.lit("Cannot decode "), F.col("undecodable"))
+        checked = checked.withColumns(
+            {
+                "error": F.coalesce(F.when(F.col("undecodable").isNotNull(), broken), "error"),
+                "valid": F.col("valid") & F.col("undecodable").isNull(),
+            }
+        )
+    return written(checked, "checked")
+
+
+def _store(
+    registry: Registry,
+    batch_id: str,
+    plan: DataFrame,
+    contents: DataFrame,
+    on: Sequence[str],
+    outcome: DataFrame,
+    versions: DataFrame,
+) -> DataFrame:
+    """Write a batch, blobs first and versions last; returns the stored outcome."""
+    registry.append_blobs(blobs.new_blobs(plan, contents, utc_now(), on), batch_id)
+    registry.append_outcomes(outcome, batch_id)
+    registry.append_versions(versions, batch_id)
+    return registry.spark.read.parquet(f"{registry.root}/outcomes/batch_id={batch_id}")
+
+
 def ingest(
     registry: Registry,
     bundles: DataFrame,
@@ -37,31 +72,18 @@ def ingest(
 ) -> DataFrame:
     """Validate, route and store one batch of bundles with contents.
 
-    Contents are read twice: for the facts, and to store the new blobs. The
-    facts are written out, because three sinks hang on them. Returns the
-    outcome rows as stored.
+    Contents are read twice: for the facts, and to store the new blobs. Returns
+    the outcome rows as stored.
     """
-    facts = content_facts(bundles, strict_json)
-    checked = validate(as_entries(facts), profile)
-    if "undecodable" in bundles.columns:
-        broken = F.concat(F.lit("Cannot decode "), F.col("undecodable"))
-        checked = checked.withColumns(
-            {
-                "error": F.coalesce(F.when(F.col("undecodable").isNotNull(), broken), "error"),
-                "valid": F.col("valid") & F.col("undecodable").isNull(),
-            }
-        )
-    checked = written(checked, "checked")
+    checked = _checked(bundles, profile, strict_json)
     active = registry.active(before=batch_id, touching=checked)
     routed = written(route(checked.where("valid"), active, batch_id, segment_rows), "routed")
-
     plan = blobs.upload_plan(blobs.uploads(routed), registry.blobs(before=batch_id))
-    contents = blobs.contents(bundles)
-    registry.append_blobs(blobs.new_blobs(plan, contents, F.localtimestamp()), batch_id)
     outcome = batch.details(checked, routed, inline=profile == "inline")
-    registry.append_outcomes(outcome, batch_id)
-    registry.append_versions(version_rows(routed), batch_id)
-    return registry.spark.read.parquet(f"{registry.root}/outcomes/batch_id={batch_id}")
+    contents = blobs.contents(bundles)
+    return _store(
+        registry, batch_id, plan, contents, blobs.UPLOAD, outcome, version_rows(routed)
+    )
 
 
 def ingest_requests(registry: Registry, requests: DataFrame, batch_id: str, **options) -> DataFrame:
@@ -69,30 +91,93 @@ def ingest_requests(registry: Registry, requests: DataFrame, batch_id: str, **op
     return ingest(registry, inline.decode_bundles(requests), batch_id, "inline", **options)
 
 
-def apply_patches(
-    registry: Registry, patches: DataFrame, batch_id: str, segment_rows: int = SEGMENT_ROWS
+def ingest_manifests(
+    registry: Registry,
+    entries: DataFrame,
+    on_disk: DataFrame,
+    batch_id: str,
+    strict_json: bool = False,
+    segment_rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """Validate, route and store the entries of manifests, whose files are on disk.
+
+    Each file is read once for its facts, however many entries name it; entries
+    are joined with these, and a new content is read from one of its paths.
+    """
+    facts = written(file_facts(on_disk, strict_json), "file_facts")
+    checked = validate(files.attach(entries, facts), "manifest")
+    checked = written(manifests.numbered(checked), "checked")
+    bundles = files.as_bundles(checked.where("valid"), F.col("seq"), utc_now(), ("source", "index"))
+    active = registry.active(before=batch_id, touching=bundles)
+    carry = ("source", "index")
+    routed = written(route(bundles, active, batch_id, segment_rows, carry), "routed")
+    plan = blobs.upload_plan(blobs.uploads(routed), registry.blobs(before=batch_id))
+    by_path = blobs.plan_by_path(plan, facts)
+    outcome = batch.details(checked, routed)
+    contents = on_disk.select("path", "content")
+    return _store(
+        registry, batch_id, by_path, contents, ("path",), outcome, version_rows(routed)
+    )
+
+
+def create_records(
+    registry: Registry, bundles: DataFrame, batch_id: str, segment_rows: int = SEGMENT_ROWS
 ) -> DataFrame:
-    """Apply one batch of decoded patches with contents; returns the outcome."""
-    facts = content_facts(patches)
-    entry = facts.withColumns(
-        {"index": F.col("seq"), "json_config": F.col("json_name"), "_known": F.col("error")}
+    """Store bundles whose key is free; the others fail as duplicates."""
+    checked = _checked(bundles, "create", False)
+    active = registry.active(before=batch_id, touching=checked)
+    tried = written(create_only(checked.where("valid"), active, batch_id, segment_rows), "tried")
+    refused = tried.where(F.col("status") == FAILED).select("seq", F.col("error").alias("_refused"))
+    judged = written(
+        checked.join(refused, "seq", "left").withColumns(
+            {
+                "valid": F.col("valid") & F.col("_refused").isNull(),
+                "error": F.coalesce("error", "_refused"),
+            }
+        ),
+        "judged",
     )
-    checked = validate(entry, "create").withColumn(
+    routed = written(route(judged.where("valid"), None, batch_id, segment_rows), "routed")
+    plan = blobs.upload_plan(blobs.uploads(routed), registry.blobs(before=batch_id))
+    outcome = batch.details(judged, routed, inline=True)
+    contents = blobs.contents(bundles)
+    return _store(
+        registry, batch_id, plan, contents, blobs.UPLOAD, outcome, version_rows(routed)
+    )
+
+
+def apply_patches(
+    registry: Registry,
+    patches: DataFrame,
+    batch_id: str,
+    by_key: bool = False,
+    segment_rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """Apply one batch of decoded patches with contents; returns the outcome.
+
+    A patch names its record by `report_id`, or with `by_key` by the three key
+    columns and the name of the config it brings.
+    """
+    entry = as_entries(content_facts(patches))
+    known = F.col("error") if "error" in patches.columns else F.lit(None).cast("string")
+    checked = validate(entry.withColumn("_known", known), "create").withColumn(
         "error", F.coalesce("_known", F.when(F.col("json_sum").isNotNull(), F.col("error")))
     )
     checked = written(checked, "patches")
-    # A patch may move a record to a key that another report of its KEY3 holds.
-    named = registry.versions(before=batch_id).join(
-        checked.select("report_id").distinct(), "report_id", "left_semi"
-    )
-    active = written(registry.active(before=batch_id, touching=named), "active")
+    if by_key:
+        active = written(registry.active(before=batch_id, touching=checked), "active")
+        checked = written(resolve_keys(checked, active), "resolved")
+    else:
+        # A patch may move a record to a key that another report of its KEY3 holds.
+        named = registry.versions(before=batch_id).join(
+            checked.select("report_id").distinct(), "report_id", "left_semi"
+        )
+        active = written(registry.active(before=batch_id, touching=named), "active")
     outcome = written(patch(checked, active, segment_rows), "patched")
-    done = outcome.where("error IS NULL").select("seq", "changed")
-    files = blobs.brought(checked.join(done, "seq"))
-    plan = blobs.upload_plan(files, registry.blobs(before=batch_id))
-    registry.append_blobs(
-        blobs.new_blobs(plan, blobs.contents(patches), F.localtimestamp()), batch_id
+    done = outcome.where("error IS NULL").select("seq")
+    brought = blobs.brought(checked.join(done, "seq", "left_semi"))
+    plan = blobs.upload_plan(brought, registry.blobs(before=batch_id))
+    contents = blobs.contents(patches)
+    return _store(
+        registry, batch_id, plan, contents, blobs.UPLOAD, outcome, patched_versions(outcome)
     )
-    registry.append_outcomes(outcome, batch_id)
-    registry.append_versions(patched_versions(outcome), batch_id)
-    return outcome

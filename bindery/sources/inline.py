@@ -33,7 +33,7 @@ def decode_bundles(requests: DataFrame) -> DataFrame:
         bad.append(F.when(asked[short] & F.col(f"{short}_content").isNull(), F.lit(name)))
     return out.select(
         "seq", "csi_id", "region", "regulation",
-        F.col("submitted_at").alias("uploaded_at"),
+        F.coalesce("submitted_at", text.utc_now()).alias("uploaded_at"),
         F.col("json_config_filename").alias("json_name"),
         F.col("sql_file_filename").alias("sql_name"),
         F.when(has_tpl, F.col("template_filename")).alias("tpl_name"),

@@ -70,3 +70,13 @@ def entries(manifests: DataFrame) -> DataFrame:
     return manifests.select("source", F.posexplode("bundles").alias("index", "b")).select(
         "source", "index", F.col("b").isNotNull().alias("is_mapping"), "b.*"
     )
+
+
+def numbered(entries: DataFrame) -> DataFrame:
+    """Add `seq`, rising by source and index: the order in which to take entries.
+
+    Range partitions are numbered on their own, so no task sees all rows. Write
+    the result out before using it twice.
+    """
+    rows = entries.repartitionByRange("source", "index").sortWithinPartitions("source", "index")
+    return rows.withColumn("seq", F.monotonically_increasing_id())

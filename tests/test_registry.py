@@ -13,7 +13,13 @@ from bindery.operators.facts import content_facts, file_facts
 from bindery.operators.route import route
 from bindery.operators.validate import validate
 from bindery.plans import views
-from bindery.plans.ingest import apply_patches, ingest, ingest_requests
+from bindery.plans.ingest import (
+    apply_patches,
+    create_records,
+    ingest,
+    ingest_manifests,
+    ingest_requests,
+)
 from bindery.plans.registry import Registry
 from bindery.session import fresh_path, written
 from bindery.sources import files, inline, manifests
@@ -133,6 +139,37 @@ def test_patches_are_stored(spark, bundles):
     assert stored.content_type == "application/sql"
 
 
+def test_patches_by_key_are_stored(spark, bundles):
+    reg = Registry(spark, fresh_path(spark, "registry"))
+    ingest(reg, bundles.where("seq < 100"), "a")
+    n = reg.versions().count()
+    some = bundles.where("seq >= 100 AND seq < 300").drop("name")
+    got = apply_patches(reg, some, "p", by_key=True)
+    held = reg.active(before="p").select(
+        "csi_id", "region", "regulation", F.col("original_files.json_config").alias("json_name")
+    )
+    found = some.join(held, held.columns, "left_semi").count()
+    assert 0 < found < 200 and got.count() == 200
+    assert got.where("status = 'updated'").count() == found
+    assert reg.versions().count() == n + found
+    assert all("No active record found for csi_id=" in r.error
+               for r in got.where("status = 'failed'").collect())
+    assert dangling(reg.versions(), reg.blobs()).isEmpty()
+    assert integrity.broken_chains(reg.versions()).isEmpty()
+
+
+def test_create_refuses_taken_keys(spark, bundles):
+    reg = Registry(spark, fresh_path(spark, "registry"))
+    first = create_records(reg, bundles.where("seq < 200"), "a")
+    made = first.where("status = 'created'").count()
+    assert made == bundles.where("seq < 200").select(
+        "csi_id", "region", "regulation", "json_name").distinct().count() == reg.versions().count()
+    assert made + first.where("error LIKE 'An active record already exists%'").count() == 200
+    again = create_records(reg, bundles.where("seq < 200"), "b")
+    assert again.where("status = 'failed'").count() == 200
+    assert reg.versions().count() == made
+
+
 def test_export_to_folder_and_zip(spark, registry, tmp_path):
     versions = registry.active().limit(5)
     manifest = export.export_manifest(versions, registry.blobs())
@@ -227,13 +264,20 @@ bundles:
     assert got[0][0] and got[3][0]
     assert "SQL file not found: empty.sql" in got[1][1]
     assert got[2][1] == "Bundle #2: must be a mapping/dict"
-    ready = files.as_bundles(
-        checked.where("valid"), F.col("index"), F.lit("2024-01-01").cast("timestamp_ntz")
-    )
-    routed = {r.csi_id: r for r in route(ready).collect()}
-    assert routed["C1"].status == routed["C3"].status == "created"
-    assert (routed["C1"].json_name, routed["C1"].name) == ("a.json", "A")
-    assert (routed["C1"].tpl_size, routed["C3"].tpl_size) == (14, None)
+    reg = Registry(spark, fresh_path(spark, "registry"))
+    out = ingest_manifests(reg, entries, on_disk, "m").orderBy("position").collect()
+    assert [(r["index"], r.label, r.status) for r in out] == [
+        (1, "C2", "failed"), (2, "bundle-2", "failed"), (0, "C1", "created"), (3, "C3", "created"),
+    ]
+    rows = {r.csi_id: r for r in reg.active().collect()}
+    assert (rows["C1"].original_files.json_config, rows["C1"].name) == ("a.json", "A")
+    assert (rows["C1"].file_sizes.template, rows["C3"].file_sizes.template) == (14, None)
+    assert {bytes(b.content) for b in reg.blobs().collect()} == {
+        b'{"report": {"name": "A"}}', b"SELECT 1", b"hello {region}",
+    }
+    # The same manifest again finds nothing to do.
+    again = ingest_manifests(reg, entries, on_disk, "n")
+    assert {r.status for r in again.collect()} == {"failed", "skipped"}
 
 
 def test_json_manifests(spark, tmp_path):
