@@ -25,7 +25,7 @@ from bindery.plans.ingest import as_entries
 from bindery.plans.registry import Registry
 from bindery.schemas import KEY3, KEY4
 from bindery.session import fresh_path, written
-from bindery.sources import inline, manifests
+from bindery.sources import files, inline, manifests
 from bindery.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -652,8 +652,8 @@ def export_summary(spark, sf):
 def export_files(spark, sf):
     """Export to a table and read it back."""
     path = fresh_path(spark, "export")
-    files = export.exported_files(_manifest(spark, sf), views.document_blobs(spark, sf))
-    export.write_table(files, path)
+    out = export.exported_files(_manifest(spark, sf), views.document_blobs(spark, sf))
+    export.write_table(out, path)
     body = F.col("content")
     return spark.read.parquet(path).select(
         "report_id", "version", "file_type", "filename",
@@ -661,10 +661,24 @@ def export_files(spark, sf):
     )
 
 
+@query
+def export_folder(spark, sf):
+    """Export to single files and read these back as a source of bundle files."""
+    folder = fresh_path(spark, "files")
+    out = export.exported_files(_manifest(spark, sf), views.document_blobs(spark, sf))
+    export.write_folder(out, folder).write.format("noop").mode("overwrite").save()
+    found = files.read_files(spark, folder)
+    part = [F.regexp_extract("path", "([^/]+)/v([0-9]+)/([^/]+)$", i) for i in (1, 2, 3)]
+    return found.select(
+        part[0].alias("report_id"), part[1].cast("int").alias("version"),
+        part[2].alias("filename"), "length", fp.checksum(F.col("content")).alias("checksum"),
+    )
+
+
 @query
 def export_zip(spark, sf):
-    files = export.exported_files(_manifest(spark, sf), views.document_blobs(spark, sf))
-    return export.zips(files).select("report_id", "version", "zip_name", "n_files")
+    out = export.exported_files(_manifest(spark, sf), views.document_blobs(spark, sf))
+    return export.zips(out).select("report_id", "version", "zip_name", "n_files")
 
 
 # --- streaming -----------------------------------------------------------------

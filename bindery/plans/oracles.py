@@ -809,6 +809,9 @@ def oracle_sql() -> dict[str, str]:
   FROM decision""",
         "export_files": f"""WITH {_MANIFEST} SELECT report_id, version, file_type, filename,
     CAST(strlen(content) AS BIGINT) AS length, 'sha256:' || sha256(content) AS checksum
+  FROM manifest WHERE status = 'ok'""",
+        "export_folder": f"""WITH {_MANIFEST} SELECT report_id, version, filename,
+    CAST(strlen(content) AS BIGINT) AS length, 'sha256:' || sha256(content) AS checksum
   FROM manifest WHERE status = 'ok'""",
         "export_zip": f"""WITH {_MANIFEST} SELECT report_id, version,
     report_id || '_v' || version || '.zip' AS zip_name, CAST(count(*) AS INT) AS n_files
