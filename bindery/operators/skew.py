@@ -44,14 +44,16 @@ def spread_join(
     how: str,
     spread_by: Sequence[str],
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join whose left side may have hot keys.
 
     Left rows of a hot key are salted by a hash of `spread_by`, and the right
     rows of that key copied once per salt; every left row still meets each
-    right row once. `right` should have few rows per key.
+    right row once. `right` should have few rows per key. Keys are counted in
+    `counted`, or else in `left`, which had better be stored then.
     """
-    hot = hot_keys(left, on, hot_rows)
+    hot = hot_keys(left if counted is None else counted, on, hot_rows)
     if not hot:
         return left.join(right, list(on), how)
     salt = F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))

@@ -482,18 +482,18 @@ def batch_errors(spark, sf):
 
 @query
 def purge_plan(spark, sf):
-    return flat(retention.purge_plan(views.current(spark, sf)))
+    return flat(retention.purge_plan(views.marked(spark, sf)))
 
 
 @query
 def purge_plan_by_record(spark, sf):
-    return flat(retention.purge_plan(views.current(spark, sf), keep=5, scope="record"))
+    return flat(retention.purge_plan(views.marked(spark, sf), keep=5, scope="record"))
 
 
 @query
 def purge_one(spark, sf):
     """The group of one report: the one with the lowest id."""
-    versions = views.current(spark, sf)
+    versions = views.marked(spark, sf)
     one = versions.agg(F.min("report_id").alias("report_id"))
     return flat(retention.purge_plan(versions, keep=2, report_ids=one))
 
@@ -501,24 +501,25 @@ def purge_one(spark, sf):
 @query
 def purge_by_age(spark, sf):
     as_of = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
-    return flat(retention.purge_by_age(views.current(spark, sf), as_of, 10))
+    return flat(retention.purge_by_age(views.marked(spark, sf), as_of, 10))
 
 
 @query
 def purge_counts(spark, sf):
-    versions = views.current(spark, sf)
+    versions = views.marked(spark, sf)
     return retention.purge_counts(versions, retention.purge_plan(versions))
 
 
 @query
 def purge_totals(spark, sf):
-    versions = views.current(spark, sf)
+    versions = views.marked(spark, sf)
     counts = retention.purge_counts(versions, retention.purge_plan(versions, keep=2))
     return retention.purge_totals(counts)
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return chain.with_successor(views.document_versions(spark, sf))
+    build = lambda: chain.with_successor(views.document_versions(spark, sf))
+    return views.stored(spark, sf, "marked_documents", build)
 
 
 @query

@@ -105,6 +105,7 @@ def ingest_manifests(
     are joined with these, and a new content is read from one of its paths.
     """
     facts = written(file_facts(on_disk, strict_json), "file_facts")
+    entries = written(entries, "entries")
     checked = validate(files.attach(entries, facts), "manifest")
     checked = written(manifests.numbered(checked), "checked")
     bundles = files.as_bundles(checked.where("valid"), F.col("seq"), utc_now(), ("source", "index"))

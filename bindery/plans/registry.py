@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
 
+from bindery.functions.text import utc_now
 from bindery.operators import blobs as blob_ops, retention
 from bindery.operators.chain import active_versions, with_successor
 from bindery.schemas import BLOBS, KEY3, VERSIONS
@@ -84,6 +85,23 @@ class Registry:
     def append_outcomes(self, rows: DataFrame, batch_id: str) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/outcomes/batch_id={batch_id}")
 
+    def clean(
+        self,
+        keep: int = retention.KEEP_VERSIONS,
+        max_age_days: int | None = None,
+        report_ids: DataFrame | None = None,
+        scope: str = "triple",
+        dry_run: bool = False,
+    ) -> DataFrame:
+        """Apply a retention rule: by age if `max_age_days` is given, otherwise by
+        number, for all groups or those of the given reports."""
+        marked = written(with_successor(self.versions()), "marked")
+        if max_age_days:
+            plan = retention.purge_by_age(marked, utc_now(), max_age_days)
+        else:
+            plan = retention.purge_plan(marked, keep, scope, report_ids)
+        return self.purge(written(plan, "plan"), dry_run)
+
     def purge(self, plan: DataFrame, dry_run: bool = False) -> DataFrame:
         """Remove planned versions; returns purged and kept per group.
 

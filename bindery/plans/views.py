@@ -287,6 +287,11 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_successor(versions(spark, sf_dir))
 
 
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written out: retention goes over it several times."""
+    return stored(spark, sf_dir, "marked", lambda: current(spark, sf_dir))
+
+
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is known of the contents of the second batch."""
     build = lambda: content_facts(as_bundles(order_bundles(spark, sf_dir)))

@@ -111,6 +111,10 @@ def test_purge_and_blob_collection(spark, bundles):
     reg.collect_blobs()
     assert orphans(reg.blobs(), reg.versions()).isEmpty()
     assert dangling(reg.versions(), reg.blobs()).isEmpty()
+    # The same rule again finds nothing; all inactive versions are old enough.
+    assert reg.clean(keep=2).agg(F.sum("purged")).first()[0] == 0
+    idle = reg.versions().count() - reg.active().count()
+    assert reg.clean(max_age_days=90, dry_run=True).agg(F.sum("purged")).first()[0] == idle
     # Life goes on: later batches continue the chains that were cut short.
     ingest(reg, bundles.where("seq >= 600"), "c")
     assert integrity.broken_chains(reg.versions()).isEmpty()
