@@ -22,14 +22,6 @@ def _per_file(dtype: T.DataType, suffix: str = "") -> T.StructType:
     )
 
 
-AUDIT_ENTRY = T.StructType(
-    [
-        T.StructField("action", T.StringType(), False),
-        T.StructField("timestamp", T.TimestampNTZType(), False),
-        T.StructField("details", T.StringType(), False),
-    ]
-)
-
 # One row per version. There is no `active` column on disk: a version is active
 # while no later version of its report exists, which readers derive.
 VERSIONS = T.StructType(

@@ -51,6 +51,8 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     got_cols, got = _table(df.columns, [tuple(r) for r in df.collect()])
     result = duck.execute(ORACLES[name])
     described = result.description
