@@ -32,6 +32,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 #: At a similarity of 0.8 a pair is found with probability 1 - (1 - 0.8**5)**20 = 0.9996.
 BANDS, BAND_ROWS = 20, 5
+#: Bytes of text that are signed or compared at once; about a hundred times as much memory.
+BLOCK = 3 << 20
 #: The first time limit leaves a register empty with probability exp(-SLACK).
 SLACK = 5.0
 
@@ -134,7 +136,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def overlaps(pairs: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """a, b, similarity: the weighted Jaccard similarity of text_a and text_b."""
     for whole in pairs:
-        for batch in sliced([whole], "text_a"):
+        for batch in sliced([whole], "text_a", BLOCK):
             sides = [shingles(batch.column(c), n) for c in ("text_a", "text_b")]
             grams = np.concatenate([g for g, _ in sides])
             owners = np.concatenate([o for _, o in sides])
@@ -160,7 +162,7 @@ def banded(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """cls, keys for each row of (cls, text) whose text has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", BLOCK):
             grams, owners, weights = multisets(*shingles(batch.column("text"), n))
             signature = signatures(grams, owners, weights, batch.num_rows, bands * rows)
             some = np.bincount(owners, minlength=batch.num_rows) > 0
