@@ -21,8 +21,8 @@ def with_native_facts(df: DataFrame, body: Column, out: str) -> DataFrame:
     """Add struct `out` of `finding` and `name`, worked out inside the JVM.
 
     The text is parsed once, in a step of its own. Differs from `strict_config`
-    for rare texts only: NaN and duplicate keys are refused, and text after the
-    closing brace is not seen.
+    for rare texts only: NaN and duplicate keys are refused. The text is parsed as
+    the only element of a list, so whatever follows its closing brace breaks it.
     """
     name = F.when(F.schema_of_variant("_name") == "STRING", F.expr("CAST(_name AS STRING)"))
     finding = (
@@ -34,7 +34,14 @@ def with_native_facts(df: DataFrame, body: Column, out: str) -> DataFrame:
     )
     return (
         df.withColumn("_body", body)
-        .withColumn("_root", F.try_parse_json("_body"))
+        .withColumn("_list", F.try_parse_json(F.concat(F.lit("["), "_body", F.lit("\n]"))))
+        .withColumn(
+            "_root",
+            F.when(
+                F.try_variant_get("_list", "$[1]", "variant").isNull(),
+                F.try_variant_get("_list", "$[0]", "variant"),
+            ),
+        )
         .withColumns(
             {
                 "_root_type": F.schema_of_variant("_root"),
@@ -46,7 +53,7 @@ def with_native_facts(df: DataFrame, body: Column, out: str) -> DataFrame:
         )
         .withColumn("_name_text", name)
         .withColumn(out, F.struct(finding.alias("finding"), F.col("_name_text").alias("name")))
-        .drop("_body", "_root", "_root_type", "_report_type", "_name", "_name_text")
+        .drop("_body", "_list", "_root", "_root_type", "_report_type", "_name", "_name_text")
     )
 
 

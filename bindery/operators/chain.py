@@ -28,19 +28,33 @@ def _successors(versions: DataFrame) -> DataFrame:
 
 
 def with_successor(versions: DataFrame) -> DataFrame:
-    """Add `active` and `superseded_at` from the next version of the report.
+    """Add `active` and `superseded_at`, the time of the next version.
 
-    Version numbers of a report follow one another, so the next version is an
-    equi-join on (report_id, version). That pair is unique, so the rows of a
-    report with a very long chain spread over all tasks.
+    Active is the highest version of a report, wherever a purge has left gaps.
+    Both joins are on (report_id, version), which is unique, so the rows of a
+    report with a very long chain spread over all tasks; the highest version is
+    an aggregate that is combined before its shuffle.
     """
-    return versions.join(_successors(versions), list(_STEP), "left").withColumn(
-        "active", F.col("superseded_at").isNull()
+    newest = _newest(versions).withColumn("active", F.lit(True))
+    return (
+        versions.join(_successors(versions), list(_STEP), "left")
+        .join(newest, list(_STEP), "left")
+        .withColumn("active", F.coalesce("active", F.lit(False)))
     )
 
 
+def _newest(versions: DataFrame) -> DataFrame:
+    highest = versions.groupBy("report_id", *KEY3).agg(F.max("version").alias("version"))
+    return highest.select(*_STEP)
+
+
 def active_versions(versions: DataFrame) -> DataFrame:
-    """Only the versions that no later one has replaced."""
+    """The highest version of each report."""
+    return versions.join(_newest(versions), list(_STEP), "left_semi")
+
+
+def unreplaced_versions(versions: DataFrame) -> DataFrame:
+    """Versions without a next one: more than one in a report tells of a gap or a repeat."""
     nxt = _successors(versions).drop("superseded_at")
     return versions.join(nxt, list(_STEP), "left_anti")
 

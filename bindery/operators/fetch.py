@@ -24,7 +24,8 @@ LISTED = ("report_id", *KEY3, "name", "version", "uploaded_at")
 
 
 def _limited(df: DataFrame, limit: int | None) -> DataFrame:
-    return df if limit is None else df.orderBy(*PAGE_ORDER).limit(limit)
+    """The first rows; no limit means all, and so does zero, as document stores have it."""
+    return df.orderBy(*PAGE_ORDER).limit(limit) if limit else df
 
 
 def matching(

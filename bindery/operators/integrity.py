@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from bindery.operators.chain import active_versions
+from bindery.operators.chain import unreplaced_versions
 from bindery.schemas import KEY3
 
 
 def several_active_per_report(versions: DataFrame) -> DataFrame:
     """Reports with more than one active version (a gap or a double write)."""
     return (
-        active_versions(versions)
+        unreplaced_versions(versions)
         .groupBy("report_id")
         .agg(F.count("*").alias("n_active"))
         .where("n_active > 1")
@@ -21,7 +21,7 @@ def several_active_per_report(versions: DataFrame) -> DataFrame:
 def several_active_per_key(versions: DataFrame) -> DataFrame:
     """Composite keys held by more than one active version."""
     return (
-        active_versions(versions)
+        unreplaced_versions(versions)
         .groupBy(*KEY3, F.col("original_files.json_config").alias("json_name"))
         .agg(F.count("*").alias("n_active"))
         .where("n_active > 1")
@@ -31,8 +31,9 @@ def several_active_per_key(versions: DataFrame) -> DataFrame:
 def broken_chains(versions: DataFrame) -> DataFrame:
     """Per report: lowest version below 1, gaps, repeats, or missing references.
 
-    All are aggregates, combined before the shuffle. After retention a chain
-    may start above 1, but stays gapless.
+    All are aggregates, combined before the shuffle. A chain may start above 1
+    after retention; repeats are told by the distinct versions, so that a repeat
+    does not make up for a gap.
     """
     missing = (
         F.col("file_contents.json_config_id").isNull() | F.col("file_contents.sql_file_id").isNull()
@@ -43,10 +44,12 @@ def broken_chains(versions: DataFrame) -> DataFrame:
             F.min("version").alias("first_version"),
             F.max("version").alias("last_version"),
             F.count("*").alias("n_versions"),
+            F.count_distinct("version").alias("n_distinct"),
             F.count_if(missing).alias("missing_refs"),
         )
         .where(
             "first_version < 1 OR missing_refs > 0"
-            " OR last_version - first_version + 1 <> n_versions"
+            " OR last_version - first_version + 1 <> n_distinct OR n_distinct <> n_versions"
         )
+        .drop("n_distinct")
     )

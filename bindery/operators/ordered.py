@@ -58,7 +58,7 @@ def segmented(
         return df, order
     number = F.floor(F.col(order.seq) / F.lit(segment_rows)).cast("long")
     cut = flagged(df, order.keys, hot).withColumn(SEGMENT, F.when(F.col("_is_hot"), number))
-    return cut.drop("_is_hot"), replace(order, cut=True)
+    return cut.drop("_is_hot", "_hot_rows"), replace(order, cut=True)
 
 
 def _carried(
@@ -109,7 +109,13 @@ def running(
         plain = {n: F.coalesce(c, zero) if n in total else c for n, c in within.items()}
         return df.select("*", *[c.alias(n) for n, c in plain.items()])
 
-    joined = df.join(_carried(df, order, last, total), list(order.parts), "left")
+    # Key columns may be null; the segment is null for the ordinary keys, which inherit nothing.
+    carried = _carried(df, order, last, total)
+    carried = carried.withColumnsRenamed({p: f"_of_{p}" for p in order.parts})
+    same = F.col(SEGMENT) == F.col(f"_of_{SEGMENT}")
+    for key in order.keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_of_{key}"))
+    joined = df.join(carried, same, "left").drop(*[f"_of_{p}" for p in order.parts])
     scanned = joined.select("*", *[c.alias(f"_seg_{n}") for n, c in within.items()])
     done = {n: F.coalesce(f"_seg_{n}", f"_in_{n}") for n in last}
     done |= {n: F.coalesce(f"_seg_{n}", zero) + F.coalesce(f"_in_{n}", zero) for n in total}

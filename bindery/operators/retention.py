@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from bindery.operators.skew import SALTS, spread_join
+from bindery.operators.skew import spread_join
 from bindery.schemas import KEY3
 
+# Parts that a large group is thinned in before it is ranked as a whole.
+SALTS = 4096
+
 # Default retention.
 KEEP_VERSIONS = 3
 MAX_AGE_DAYS = 90

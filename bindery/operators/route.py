@@ -60,13 +60,15 @@ def route(
     batch_id: str = "0",
     segment_rows: int = SEGMENT_ROWS,
     carry: Sequence[str] = (),
+    identity: str | F.Column = "seq",
 ) -> DataFrame:
     """Route bundles, known by their facts, against the active versions.
 
     `seq` is unique, not negative, and gives the processing order. Each row
     comes back with `status`, `reason`, `report_id`, `version`, `is_new_version`
     and the effective files of the record after it; columns named in `carry`
-    come along.
+    come along. New report ids are made of the key, the batch and `identity`,
+    an expression that is unique within the batch and the same when it runs again.
     """
     rows = bundles.select(
         "seq", *KEY4, "sql_name", "tpl_name", "json_sum", "sql_sum", "tpl_sum",
@@ -100,7 +102,7 @@ def route(
             F.col("is_first") | F.col("json_changed") | F.col("sql_changed") | F.col("tpl_changed"),
         )
     )
-    own_id = fp.report_id(KEY4, batch_id, "seq")
+    own_id = fp.report_id(KEY4, batch_id, identity)
     tpl = F.struct("tpl_name", "tpl_sum", "tpl_size")
     rows = running(
         rows,
@@ -202,11 +204,12 @@ def create_only(
     is_first = F.col("_prior").isNull()
     own_id = F.when(is_first, fp.report_id(KEY4, batch_id, "seq"))
     rows = running(rows, order, last={"report_id": F.coalesce("_holder", own_id)})
+    csi_id, region, regulation, config = (F.coalesce(k, F.lit("")) for k in KEY4)
     duplicate = F.concat(
-        F.lit("An active record already exists for csi_id='"), F.col("csi_id"),
-        F.lit("' regulation='"), F.col("regulation"),
-        F.lit("' region='"), F.col("region"),
-        F.lit("' json_config='"), F.col("json_name"),
+        F.lit("An active record already exists for csi_id='"), csi_id,
+        F.lit("' regulation='"), regulation,
+        F.lit("' region='"), region,
+        F.lit("' json_config='"), config,
         F.lit("' (internal report_id="), F.col("report_id"),
         F.lit("). Use 'modify' to update it."),
     )

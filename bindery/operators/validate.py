@@ -15,13 +15,24 @@ from bindery.functions.config_json import NO_NAME, NO_REPORT, NOT_JSON, NOT_UTF8
 # Required fields, and which layers each way in applies.
 REQUIRED = ("csi_id", "region", "regulation", "json_config", "sql_file")
 TOKENS = ("csi_id", "region", "regulation")
-FIELDS, TOKEN, FILES, EXTENSIONS, SQL, CONFIG = (
-    "fields", "tokens", "files", "extensions", "sql", "config",
+FIELDS, TOKEN, FILES, EXTENSIONS, SQL, CONFIG, REQUEST = (
+    "fields", "tokens", "files", "extensions", "sql", "config", "request",
 )
 PROFILES = {
     "manifest": (FIELDS, TOKEN, FILES, EXTENSIONS, SQL, CONFIG),
-    "inline": (CONFIG, SQL),
-    "create": (CONFIG,),
+    "inline": (REQUEST, CONFIG, SQL),
+    "create": (REQUEST, CONFIG),
+    "patch": (CONFIG,),
+}
+# Fields that a pushed bundle must bring, and the columns that tell.
+PUSHED = {
+    "csi_id": "csi_id",
+    "region": "region",
+    "regulation": "regulation",
+    "json_config_filename": "json_config",
+    "json_config_content": "json_size",
+    "sql_file_filename": "sql_file",
+    "sql_file_content": "sql_size",
 }
 
 
@@ -55,6 +66,19 @@ def _fields() -> list[Column]:
     return [_says(" (csi_id=", csi, "): validation failed — ", errors)]
 
 
+def _request(undecodable: bool) -> list[Column]:
+    """Fields without a value; a content that can't be decoded is not missing."""
+    given = F.col("undecodable").isNotNull() if undecodable else F.lit(False)
+    each = [
+        F.when(
+            F.col(c).isNull() & ~(given if c.endswith("_size") else F.lit(False)),
+            f"missing required field '{field}'",
+        )
+        for field, c in PUSHED.items()
+    ]
+    return [_says(": ", F.nullif(F.concat_ws("; ", *each), F.lit("")))]
+
+
 def _tokens() -> list[Column]:
     allowed = "(only letters, digits, hyphens, underscores, dots allowed)"
     return [
@@ -131,7 +155,7 @@ def validate(
     """
     checks = {
         FIELDS: _fields, TOKEN: _tokens, FILES: _files, EXTENSIONS: _extensions, SQL: _sql,
-        CONFIG: _config,
+        CONFIG: _config, REQUEST: lambda: _request("undecodable" in bundles.columns),
     }
     found = [c for layer in layers or PROFILES[profile] for c in checks[layer]()]
     if "is_mapping" in bundles.columns:

@@ -342,13 +342,17 @@ def inline_decode(spark, sf):
 
 @query
 def patch_requests(spark, sf):
-    """Requests by orders: some ids are no UUIDs, some contents have no name."""
+    """Requests by orders: some ids are no UUIDs or missing, some contents have
+    no name or can't be decoded."""
     rows = views.patches(spark, sf)
     coded = {s: F.base64(F.col(f"{s}_text").cast("binary")) for s in _SHORT}
     odd = F.col("seq") % 7 == 0
+    torn = F.when(F.col("seq") % 13 == 0, "A").otherwise("")
+    coded["sql"] = F.concat(torn, coded["sql"])
+    given = F.when(F.col("seq") % 11 != 0, F.col("report_id"))
     made = rows.select(
         "seq",
-        F.when(odd, F.substring("report_id", 1, 20)).otherwise(F.col("report_id")).alias("report_id"),
+        F.when(odd, F.substring("report_id", 1, 20)).otherwise(given).alias("report_id"),
         F.col("json_name").alias("json_config_filename"),
         coded["json"].alias("json_config_content"),
         F.when(F.col("seq") % 5 != 0, F.col("sql_name")).alias("sql_file_filename"),
@@ -534,13 +538,36 @@ def blob_gc_unsafe(spark, sf):
     return retention.blob_gc_unsafe(versions, retention.purge_plan(versions))
 
 
+@query
+def purge_then_active(spark, sf):
+    """What is active after a purge by age, with times that don't follow the versions."""
+    ago = F.make_dt_interval((F.col("version") % 3) * 20)
+    rows = views.marked(spark, sf).withColumn("uploaded_at", F.col("uploaded_at") - ago)
+    as_of = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    plan = retention.purge_by_age(rows, as_of, 10)
+    rest = retention.survivors(rows.drop("active", "superseded_at"), plan)
+    return flat(chain.with_successor(rest), "active")
+
+
+@query
+def route_cut(spark, sf):
+    """Routing with every key cut into short segments, some keys having null parts."""
+    region = F.when(F.col("seq") % 3 != 0, F.col("region"))
+    rows = content_facts(views.as_bundles(views.submissions(spark, sf).withColumn("region", region)))
+    routed = route.route(written(rows, "facts"), segment_rows=2)
+    return routed.select("seq", "region", "status", "reason", "version", "stored_sql_name")
+
+
 def _damaged(spark: SparkSession, sf: str) -> DataFrame:
-    """The registry with versions lost, keys mixed up and references missing."""
+    """The registry with versions lost or written again, keys mixed up and
+    references missing."""
     lost = (F.col("version") == 3) & (F.col("regulation") == "ERROR")
     mixed = F.when(F.col("region") == "UK", F.lit("report_0.json"))
     no_ref = F.when(F.col("name") != "R4", F.col("file_contents.sql_file_id"))
+    again = (F.col("version") == 1) & (F.col("region") == "US")
+    versions = views.versions(spark, sf)
     return (
-        views.versions(spark, sf)
+        versions.unionByName(versions.where(again))
         .where(~lost)
         .withColumn(
             "original_files",

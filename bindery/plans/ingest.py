@@ -14,7 +14,7 @@ from bindery.operators.patch import patch, patched_versions, resolve_keys
 from bindery.operators.route import create_only, route, version_rows
 from bindery.operators.validate import validate
 from bindery.plans.registry import Registry
-from bindery.schemas import FAILED
+from bindery.schemas import FAILED, UPDATED
 from bindery.session import written
 from bindery.sources import files, inline, manifests
 
@@ -87,8 +87,10 @@ def ingest(
 
 
 def ingest_requests(registry: Registry, requests: DataFrame, batch_id: str, **options) -> DataFrame:
-    """Pushed bundles: decode, then as any batch."""
-    return ingest(registry, inline.decode_bundles(requests), batch_id, "inline", **options)
+    """Pushed bundles: decode, then as any batch. They count as uploaded now; the
+    time a client gives has no say in retention."""
+    bundles = inline.decode_bundles(requests).withColumn("uploaded_at", utc_now())
+    return ingest(registry, bundles, batch_id, "inline", **options)
 
 
 def ingest_manifests(
@@ -111,7 +113,10 @@ def ingest_manifests(
     bundles = files.as_bundles(checked.where("valid"), F.col("seq"), utc_now(), ("source", "index"))
     active = registry.active(before=batch_id, touching=bundles)
     carry = ("source", "index")
-    routed = written(route(bundles, active, batch_id, segment_rows, carry), "routed")
+    # Ids come from the place in the manifest: `seq` depends on the partitions.
+    place = F.concat_ws("#", F.col("source"), F.col("index").cast("string"))
+    routed = route(bundles, active, batch_id, segment_rows, carry, identity=place)
+    routed = written(routed, "routed")
     plan = blobs.upload_plan(blobs.uploads(routed), registry.blobs(before=batch_id))
     by_path = blobs.plan_by_path(plan, facts)
     outcome = batch.details(checked, routed)
@@ -161,7 +166,7 @@ def apply_patches(
     """
     entry = as_entries(content_facts(patches))
     known = F.col("error") if "error" in patches.columns else F.lit(None).cast("string")
-    checked = validate(entry.withColumn("_known", known), "create").withColumn(
+    checked = validate(entry.withColumn("_known", known), "patch").withColumn(
         "error", F.coalesce("_known", F.when(F.col("json_sum").isNotNull(), F.col("error")))
     )
     checked = written(checked, "patches")
@@ -175,7 +180,7 @@ def apply_patches(
         )
         active = written(registry.active(before=batch_id, touching=named), "active")
     outcome = written(patch(checked, active, segment_rows), "patched")
-    done = outcome.where("error IS NULL").select("seq")
+    done = outcome.where(F.col("status") == UPDATED).select("seq")
     brought = blobs.brought(checked.join(done, "seq", "left_semi"))
     plan = blobs.upload_plan(brought, registry.blobs(before=batch_id))
     contents = blobs.contents(patches)

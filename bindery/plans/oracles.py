@@ -201,6 +201,12 @@ c AS (
   FROM v WINDOW w AS (PARTITION BY report_id ORDER BY version)),
 act AS (SELECT * FROM c WHERE active)"""
 _REG = _SUB_ROUTED + "," + _CURRENT
+_CUT_ROUTED = (
+    SUBMISSIONS
+    + ", cut AS (SELECT * REPLACE (CASE WHEN seq % 3 <> 0 THEN region END AS region)"
+    + " FROM submissions),"
+    + route_sql("cut")
+)
 _DOC = DOCUMENTS + "," + route_sql("docs") + "," + _CURRENT
 _SECOND = _REG + "," + ORDER_BUNDLES + "," + route_sql("order_bundles", "1", "act", "b_")
 
@@ -363,6 +369,18 @@ def _ext_checks() -> list[str]:
     ]
 
 
+def _request_checks() -> list[str]:
+    fields = {
+        "csi_id": "csi_id", "region": "region", "regulation": "regulation",
+        "json_config_filename": "json_name", "json_config_content": "json_text",
+        "sql_file_filename": "sql_name", "sql_file_content": "sql_text",
+    }
+    each = ", ".join(
+        f"CASE WHEN {c} IS NULL THEN 'missing required field ''{f}''' END" for f, c in fields.items()
+    )
+    return [f"{_LEAD}': ' || nullif(concat_ws('; ', {each}), '')"]
+
+
 def _sql_checks() -> list[str]:
     return [
         f"CASE WHEN trim(sql_text, {_SPACE}) = '' THEN {_LEAD}': SQL file contains only"
@@ -527,7 +545,8 @@ _DAMAGED = f"""{_SUB_ROUTED},
 damaged AS (
   SELECT * REPLACE (CASE WHEN region = 'UK' THEN 'report_0.json' ELSE json_name END AS json_name,
     CASE WHEN name <> 'R4' THEN sql_sum END AS sql_sum)
-  FROM v WHERE NOT (version = 3 AND regulation = 'ERROR')),
+  FROM (FROM v UNION ALL FROM v WHERE version = 1 AND region = 'US')
+  WHERE NOT (version = 3 AND regulation = 'ERROR')),
 standing AS (
   SELECT d.* FROM damaged d ANTI JOIN damaged n
     ON n.report_id = d.report_id AND n.version = d.version + 1)"""
@@ -549,7 +568,9 @@ decoded AS (
 
 _PATCH_REQUESTS = f"""{_PATCHES},
 made AS (
-  SELECT seq, CASE WHEN seq % 7 = 0 THEN report_id[1:20] ELSE report_id END AS report_id,
+  SELECT seq, CASE WHEN seq % 7 = 0 THEN report_id[1:20] WHEN seq % 11 <> 0 THEN report_id
+      END AS report_id,
+    seq % 13 = 0 AND sql_text IS NOT NULL AS torn,
     json_name, json_text, CASE WHEN seq % 5 <> 0 THEN sql_name END AS sql_name, sql_text,
     tpl_name, tpl_text FROM patches)"""
 
@@ -723,14 +744,17 @@ def oracle_sql() -> dict[str, str]:
     CASE WHEN template_filename IS NOT NULL THEN decode(from_base64(tpl64)) END AS tpl_text,
     CASE WHEN length(clean) % 4 <> 0 THEN 'sql_file' END AS undecodable FROM decoded""",
         "patch_requests": f"""WITH {_PATCH_REQUESTS} SELECT seq, report_id,
-    CASE WHEN NOT regexp_full_match(replace(report_id, '-', ''), '[0-9A-Fa-f]{{32}}') THEN
-        'Invalid report_id format: ''' || report_id || ''' must be a UUID'
+    CASE WHEN report_id IS NULL
+        OR NOT regexp_full_match(replace(report_id, '-', ''), '[0-9A-Fa-f]{{32}}') THEN
+        'Invalid report_id format: ''' || coalesce(report_id, 'None') || ''' must be a UUID'
       WHEN json_text IS NULL AND sql_text IS NULL AND tpl_text IS NULL THEN
         'At least one file must be provided.'
       WHEN json_text IS NULL AND tpl_text IS NULL AND sql_name IS NULL THEN
-        'At least one file must be provided for modification.' END AS error,
+        'At least one file must be provided for modification.'
+      WHEN sql_name IS NOT NULL AND torn THEN 'Cannot decode sql_file' END AS error,
     json_name, sql_name, tpl_name, json_text,
-    CASE WHEN sql_name IS NOT NULL THEN sql_text END AS sql_text, tpl_text FROM made""",
+    CASE WHEN sql_name IS NOT NULL AND NOT torn THEN sql_text END AS sql_text, tpl_text
+    FROM made""",
         "content_types": f"WITH {FLAWED} SELECT seq, sql_name, tpl_name,"
         f" {_type('sql_name')} AS sql_type, {_type('tpl_name')} AS tpl_type FROM flawed",
         "validate_tokens": _finding_query(FLAWED, "flawed", _token_checks()),
@@ -742,8 +766,10 @@ def oracle_sql() -> dict[str, str]:
         "validate_config_strict": _finding_query(FLAWED, "flawed", _config_checks()),
         "validate_bundles": _finding_query(FLAWED, "flawed", *_MANIFEST_LAYERS),
         "validate_pages": _finding_query(PAGES, "page_bundles", *_MANIFEST_LAYERS),
-        "validate_inline": _finding_query(FLAWED, "flawed", _config_checks(), _sql_checks()),
-        "validate_create": _finding_query(FLAWED, "flawed", _config_checks()),
+        "validate_inline": _finding_query(
+            FLAWED, "flawed", _request_checks(), _config_checks(), _sql_checks()
+        ),
+        "validate_create": _finding_query(FLAWED, "flawed", _request_checks(), _config_checks()),
         "batch_details": f"WITH {_DETAILS} SELECT * FROM details",
         "batch_summary": f"""WITH {_DETAILS} SELECT
     count(*) FILTER (WHERE status = 'created') AS created,
@@ -771,11 +797,20 @@ def oracle_sql() -> dict[str, str]:
         "check_active_key": f"WITH {_DAMAGED} SELECT {_KEY}, count(*) AS n_active"
         " FROM standing GROUP BY ALL HAVING count(*) > 1",
         "check_chain": f"""WITH {_DAMAGED},
+  s AS (SELECT *, lag(version) OVER (PARTITION BY report_id ORDER BY version) AS prior
+    FROM damaged),
   t AS (SELECT report_id, min(version) AS first_version, max(version) AS last_version,
     count(*) AS n_versions, count(*) FILTER (WHERE json_sum IS NULL OR sql_sum IS NULL)
-      AS missing_refs FROM damaged GROUP BY report_id)
-  SELECT * FROM t WHERE first_version < 1 OR missing_refs > 0
-    OR last_version - first_version + 1 <> n_versions""",
+      AS missing_refs, bool_or(prior IS NOT NULL AND version <> prior + 1) AS broken
+    FROM s GROUP BY report_id)
+  SELECT * EXCLUDE (broken) FROM t WHERE first_version < 1 OR missing_refs > 0 OR broken""",
+        "purge_then_active": f"""WITH {_REG},
+  s AS (SELECT * REPLACE (uploaded_at - (version % 3) * INTERVAL 20 DAY AS uploaded_at) FROM c),
+  rest AS (SELECT * EXCLUDE (active), version = max(version) OVER (PARTITION BY report_id)
+    AS active FROM s WHERE active OR uploaded_at >= TIMESTAMP '2024-01-21')
+  SELECT {_FLAT}, active FROM rest""",
+        "route_cut": f"""WITH {_CUT_ROUTED}
+  SELECT seq, region, status, reason, version, e_sql_name AS stored_sql_name FROM routed""",
         "blob_upload_plan": f"WITH {_SECOND},{_REFS},"
         + _upload_plan("b_routed", "SELECT blob_id FROM refs")
         + " SELECT * FROM upload_plan",

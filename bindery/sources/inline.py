@@ -8,6 +8,7 @@ from bindery.functions import text
 from bindery.operators.patch import NO_FILE
 from bindery.schemas import INLINE_BUNDLE, PATCH_REQUEST
 
+CANNOT_DECODE = "Cannot decode "
 _FILES = {"json": "json_config", "sql": "sql_file", "tpl": "template"}
 
 
@@ -58,7 +59,11 @@ def build_payload(bundles: DataFrame) -> DataFrame:
 
 
 def decode_patches(requests: DataFrame) -> DataFrame:
-    """Check and decode patch requests; a content without a file name is ignored."""
+    """Check and decode patch requests; a content without a file name is ignored.
+
+    One file that can't be decoded fails the patch as a whole. Patches count as
+    uploaded now.
+    """
     contents = [F.coalesce(F.col(f"{n}_content") != "", F.lit(False)) for n in _FILES.values()]
     usable = [
         c & F.coalesce(F.col(f"{n}_filename") != "", F.lit(False))
@@ -67,9 +72,11 @@ def decode_patches(requests: DataFrame) -> DataFrame:
     out = requests.withColumn(
         "error",
         F.when(
-            ~text.is_uuid(F.col("report_id")),
+            ~F.coalesce(text.is_uuid(F.col("report_id")), F.lit(False)),
             F.concat(
-                F.lit("Invalid report_id format: '"), F.col("report_id"), F.lit("' must be a UUID")
+                F.lit("Invalid report_id format: '"),
+                F.coalesce("report_id", F.lit("None")),
+                F.lit("' must be a UUID"),
             ),
         )
         .when(~(contents[0] | contents[1] | contents[2]), "At least one file must be provided.")
@@ -82,8 +89,12 @@ def decode_patches(requests: DataFrame) -> DataFrame:
                 f"{short}_content": F.when(use, text.decode_base64(F.col(f"{name}_content"))),
             }
         )
-    return out.select(
-        "seq", "report_id", "error",
+    broken = [
+        F.when(use & F.col(f"{short}_content").isNull(), f"{CANNOT_DECODE}{name}")
+        for (short, name), use in zip(_FILES.items(), usable)
+    ]
+    return out.withColumn("error", F.coalesce("error", *broken)).select(
+        "seq", "report_id", "error", text.utc_now().alias("uploaded_at"),
         *[f"{s}_{c}" for s in _FILES for c in ("name", "content")],
     )
 

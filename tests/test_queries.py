@@ -8,10 +8,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from bindery.plans import catalog, oracles
 
 SF_DIR = os.environ.get("BINDERY_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
