@@ -26,7 +26,7 @@ from bindery.llm.rows import KEY, keyed
 ORDER = 3
 ALPHA = 0.4
 #: Bytes of text in a block; pieces sent number blocks x buckets, so take more on large machines.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 10 << 20
 
 SENT = "block long, bucket long, grams binary, counts binary"
 SCORES = "doc_id long, n_words long, log_score double, mean_log_score double, n_backed_off long"
@@ -44,7 +44,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def grams_of(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams inside texts and their positions; n = 0: one for each word."""
+    """Hashes of all n-grams inside texts and their positions; n = 0: zero for each word."""
     if n == 0:
         return np.zeros(len(words.codes), np.uint64), np.arange(len(words.codes))
     grams, at = ngram_hashes(word_hashes(words), words.starts, n)
@@ -99,28 +99,54 @@ def answer(table: pa.Table) -> pa.Table:
     )
 
 
-def others(words: Words, n: int, known: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """For each position the count of the n-gram that begins there in other documents, else -1."""
-    out = np.full(len(words.codes), -1, np.int64)
-    grams, at = grams_of(words, n)
-    owner = words.owners()[at].astype(np.uint64)
-    _, entry, own = np.unique(mix(grams ^ mix(owner)), return_inverse=True, return_counts=True)
-    out[at] = totals[np.searchsorted(known, grams)].astype(np.int64) - own[entry]
-    return out
+class Sorted:
+    """The n-grams of a block in order of hash, and then of place."""
+
+    def __init__(self, words: Words, n: int):
+        grams, self.at = grams_of(words, n)
+        self.order = np.argsort(grams, kind="stable")
+        grams = grams[self.order]
+        new = np.ones(len(grams), bool)
+        new[1:] = grams[1:] != grams[:-1]
+        self.distinct, self.entry = grams[new], np.cumsum(new) - 1
+        # within an n-gram places rise, so those of one document are together
+        owner = words.owners()[self.at[self.order]]
+        new[1:] |= owner[1:] != owner[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(grams)))
+        self.own = np.repeat(size, size)
+
+    def others(self, size: int, totals: np.ndarray) -> np.ndarray:
+        """For each position the count in other documents of the n-gram that begins there, else -1."""
+        out = np.full(size, -1, np.int64)
+        out[self.at[self.order]] = totals[self.entry] - self.own
+        return out
+
+
+def counts_elsewhere(words: Words, order: int, parts: list[bytes]) -> dict[int, np.ndarray]:
+    """By n what `Sorted.others` gives; `parts`: the buckets' answers in order of hash."""
+    found = {n: Sorted(words, n) for n in range(1, order + 1)}
+    # the one 0-gram has the least hash, 0, and stands for every word
+    known = np.sort(np.concatenate([x.distinct for x in found.values()]))
+    totals = [unpacked(x).astype(np.int64) for x in parts]
+    totals = np.concatenate(totals) if totals else np.empty(0, np.int64)
+    if len(totals) != len(known) + bool(len(words.codes)):
+        raise ValueError("a block got fewer answers than it asked for")
+    count = {0: (totals[0] if len(totals) else 0) - np.repeat(words.counts, words.counts)}
+    for n in list(found):
+        x = found.pop(n)
+        count[n] = x.others(len(words.codes), totals[1 + np.searchsorted(known, x.distinct)])
+    return count
 
 
 def score(table: pa.Table, replies: pa.Table, order: int, alpha: float) -> pa.Table:
     """Sum the log scores of each document of a block."""
     words = normalised(split_words(table.column("text").combine_chunks()))
-    known = np.unique(np.concatenate([grams_of(words, n)[0] for n in range(order + 1)]))
     parts = replies.sort_by("bucket").column("totals").to_pylist()
-    totals = np.concatenate([unpacked(x) for x in parts]) if parts else np.empty(0, np.uint64)
-    if len(totals) != len(known):
-        raise ValueError("a block got fewer answers than it asked for")
+    count = counts_elsewhere(words, order, parts)
     here = np.arange(len(words.codes)) - np.repeat(words.starts[:-1], words.counts)
     logs = np.full(len(words.codes), np.nan)
     backed = np.zeros(len(words.codes), np.int64)
-    count = {n: others(words, n, known, totals) for n in range(order + 1)}
     for n in range(order, 0, -1):
         # the n-gram that ends at a position begins n - 1 before it
         ends = np.flatnonzero(np.isnan(logs) & (here >= n - 1))
