@@ -340,6 +340,30 @@ def inline_decode(spark, sf):
     return rows.select("seq", "csi_id", "json_name", "sql_name", "tpl_name", *shown, "undecodable")
 
 
+@query
+def inline_requests(spark, sf):
+    """Request bodies with up to eight bundles, written out and read back; every
+    13th bundle lacks its region."""
+    payload = inline.build_payload(views.as_bundles(views.submissions(spark, sf)))
+    fields = [c for c in payload.columns if c not in ("seq", "submitted_at")]
+    region = F.when(F.col("seq") % 13 != 0, F.col("region"))
+    one = F.struct("seq", F.struct(*fields).alias("b"))
+    bodies = (
+        payload.withColumn("region", region)
+        .groupBy(F.floor(F.col("seq") / 8).alias("body"))
+        .agg(F.sort_array(F.collect_list(one)).alias("rows"))
+        .select("body", F.to_json(F.struct(F.transform("rows", lambda r: r["b"]).alias("bundles"))))
+        .toDF("body", "value")
+    )
+    folder = fresh_path(spark, "bodies")
+    # one file each, as each is one request
+    bodies.repartition("body").write.partitionBy("body").option("maxRecordsPerFile", 1).text(folder)
+    decoded = inline.decode_bundles(inline.read_pushed(spark, f"{folder}/*"))
+    checked = validate.validate(as_entries(content_facts(decoded)), "inline")
+    body = F.regexp_extract("source", "body=([0-9]+)", 1).cast("long").alias("body")
+    return checked.select(body, "index", "csi_id", "region", "valid", "error", "sql_sum")
+
+
 @query
 def patch_requests(spark, sf):
     """Requests by orders: some ids are no UUIDs or missing, some contents have
@@ -724,5 +748,4 @@ def stream_route(spark, sf):
         payload.where(portion).write.mode("append").json(landing)
         requests = streaming.read_landing(spark, landing)
         streaming.start_ingest(requests, registry, checkpoint).awaitTermination()
-    outcomes = spark.read.parquet(f"{registry.root}/outcomes")
-    return outcomes.select(F.col("index").alias("seq"), "status", "reason", "version")
+    return registry.outcomes().select(F.col("index").alias("seq"), "status", "reason", "version")

@@ -23,7 +23,7 @@ def as_entries(bundles: DataFrame) -> DataFrame:
     """The field names that validation speaks of."""
     return bundles.withColumns(
         {
-            "index": F.col("seq"),
+            "index": F.col("index" if "index" in bundles.columns else "seq"),
             "json_config": F.col("json_name"),
             "sql_file": F.col("sql_name"),
             "template": F.col("tpl_name"),
@@ -43,7 +43,24 @@ def _checked(bundles: DataFrame, profile: str, strict_json: bool) -> DataFrame:
                 "valid": F.col("valid") & F.col("undecodable").isNull(),
             }
         )
-    return written(checked, "checked")
+    return _refuse_repeats(written(checked, "checked"))
+
+
+# Fixed value: error of a row whose place in the order is not its own.
+NO_PLACE = "seq is missing or given more than once"
+
+
+def _refuse_repeats(checked: DataFrame) -> DataFrame:
+    """Rows that share a `seq`, or have none, fail: the order decides versions, and
+    contents are found by it."""
+    counts = checked.groupBy("seq").agg(F.count("*").alias("n"))
+    bad = written(counts.where("n > 1 OR seq IS NULL").select(F.col("seq").alias("_bad")), "bad")
+    if bad.isEmpty():
+        return checked
+    marked = checked.join(bad, F.col("seq").eqNullSafe(F.col("_bad")), "left_semi")
+    good = checked.join(bad, F.col("seq").eqNullSafe(F.col("_bad")), "left_anti")
+    failed = marked.withColumns({"valid": F.lit(False), "error": F.lit(NO_PLACE)})
+    return written(good.unionByName(failed), "checked")
 
 
 def _store(
@@ -54,12 +71,13 @@ def _store(
     on: Sequence[str],
     outcome: DataFrame,
     versions: DataFrame,
+    kind: str,
 ) -> DataFrame:
     """Write a batch, blobs first and versions last; returns the stored outcome."""
     registry.append_blobs(blobs.new_blobs(plan, contents, utc_now(), on), batch_id)
-    registry.append_outcomes(outcome, batch_id)
+    registry.append_outcomes(outcome, batch_id, kind)
     registry.append_versions(versions, batch_id)
-    return registry.spark.read.parquet(f"{registry.root}/outcomes/batch_id={batch_id}")
+    return registry.outcomes(batch_id)
 
 
 def ingest(
@@ -76,13 +94,20 @@ def ingest(
     the outcome rows as stored.
     """
     checked = _checked(bundles, profile, strict_json)
+    registry.begin(batch_id, checked.drop("seq") if "source" in checked.columns else checked)
     active = registry.active(before=batch_id, touching=checked)
-    routed = written(route(checked.where("valid"), active, batch_id, segment_rows), "routed")
+    carry, identity = (), "seq"
+    if "source" in checked.columns:  # known by its place, not by a number of ours
+        carry = ("source", "index")
+        identity = F.concat_ws("#", F.col("source"), F.col("index").cast("string"))
+    valid = checked.where("valid")
+    routed = route(valid, active, batch_id, segment_rows, carry, identity=identity)
+    routed = written(routed, "routed")
     plan = blobs.upload_plan(blobs.uploads(routed), registry.blobs(before=batch_id))
     outcome = batch.details(checked, routed, inline=profile == "inline")
     contents = blobs.contents(bundles)
     return _store(
-        registry, batch_id, plan, contents, blobs.UPLOAD, outcome, version_rows(routed)
+        registry, batch_id, plan, contents, blobs.UPLOAD, outcome, version_rows(routed), profile
     )
 
 
@@ -110,6 +135,7 @@ def ingest_manifests(
     entries = written(entries, "entries")
     checked = validate(files.attach(entries, facts), "manifest")
     checked = written(manifests.numbered(checked), "checked")
+    registry.begin(batch_id, checked.drop("seq"))
     bundles = files.as_bundles(checked.where("valid"), F.col("seq"), utc_now(), ("source", "index"))
     active = registry.active(before=batch_id, touching=bundles)
     carry = ("source", "index")
@@ -122,7 +148,7 @@ def ingest_manifests(
     outcome = batch.details(checked, routed)
     contents = on_disk.select("path", "content")
     return _store(
-        registry, batch_id, by_path, contents, ("path",), outcome, version_rows(routed)
+        registry, batch_id, by_path, contents, ("path",), outcome, version_rows(routed), "manifest"
     )
 
 
@@ -131,6 +157,7 @@ def create_records(
 ) -> DataFrame:
     """Store bundles whose key is free; the others fail as duplicates."""
     checked = _checked(bundles, "create", False)
+    registry.begin(batch_id, checked)
     active = registry.active(before=batch_id, touching=checked)
     tried = written(create_only(checked.where("valid"), active, batch_id, segment_rows), "tried")
     refused = tried.where(F.col("status") == FAILED).select("seq", F.col("error").alias("_refused"))
@@ -148,7 +175,7 @@ def create_records(
     outcome = batch.details(judged, routed, inline=True)
     contents = blobs.contents(bundles)
     return _store(
-        registry, batch_id, plan, contents, blobs.UPLOAD, outcome, version_rows(routed)
+        registry, batch_id, plan, contents, blobs.UPLOAD, outcome, version_rows(routed), "create"
     )
 
 
@@ -170,6 +197,7 @@ def apply_patches(
         "error", F.coalesce("_known", F.when(F.col("json_sum").isNotNull(), F.col("error")))
     )
     checked = written(checked, "patches")
+    registry.begin(batch_id, checked)
     if by_key:
         active = written(registry.active(before=batch_id, touching=checked), "active")
         checked = written(resolve_keys(checked, active), "resolved")
@@ -185,5 +213,5 @@ def apply_patches(
     plan = blobs.upload_plan(brought, registry.blobs(before=batch_id))
     contents = blobs.contents(patches)
     return _store(
-        registry, batch_id, plan, contents, blobs.UPLOAD, outcome, patched_versions(outcome)
+        registry, batch_id, plan, contents, blobs.UPLOAD, outcome, patched_versions(outcome), "patch"
     )

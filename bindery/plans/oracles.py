@@ -743,6 +743,14 @@ def oracle_sql() -> dict[str, str]:
     CASE WHEN length(clean) % 4 = 0 THEN decode(from_base64(clean)) END AS sql_text,
     CASE WHEN template_filename IS NOT NULL THEN decode(from_base64(tpl64)) END AS tpl_text,
     CASE WHEN length(clean) % 4 <> 0 THEN 'sql_file' END AS undecodable FROM decoded""",
+        "inline_requests": f"""WITH {SUBMISSIONS},
+  t AS (SELECT * REPLACE (CASE WHEN seq % 13 <> 0 THEN region END AS region), seq // 8 AS body,
+    CAST(row_number() OVER (PARTITION BY seq // 8 ORDER BY seq) - 1 AS INT) AS index
+    FROM submissions)
+  SELECT body, index, csi_id, region, region IS NOT NULL AS valid,
+    CASE WHEN region IS NULL THEN 'Bundle #' || index || ': missing required field ''region''' END
+      AS error,
+    'sha256:' || sha256(sql_text) AS sql_sum FROM t""",
         "patch_requests": f"""WITH {_PATCH_REQUESTS} SELECT seq, report_id,
     CASE WHEN report_id IS NULL
         OR NOT regexp_full_match(replace(report_id, '-', ''), '[0-9A-Fa-f]{{32}}') THEN

@@ -2,16 +2,21 @@
 
     versions/generation=G/batch_id=B   version rows, no active flag
     blobs/batch_id=B                   contents by checksum
-    outcomes/batch_id=B                what became of each bundle
+    dead_blobs/batch_id=B              ids of blobs of that batch that don't count any more
+    outcomes/batch_id=B                what became of each row (one layout for all kinds)
+    audit/batch_id=B                   audit entries, which no purge touches
+    batches/batch_id=B                 fingerprint of the batch's input
     generations/                       the last row names the current G
 
 A batch writes blobs first and versions last. If it breaks off, blobs are left
 over that nobody refers to, never the other way round; run again under the same
-batch id, it replaces what it wrote. One batch at a time writes.
+batch id and with the same input, it replaces what it wrote. Another input under
+a known batch id is refused. One batch at a time writes.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
 
 from bindery.functions.text import utc_now
 from bindery.operators import blobs as blob_ops, retention
-from bindery.operators.chain import active_versions, with_successor
-from bindery.schemas import BLOBS, KEY3, VERSIONS
+from bindery.operators.chain import active_versions, audit_feed, with_successor
+from bindery.schemas import AUDIT, BLOBS, KEY3, OUTCOMES, VERSIONS
 from bindery.session import written
 
 _BATCH = [T.StructField("batch_id", T.StringType(), True)]
@@ -47,6 +52,31 @@ class Registry:
         newest = self._read(path, schema).agg(F.max("generation")).first()[0]
         return newest or 0
 
+    def begin(self, batch_id: str, rows: DataFrame) -> None:
+        """Enter a batch by the fingerprint of its input; refuse another input.
+
+        Ids name folders, so they are kept to letters, digits, dots, hyphens and
+        underscores.
+        """
+        if not re.fullmatch(r"[A-Za-z0-9_-][A-Za-z0-9._-]*", batch_id):
+            raise ValueError(f"not usable as a batch id: {batch_id!r}")
+        one = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(rows.columns) if c != "uploaded_at"])
+        mark = rows.select(one.alias("h")).agg(
+            F.count("*").alias("n"),
+            F.coalesce(F.bit_xor("h"), F.lit(0)).alias("bits"),
+            F.coalesce(F.sum(F.col("h").cast("decimal(20,0)")), F.lit(0)).cast("string").alias("sum"),
+        )
+        own = mark.select(F.concat_ws(":", "n", "bits", "sum").alias("fingerprint"))
+        schema = T.StructType([T.StructField("fingerprint", T.StringType())])
+        path = f"{self.root}/batches"
+        known = self._read(path, schema).where(F.col("batch_id") == batch_id).first()
+        now = own.first()[0]
+        if known and known["fingerprint"] != now:
+            raise ValueError(f"batch {batch_id!r} has been run with another input")
+        if not known:
+            rows = self.spark.createDataFrame([(now,)], schema)
+            rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
     def _versions_path(self, generation: int) -> str:
         return f"{self.root}/versions/generation={generation}"
 
@@ -73,17 +103,45 @@ class Registry:
         """Blobs not collected as garbage. A content stored again under a later
         batch is the same blob; readers go by id."""
         rows = self._read(f"{self.root}/blobs", BLOBS)
+        rows = rows.join(self._dead(), ["batch_id", "blob_id"], "left_anti")
+        rows = rows.select(*BLOBS.fieldNames(), "batch_id")
         return rows if before is None else rows.where(F.col("batch_id") != before)
 
+    def _dead(self) -> DataFrame:
+        return self._read(f"{self.root}/dead_blobs", T.StructType(BLOBS.fields[:1]))
+
     def append_blobs(self, rows: DataFrame, batch_id: str) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/blobs/batch_id={batch_id}")
+        if not self._dead().where(F.col("batch_id") == batch_id).isEmpty():
+            none = self.spark.createDataFrame([], T.StructType(BLOBS.fields[:1]))
+            none.write.mode("overwrite").parquet(f"{self.root}/dead_blobs/batch_id={batch_id}")
 
     def append_versions(self, rows: DataFrame, batch_id: str) -> None:
         path = f"{self._versions_path(self.generation())}/batch_id={batch_id}"
         rows.write.mode("overwrite").parquet(path)
-
-    def append_outcomes(self, rows: DataFrame, batch_id: str) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/outcomes/batch_id={batch_id}")
+        feed = audit_feed(self.spark.read.schema(VERSIONS).parquet(path))
+        feed = feed.select(*AUDIT.fieldNames())
+        feed.write.mode("overwrite").parquet(f"{self.root}/audit/batch_id={batch_id}")
+
+    def append_outcomes(self, rows: DataFrame, batch_id: str, kind: str) -> None:
+        """Outcome rows of any kind, in the one layout that all of them share."""
+        rows = rows.withColumn("kind", F.lit(kind))
+        if "index" not in rows.columns:
+            rows = rows.withColumn("index", F.col("seq"))
+        columns = [
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in OUTCOMES
+        ]
+        path = f"{self.root}/outcomes/batch_id={batch_id}"
+        rows.select(*columns).write.mode("overwrite").parquet(path)
+
+    def outcomes(self, batch_id: str | None = None) -> DataFrame:
+        rows = self._read(f"{self.root}/outcomes", OUTCOMES)
+        return rows if batch_id is None else rows.where(F.col("batch_id") == batch_id)
+
+    def audit(self) -> DataFrame:
+        """Every audit entry ever made, whatever has been purged since."""
+        return self._read(f"{self.root}/audit", AUDIT)
 
     def clean(
         self,
@@ -123,27 +181,25 @@ class Registry:
         return retention.purge_counts(with_successor(old), gone)
 
     def collect_blobs(self) -> None:
-        """Rewrite the batches of blobs that hold blobs nobody refers to.
+        """Take blobs that nobody refers to out of the registry.
 
-        Batches without any are not touched. Survivors are written aside first
-        and then take the place of the old files, batch by batch.
+        Only their ids are written, in one job whatever the number of batches;
+        contents stay where they are until `compact_blobs`. Should the job break
+        off, run it again: what it had written is right by itself.
         """
-        dead = written(
-            blob_ops.orphans(self.blobs(), self.versions()).select("blob_id", "batch_id"), "dead"
+        dead = blob_ops.orphans(self.blobs(), self.versions()).select("blob_id", "batch_id")
+        dead = written(dead, "dead")
+        dead.repartition("batch_id").write.mode("append").partitionBy("batch_id").parquet(
+            f"{self.root}/dead_blobs"
         )
-        affected = dead.select("batch_id").distinct()
-        stay = (
-            self.blobs()
-            .join(affected, "batch_id", "left_semi")
-            .join(dead, ["blob_id", "batch_id"], "left_anti")
+
+    def compact_blobs(self, target: Registry) -> None:
+        """Write the blobs that count to the (fresh) registry folder `target`.
+
+        Frees the space of dead contents: copy the other tables as files, switch
+        readers over, and drop the old folder as a whole, so nothing is ever
+        rewritten in place. Map-only but for the join on dead ids.
+        """
+        self.blobs().write.mode("errorifexists").partitionBy("batch_id").parquet(
+            f"{target.root}/blobs"
         )
-        aside = f"{self.root}/blobs_aside"
-        stay.write.mode("overwrite").partitionBy("batch_id").parquet(aside)
-        kept = self._read(aside, BLOBS)
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "batch_id"
-        ).parquet(f"{self.root}/blobs")
-        # A batch that lost all its blobs has no rows that could replace it.
-        empty = self.spark.createDataFrame([], BLOBS)
-        for row in affected.join(kept.select("batch_id"), "batch_id", "left_anti").collect():
-            empty.write.mode("overwrite").parquet(f"{self.root}/blobs/batch_id={row.batch_id}")

@@ -53,6 +53,39 @@ BLOBS = T.StructType(
     ]
 )
 
+# What became of each row of a batch, of whatever kind. `position` sorts as reported.
+OUTCOMES = T.StructType(
+    [
+        T.StructField("kind", T.StringType(), False),
+        T.StructField("source", T.StringType(), True),
+        T.StructField("index", T.LongType(), True),
+        T.StructField("label", T.StringType(), True),
+        T.StructField("status", T.StringType(), False),
+        T.StructField("report_id", T.StringType(), True),
+        T.StructField("version", T.IntegerType(), True),
+        T.StructField("reason", T.StringType(), True),
+        T.StructField("changed", T.StringType(), True),
+        T.StructField("error", T.StringType(), True),
+        T.StructField(
+            "position",
+            T.StructType(
+                [T.StructField("group", T.IntegerType()), T.StructField("index", T.LongType())]
+            ),
+            True,
+        ),
+    ]
+)
+
+AUDIT = T.StructType(
+    [
+        T.StructField("report_id", T.StringType(), False),
+        T.StructField("version", T.IntegerType(), False),
+        T.StructField("action", T.StringType(), False),
+        T.StructField("timestamp", T.TimestampNTZType(), True),
+        T.StructField("details", T.StringType(), True),
+    ]
+)
+
 # One entry of a manifest; paths are relative to the manifest's folder.
 MANIFEST_ENTRY = T.StructType(
     [

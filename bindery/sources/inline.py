@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from bindery.functions import text
 from bindery.operators.patch import NO_FILE
 from bindery.schemas import INLINE_BUNDLE, PATCH_REQUEST
+from bindery.sources.manifests import numbered
 
 CANNOT_DECODE = "Cannot decode "
 _FILES = {"json": "json_config", "sql": "sql_file", "tpl": "template"}
@@ -17,6 +18,20 @@ def read_requests(spark, path: str, schema=INLINE_BUNDLE) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_pushed(spark, path: str) -> DataFrame:
+    """Request bodies of the form {"bundles": [...]}, one document per file.
+
+    A bundle is known by its file and its place there. `seq` follows these; as it
+    depends on the partitions, ids are made of the place and not of `seq`.
+    """
+    fields = [f for f in INLINE_BUNDLE.fields if f.name not in ("seq", "submitted_at")]
+    body = T.StructType([T.StructField("bundles", T.ArrayType(T.StructType(fields)))])
+    docs = spark.read.schema(body).option("multiLine", True).json(path)
+    rows = docs.select(F.input_file_name().alias("source"), F.posexplode("bundles"))
+    rows = rows.select("source", F.col("pos").alias("index"), "col.*")
+    return numbered(rows).withColumn("submitted_at", F.lit(None).cast("timestamp_ntz"))
+
+
 def decode_bundles(requests: DataFrame) -> DataFrame:
     """Decode the contents. A template counts if it has both name and content.
 
@@ -32,8 +47,9 @@ def decode_bundles(requests: DataFrame) -> DataFrame:
         decoded = F.when(asked[short], text.decode_base64(F.col(f"{name}_content")))
         out = out.withColumn(f"{short}_content", decoded)
         bad.append(F.when(asked[short] & F.col(f"{short}_content").isNull(), F.lit(name)))
+    place = [c for c in ("source", "index") if c in requests.columns]
     return out.select(
-        "seq", "csi_id", "region", "regulation",
+        *place, "seq", "csi_id", "region", "regulation",
         F.coalesce("submitted_at", text.utc_now()).alias("uploaded_at"),
         F.col("json_config_filename").alias("json_name"),
         F.col("sql_file_filename").alias("sql_name"),

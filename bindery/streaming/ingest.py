@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from bindery.operators.chain import audit_feed
 from bindery.plans.ingest import ingest_requests
 from bindery.plans.registry import Registry
-from bindery.schemas import INLINE_BUNDLE, VERSIONS
+from bindery.schemas import AUDIT, INLINE_BUNDLE
 
 
 def read_landing(spark, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -29,13 +30,16 @@ def start_ingest(
 ) -> StreamingQuery:
     """Run every micro-batch through the batch pipeline.
 
-    The micro-batch number names the registry batch. A micro-batch that Spark
-    runs again after a failure thus replaces what its first try wrote, and does
-    not see it when routing: each bundle counts once.
+    The checkpoint and the micro-batch number name the registry batch. A
+    micro-batch that Spark runs again after a failure thus replaces what its
+    first try wrote, and does not see it when routing: each bundle counts once.
+    Another stream, or the same one begun afresh, has another checkpoint and so
+    batches of its own.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def one(rows: DataFrame, number: int) -> None:
-        ingest_requests(registry, rows, f"{batch_prefix}-{number}", **options)
+        ingest_requests(registry, rows, f"{batch_prefix}-{stream}-{number}", **options)
 
     return (
         requests.writeStream.foreachBatch(one)
@@ -45,10 +49,11 @@ def start_ingest(
     )
 
 
-def read_new_versions(registry: Registry) -> DataFrame:
-    """The version table as a stream of appended rows."""
-    path = f"{registry.root}/versions/generation={registry.generation()}"
-    return registry.spark.readStream.schema(VERSIONS).parquet(f"{path}/batch_id=*")
+def read_audit(registry: Registry) -> DataFrame:
+    """The audit table as a stream of appended rows. Purges don't touch that table,
+    so a stream that goes on, or starts again, sees each entry once."""
+    path = f"{registry.root}/audit"
+    return registry.spark.readStream.schema(AUDIT).parquet(f"{path}/batch_id=*")
 
 
 def start_audit_feed(
@@ -56,7 +61,7 @@ def start_audit_feed(
 ) -> StreamingQuery:
     """Append an audit row for every event of every new version. Stateless."""
     return (
-        audit_feed(read_new_versions(registry))
+        read_audit(registry)
         .writeStream.format("parquet")
         .option("path", target)
         .option("checkpointLocation", checkpoint)

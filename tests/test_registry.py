@@ -47,7 +47,7 @@ def registry(spark, bundles):
 
 
 def outcomes(reg):
-    rows = reg.spark.read.parquet(f"{reg.root}/outcomes").collect()
+    rows = reg.outcomes().collect()
     return {r["index"]: (r.status, r.reason, r.version) for r in rows}
 
 
@@ -291,3 +291,115 @@ def test_json_manifests(spark, tmp_path):
     )
     rows = manifests.entries(manifests.read_json(spark, str(tmp_path))).orderBy("index").collect()
     assert [(r["index"], r.is_mapping, r.csi_id) for r in rows] == [(0, True, "C"), (1, False, None)]
+
+
+def test_repeated_numbers_of_clients_store_nothing_wrong(spark, bundles):
+    reg = Registry(spark, fresh_path(spark, "registry"))
+    payload = inline.build_payload(bundles.where("seq < 12"))
+    seq = F.when(F.col("seq") < 4, 0).when(F.col("seq") < 6, None).otherwise(F.col("seq"))
+    got = ingest_requests(reg, payload.withColumn("seq", seq.cast("long")), "x").collect()
+    assert sorted(r.status for r in got if r.error) == ["failed"] * 6 and len(got) == 12
+    blobs = reg.blobs()
+    wrong = blobs.where(F.concat(F.lit("sha256:"), F.sha2("content", 256)) != F.col("checksum"))
+    assert wrong.isEmpty() and dangling(reg.versions(), blobs).isEmpty()
+
+
+def test_null_keys_are_refused(spark, bundles):
+    reg = Registry(spark, fresh_path(spark, "registry"))
+    payload = inline.build_payload(bundles.where("seq < 9"))
+    region = F.when(F.col("seq") % 3 != 0, F.col("region"))
+    got = ingest_requests(reg, payload.withColumn("region", region), "x").collect()
+    bad = {r["index"]: r.error for r in got if r.status == "failed"}
+    assert set(bad) == {0, 3, 6} and all("missing required field 'region'" in e for e in bad.values())
+    assert reg.versions().where("region IS NULL").isEmpty()
+
+
+def test_another_input_under_a_known_batch_is_refused(spark, bundles):
+    reg = Registry(spark, fresh_path(spark, "registry"))
+    ingest(reg, bundles.where("seq < 20"), "a")
+    before = state(reg)
+    with pytest.raises(ValueError, match="another input"):
+        ingest(reg, bundles.where("seq < 21"), "a")
+    for name in ("", "../x", "a/b", ".hidden"):
+        with pytest.raises(ValueError, match="not usable"):
+            ingest(reg, bundles.where("seq < 20"), name)
+    assert state(reg) == before
+
+
+def test_two_streams_into_one_registry(spark, bundles):
+    reg = Registry(spark, fresh_path(spark, "registry"))
+    payload = inline.build_payload(bundles)
+    for part in ("seq < 10", "seq >= 10 AND seq < 20"):
+        landing = fresh_path(spark, "landing")
+        payload.where(part).write.json(landing)
+        requests = streaming.read_landing(spark, landing)
+        streaming.start_ingest(requests, reg, fresh_path(spark, "stream")).awaitTermination()
+    assert reg.outcomes().count() == 20
+
+
+def test_audit_feed_goes_on_after_a_purge(spark, bundles):
+    reg = Registry(spark, fresh_path(spark, "registry"))
+    feed, mark = fresh_path(spark, "feed"), fresh_path(spark, "mark")
+    ingest(reg, bundles.where("seq < 200"), "a")
+    streaming.start_audit_feed(reg, feed, mark).awaitTermination()
+    reg.clean(keep=1)
+    ingest(reg, bundles.where("seq >= 200 AND seq < 260"), "b")
+    streaming.start_audit_feed(reg, feed, mark).awaitTermination()
+    got = spark.read.parquet(feed)
+    assert got.count() == got.distinct().count() == reg.audit().count() > 260
+
+
+def test_dead_blobs_do_not_come_back(spark, bundles):
+    reg = Registry(spark, fresh_path(spark, "registry"))
+    ingest(reg, bundles.where("seq < 300"), "a")
+    before = reg.blobs().count()
+    reg.clean(keep=1)
+    reg.collect_blobs()
+    assert 0 < reg.blobs().count() < before
+    ingest(reg, bundles.where("seq >= 300"), "b")
+    assert dangling(reg.versions(), reg.blobs()).isEmpty()
+    other = Registry(spark, fresh_path(spark, "compact"))
+    reg.compact_blobs(other)
+    same = lambda r: sorted(x.blob_id for x in r.blobs().select("blob_id").collect())
+    assert same(other) == same(reg)
+
+
+def test_patches_with_flaws_fail_whole(spark, bundles):
+    reg = Registry(spark, fresh_path(spark, "registry"))
+    ingest(reg, bundles.where("seq < 60"), "a")
+    ids = [r.report_id for r in reg.active().orderBy("report_id").limit(3).collect()]
+    good = F.base64(F.lit(b"SELECT 2"))
+    rows = spark.createDataFrame([(0, ids[0]), (1, None), (2, ids[1]), (3, ids[2])], "seq long, report_id string")
+    request = rows.select(
+        "seq", "report_id",
+        F.when(F.col("seq") == 3, "other.json").alias("json_config_filename"),
+        F.lit(None).cast("string").alias("json_config_content"),
+        F.lit("q.sql").alias("sql_file_filename"),
+        F.when(F.col("seq") == 0, F.lit("A")).otherwise(good).alias("sql_file_content"),
+        F.lit("t.txt").alias("template_filename"), good.alias("template_content"),
+    )
+    before = reg.versions().count()
+    got = {r["index"]: r for r in apply_patches(reg, inline.decode_patches(request), "p").collect()}
+    assert [got[i].status for i in range(4)] == ["failed", "failed", "updated", "updated"]
+    assert got[0].error == "Cannot decode sql_file"
+    assert reg.versions().count() == before + 2
+    assert reg.versions().where("report_id IS NULL").isEmpty()
+
+
+def test_manifest_ids_do_not_depend_on_partitions(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"report": {"name": "A"}}')
+    (tmp_path / "q.sql").write_text("SELECT 1")
+    rows = [
+        (f"m{m}", [{"csi_id": f"C{m}-{i}", "region": "EU", "regulation": "R",
+                    "json_config": str(tmp_path / "a.json"), "sql_file": str(tmp_path / "q.sql")}
+                   for i in range(4)])
+        for m in range(6)
+    ]
+    found = spark.createDataFrame(rows, manifests.MANIFEST)
+    on_disk = files.read_files(spark, str(tmp_path))
+    ids = []
+    for n in (1, 7):
+        reg = Registry(spark, fresh_path(spark, "registry"))
+        ingest_manifests(reg, manifests.entries(found.repartition(n)), on_disk, "m")
+        ids.append({r.csi_id: r.report_id for r in reg.versions().collect()})
+    assert ids[0] == ids[1]
