@@ -135,14 +135,15 @@ def dangling(versions: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def read_blobs(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Content and metadata of requested blob ids; `found` is false for misses."""
-    found = blobs.withColumn("found", F.lit(True))
-    return (
-        wanted.select("blob_id")
-        .distinct()
-        .join(found, "blob_id", "left")
-        .withColumn("found", F.coalesce("found", F.lit(False)))
-    )
+    """Content and metadata of requested blob ids; `found` is false for misses.
+
+    The ids are the build side, so a few of them are sent to where the contents
+    lie; misses come from a join on ids alone.
+    """
+    asked = wanted.select("blob_id").distinct()
+    hits = blobs.join(asked, "blob_id", "left_semi").withColumn("found", F.lit(True))
+    misses = asked.join(blobs.select("blob_id"), "blob_id", "left_anti")
+    return hits.unionByName(misses.withColumn("found", F.lit(False)), allowMissingColumns=True)
 
 
 def digests(blobs: DataFrame) -> DataFrame:

@@ -68,6 +68,14 @@ def list_all(versions: DataFrame) -> DataFrame:
     return versions.select(*LISTED, "active")
 
 
+def of_reports(versions: DataFrame, requested: DataFrame) -> DataFrame:
+    """Versions of the requested reports, before anything is worked out about them.
+
+    Chains stay whole, as a report id stays along its chain.
+    """
+    return versions.join(requested.select("report_id").distinct(), "report_id", "left_semi")
+
+
 def by_report_ids(versions: DataFrame, requested: DataFrame) -> DataFrame:
     """The active version of each requested report, with a `found` flag."""
     active = versions.where("active").withColumn("found", F.lit(True))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery.functions import fingerprint as fp, text
 from bindery.functions.config_json import NO_NAME, NO_REPORT, NOT_JSON, NOT_UTF8
+from bindery.schemas import FAILED
 
 # Required fields, and which layers each way in applies.
 REQUIRED = ("csi_id", "region", "regulation", "json_config", "sql_file")
@@ -53,11 +54,15 @@ def _says(*parts: str | Column) -> Column:
     return F.concat(F.col("_lead"), *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _fields() -> list[Column]:
+def _fields(typed: bool) -> list[Column]:
+    """`typed`: a column `wrong_types` tells what stands in place of strings."""
+    odd = {k: F.col("wrong_types")[k] if typed else F.lit(None).cast("string") for k in REQUIRED}
     each = [
-        F.when(F.col(k).isNull(), f"missing required key '{k}'").when(
-            text.is_blank(F.col(k)), f"'{k}' must not be blank"
+        F.when(
+            odd[k].isNotNull(), F.concat(F.lit(f"'{k}' must be a string, got "), odd[k])
         )
+        .when(F.col(k).isNull(), f"missing required key '{k}'")
+        .when(text.is_blank(F.col(k)), f"'{k}' must not be blank")
         for k in REQUIRED
     ]
     # No findings make an empty text, and that a null message.
@@ -154,7 +159,7 @@ def validate(
     Rows are never dropped, so one bad bundle does not hold up the others.
     """
     checks = {
-        FIELDS: _fields, TOKEN: _tokens, FILES: _files, EXTENSIONS: _extensions, SQL: _sql,
+        FIELDS: lambda: _fields("wrong_types" in bundles.columns), TOKEN: _tokens, FILES: _files, EXTENSIONS: _extensions, SQL: _sql,
         CONFIG: _config, REQUEST: lambda: _request("undecodable" in bundles.columns),
     }
     found = [c for layer in layers or PROFILES[profile] for c in checks[layer]()]
@@ -181,10 +186,19 @@ EMPTY_BUNDLES = "'bundles' list is empty — nothing to seed"
 
 def validate_manifests(manifests: DataFrame, source: str = "source") -> DataFrame:
     """Per manifest: number of entries, and what is wrong with its list."""
+    found = F.when(F.col("bundles").isNull(), NO_BUNDLES).when(F.size("bundles") == 0, EMPTY_BUNDLES)
+    if "parse_error" in manifests.columns:
+        found = F.coalesce("parse_error", found)
     lead = F.concat(F.col(source).cast("string"), F.lit(": "))
-    return manifests.withColumn(
-        "error",
-        F.when(F.col("bundles").isNull(), F.concat(lead, F.lit(NO_BUNDLES))).when(
-            F.size("bundles") == 0, F.concat(lead, F.lit(EMPTY_BUNDLES))
-        ),
-    ).withColumn("n_bundles", F.coalesce(F.size("bundles"), F.lit(0)))
+    return manifests.withColumn("error", F.concat(lead, found)).withColumn(
+        "n_bundles", F.coalesce(F.size("bundles"), F.lit(0))
+    )
+
+
+def manifest_outcomes(manifests: DataFrame) -> DataFrame:
+    """Outcome rows of manifests that fail as a whole; they have no index."""
+    bad = validate_manifests(manifests).where(F.col("error").isNotNull())
+    return bad.select(
+        "source", F.lit(None).cast("long").alias("index"), F.col("source").alias("label"),
+        F.lit(FAILED).alias("status"), F.lit("Manifest failed").alias("reason"), "error",
+    )

@@ -249,8 +249,9 @@ def _requested(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fetch_by_ids(spark, sf):
-    rows = fetch.by_report_ids(views.current(spark, sf), _requested(spark, sf))
-    return flat(rows, "found")
+    asked = _requested(spark, sf)
+    rows = chain.with_successor(fetch.of_reports(views.versions(spark, sf), asked))
+    return flat(fetch.by_report_ids(rows, asked), "found")
 
 
 @query
@@ -294,7 +295,8 @@ def record_version(spark, sf):
         "CASE WHEN sql_name IS NOT NULL THEN 1 WHEN tpl_name IS NOT NULL THEN 2 END"
     ).alias("version")
     wanted = views.patches(spark, sf).select("report_id", asked)
-    rows = fetch.by_report_version(views.current(spark, sf), wanted)
+    versions = chain.with_successor(fetch.of_reports(views.versions(spark, sf), wanted))
+    rows = fetch.by_report_version(versions, wanted)
     return flat(rows, "asked_version", "found")
 
 

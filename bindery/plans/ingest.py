@@ -12,7 +12,7 @@ from bindery.operators.facts import content_facts, file_facts
 from bindery.operators.ordered import SEGMENT_ROWS
 from bindery.operators.patch import patch, patched_versions, resolve_keys
 from bindery.operators.route import create_only, route, version_rows
-from bindery.operators.validate import validate
+from bindery.operators.validate import manifest_outcomes, validate
 from bindery.plans.registry import Registry
 from bindery.schemas import FAILED, UPDATED
 from bindery.session import written
@@ -125,9 +125,13 @@ def ingest_manifests(
     batch_id: str,
     strict_json: bool = False,
     segment_rows: int = SEGMENT_ROWS,
+    manifests_read: DataFrame | None = None,
 ) -> DataFrame:
     """Validate, route and store the entries of manifests, whose files are on disk.
 
+    With `manifests_read`, the manifests themselves, those that fail as a whole
+    are part of the outcome.
+
     Each file is read once for its facts, however many entries name it; entries
     are joined with these, and a new content is read from one of its paths.
     """
@@ -146,6 +150,9 @@ def ingest_manifests(
     plan = blobs.upload_plan(blobs.uploads(routed), registry.blobs(before=batch_id))
     by_path = blobs.plan_by_path(plan, facts)
     outcome = batch.details(checked, routed)
+    if manifests_read is not None:
+        failed = manifest_outcomes(manifests_read)
+        outcome = outcome.unionByName(failed, allowMissingColumns=True)
     contents = on_disk.select("path", "content")
     return _store(
         registry, batch_id, by_path, contents, ("path",), outcome, version_rows(routed), "manifest"

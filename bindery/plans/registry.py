@@ -60,7 +60,13 @@ class Registry:
         """
         if not re.fullmatch(r"[A-Za-z0-9_-][A-Za-z0-9._-]*", batch_id):
             raise ValueError(f"not usable as a batch id: {batch_id!r}")
-        one = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(rows.columns) if c != "uploaded_at"])
+        fields = sorted((f for f in rows.schema if f.name != "uploaded_at"), key=lambda f: f.name)
+        one = F.xxhash64(
+            *[
+                F.to_json(f.name) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
+                for f in fields
+            ]
+        )
         mark = rows.select(one.alias("h")).agg(
             F.count("*").alias("n"),
             F.coalesce(F.bit_xor("h"), F.lit(0)).alias("bits"),

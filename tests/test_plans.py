@@ -2,7 +2,7 @@
 
 import re
 
-from bindery.operators import chain, export, fetch, retention
+from bindery.operators import blobs as blob_ops, chain, export, fetch, retention
 from bindery.operators.facts import content_facts
 from bindery.operators.route import route
 from bindery.plans import views
@@ -31,9 +31,26 @@ def test_facts_need_no_shuffle(spark):
     assert "Exchange" not in text
 
 
-def test_lookups_push_their_filters_to_both_scans(spark):
+def test_lookups_push_their_filters_to_all_scans(spark):
     rows = fetch.matching(views.current(spark, SF_DIR), {"csi_id": "CSI-0001"}, False)
-    assert plan(rows).count("EqualTo(csi_id,CSI-0001)") == 2
+    text = plan(rows)
+    assert text.count("EqualTo(csi_id,CSI-0001)") == text.count("FileScan parquet") == 3
+
+
+def test_lookups_by_id_cut_the_registry_first(spark):
+    versions = views.versions(spark, SF_DIR)
+    asked = versions.select("report_id").limit(3)
+    text = plan(chain.with_successor(fetch.of_reports(versions, asked)))
+    scans = text.count("FileScan parquet")
+    assert text.count("LeftSemi") >= 3 and scans <= 6
+
+
+def test_reading_blobs_does_not_shuffle_the_contents_of_others(spark):
+    blobs = views.document_blobs(spark, SF_DIR)
+    text = plan(blob_ops.read_blobs(blobs, blobs.select("blob_id").limit(2)))
+    for line in text.splitlines():
+        if "Exchange" in line:
+            assert "content#" not in line
 
 
 def test_audit_feed_needs_no_shuffle(spark):

@@ -255,11 +255,15 @@ bundles:
 """
     )
     (tmp_path / "broken.yaml").write_text("bundles: [")
+    (tmp_path / "null.yaml").write_text("bundles:")
+    (tmp_path / "none.yaml").write_text("other: 1")
     (tmp_path / "list.yaml").write_text("- 1")
     found = manifests.read_yaml(spark, str(tmp_path)).cache()
     errors = {os.path.basename(r.source): r.parse_error for r in found.collect()}
     assert errors["seed.yaml"] is None and errors["broken.yaml"].startswith("Failed to parse")
     assert errors["list.yaml"] == "YAML root must be a mapping, got list"
+    assert errors["null.yaml"] == "'bundles' must be a YAML list, got null"
+    assert errors["none.yaml"] == "missing required top-level key 'bundles'"
     entries = manifests.entries(found.where("parse_error IS NULL"))
     on_disk = files.read_files(spark, str(tmp_path))
     attached = files.attach(entries, file_facts(on_disk))
@@ -279,6 +283,9 @@ bundles:
     assert {bytes(b.content) for b in reg.blobs().collect()} == {
         b'{"report": {"name": "A"}}', b"SELECT 1", b"hello {region}",
     }
+    whole = ingest_manifests(reg, entries, on_disk, "w", manifests_read=found)
+    bad = [r.error for r in whole.where("index IS NULL").collect()]
+    assert len(bad) == 4 and all(e for e in bad)
     # The same manifest again finds nothing to do.
     again = ingest_manifests(reg, entries, on_disk, "n")
     assert {r.status for r in again.collect()} == {"failed", "skipped"}
@@ -403,3 +410,36 @@ def test_manifest_ids_do_not_depend_on_partitions(spark, tmp_path):
         ingest_manifests(reg, manifests.entries(found.repartition(n)), on_disk, "m")
         ids.append({r.csi_id: r.report_id for r in reg.versions().collect()})
     assert ids[0] == ids[1]
+
+
+def test_types_of_manifest_fields(spark, tmp_path):
+    (tmp_path / "a.json").write_text(
+        '{"bundles": [{"csi_id": 12, "region": true, "regulation": "R", "json_config": ["x"],'
+        ' "sql_file": "q.sql"}, 5]}'
+    )
+    (tmp_path / "b.json").write_text('{"bundles": {"x": 1}}')
+    (tmp_path / "c.json").write_text("[1]")
+    (tmp_path / "d.json").write_text("{")
+    (tmp_path / "e.json").write_text('{"bundles": null}')
+    found = manifests.read_json(spark, str(tmp_path)).cache()
+    errors = {os.path.basename(r.source): r.parse_error for r in found.collect()}
+    assert errors == {
+        "a.json": None, "b.json": "'bundles' must be a YAML list, got dict",
+        "c.json": "YAML root must be a mapping, got list",
+        "d.json": "Failed to parse YAML manifest: not valid JSON",
+        "e.json": "'bundles' must be a YAML list, got null",
+    }
+    rows = validate(manifests.entries(found), layers=("fields",)).orderBy("index").collect()
+    said = "'csi_id' must be a string, got int; 'region' must be a string, got bool; "
+    assert said + "'json_config' must be a string, got list" in rows[0].error
+    assert rows[1].error == "Bundle #1: must be a mapping/dict"
+
+
+def test_paths_that_climb(spark):
+    rows = spark.createDataFrame(
+        [("/m/a/b/seed.yaml", "../../x.sql", "/m/x.sql"), ("/m/seed.yaml", "c/../d/./e.sql", "/m/d/e.sql"),
+         ("file:///m/seed.yaml", "q.sql", "/m/q.sql")],
+        "source string, path string, want string",
+    )
+    got = rows.select(files.resolve(F.col("source"), F.col("path")).alias("p"), "want").collect()
+    assert all(r.p == r.want for r in got)
