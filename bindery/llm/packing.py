@@ -29,11 +29,11 @@ from tokenizers.pre_tokenizers import ByteLevel
 from bindery.llm.blocks import offsets, sliced, split_words
 
 CAPACITY = 4096
-PACK_BYTES = 24 << 20
+PACK_BYTES = 16 << 20
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Words whose ids a task remembers; then it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 
 #: A word of Latin letters and the marks behind it are split by the tokenizer
 #: anyway, and letters of this range are lowered one by one.
@@ -230,7 +230,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_for = ids_of(tokenizer)
         sequence = TaskContext.get().partitionId() << 33
-        for batch in sliced(gathered(batches, text, block_bytes), text, 2 * block_bytes):
+        for batch in sliced(gathered(batches, text, block_bytes), text, block_bytes):
             ids, starts = ids_for(batch.column(text))
             count = np.diff(starts)
             # the end mark behind each document
