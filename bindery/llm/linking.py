@@ -2,10 +2,12 @@
 
 `linked` takes blocks (a key and the nodes that share it) and a verifier of
 pairs. A first round verifies each node against one hub of each of its blocks
-and joins what is similar into components. A second round verifies, within a
-block, only pairs whose nodes are still in different components. A pair that
-is left out then lies within one component already, so the components are the
-same as if all pairs of all blocks had been verified.
+and joins what is similar into components. While blocks hold many pairs between
+components, more rounds do so with other hubs, each against the members of other
+components. The last round verifies all pairs within a block whose nodes are
+still in different components. A pair that is left out then lies within one
+component already, so the components are the same as if all pairs of all blocks
+had been verified; rounds with hubs only save work.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from bindery.session import written
 
 Verify = Callable[[DataFrame], DataFrame]
 
+#: Rounds with hubs at most, and the pairs per member that need no further one.
+TURNS, FEW = 8, 4
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: for each node of `edges` (a, b) the least node it is connected with.
@@ -91,13 +96,20 @@ def linked(blocks: DataFrame, verify: Verify, label: str) -> DataFrame:
     b = [F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in rest]]
     first = sized.where(F.col("node") != F.col("hub.node")).select(*a, *b).distinct()
     edges = written(verify(first), f"{label}-links")
-    found = components(edges)
     # what is still apart, in blocks with more than a hub and one other node
     more = sized.where(F.col("size") > 2).select("key", "node", *rest)
-    rooted = more.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = mixed.where(F.col("lo") != F.col("hi")).select("key")
-    apart = written(rooted.join(mixed, "key"), f"{label}-apart")
+    for turn in range(1, TURNS + 1):
+        found = components(edges)
+        apart = written(_apart(more, found), f"{label}-apart")
+        pairs, nodes = _open_pairs(apart)
+        if pairs <= FEW * nodes or turn == TURNS:
+            break
+        # another hub for each block, against the members of other components
+        one = F.struct("node", "root", *rest)
+        hub = F.min_by(one, F.xxhash64("node", F.lit(turn))).alias("hub")
+        next_ = apart.join(apart.groupBy("key").agg(hub), "key")
+        next_ = next_.where(F.col("root") != F.col("hub.root")).select(*a, *b).distinct()
+        edges = edges.select("a", "b").union(written(verify(next_), f"{label}-links").select("a", "b"))
     left = apart.select("key", F.col("root").alias("a_root"), F.col("node").alias("a"),
                         *[F.col(c).alias(f"a_{c}") for c in rest])
     right = apart.select("key", F.col("root").alias("b_root"), F.col("node").alias("b"),
@@ -106,3 +118,21 @@ def linked(blocks: DataFrame, verify: Verify, label: str) -> DataFrame:
     names = ["a", *[f"a_{c}" for c in rest], "b", *[f"b_{c}" for c in rest]]
     second = verify(crossing.select(*names).distinct())
     return components(edges.select("a", "b").union(second.select("a", "b")))
+
+
+def _apart(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """Members, with their component as `root`, of blocks that hold several components."""
+    rooted = blocks.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return rooted.join(mixed.where(F.col("lo") != F.col("hi")).select("key"), "key")
+
+
+def _open_pairs(apart: DataFrame) -> tuple[int, int]:
+    """How many pairs within blocks are between components, and how many members there are."""
+    sizes = apart.groupBy("key", "root").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy("key").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within")
+    )
+    open_ = F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)
+    row = whole.agg(F.coalesce(open_, F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return int(row[0]), int(row[1])
