@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def sliced(
@@ -22,7 +22,8 @@ def sliced(
 ) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of each piece have `max_bytes` at most.
 
-    A text that is larger by itself makes a piece of its own.
+    A text that is larger by itself makes a piece of its own. Memory that Arrow
+    holds for later is given back, as workers live on from task to task.
     """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
@@ -32,6 +33,7 @@ def sliced(
             last = max(int(np.searchsorted(ends, base + max_bytes, "right")), first + 1)
             yield batch.slice(first, last - first)
             first, base = last, int(ends[last - 1])
+        pa.default_memory_pool().release_unused()
 
 
 @dataclass

@@ -29,11 +29,11 @@ from tokenizers.pre_tokenizers import ByteLevel
 from bindery.llm.blocks import offsets, sliced, split_words
 
 CAPACITY = 4096
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Words whose ids a task remembers; then it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 #: A word of Latin letters and the marks behind it are split by the tokenizer
 #: anyway, and letters of this range are lowered one by one.
