@@ -1,12 +1,10 @@
-"""Benchmark decontamination by rare seeds and Smith-Waterman alignment.
-
-1. Word n-grams of the test items are looked up in the documents. How often each
-   is found over all documents tells rare from common.
-2. Of each item those n-grams serve as seeds that aren't much more common than
-   the rarest one near them. So common phrases drop out, while a passage that
-   was copied ten thousand times keeps its seeds.
-3. Seeds and documents are joined; each hit names a passage of the document that
-   may hold the item.
+"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
+
+1. Word n-grams of the test items are looked up in the documents.
+2. Every n-gram of an item that a document holds is a seed, however often other
+   documents have it: what one document shares with an item can't be told from
+   counts over all of them. Seeds that place the item alike count once.
+3. Each place names a passage of the document that may hold the item.
 4. Item and passage are aligned word by word (Smith-Waterman), so edits,
    insertions and omissions lower the score and don't break the match.
 
@@ -19,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from bindery.llm.blocks import (
     Words, ngram_hashes, normalised, signed, sliced, split_words, word_hashes,
@@ -28,9 +26,6 @@ from bindery.llm.rows import KEY, keyed
 from bindery.session import written
 
 SEED_WORDS = 4
-#: A seed is left out if it is so many times as frequent as the rarest of its neighbours.
-COMMONER = 4
-NEIGHBOURS = 8
 #: Share of an item's full score that counts as contamination.
 LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -125,19 +120,6 @@ class Known:
         return keep
 
 
-def rare_seeds(
-    seeds: DataFrame, frequency: DataFrame, commoner: float, neighbours: int
-) -> DataFrame:
-    """The seeds that aren't much more common than the rarest near them."""
-    w = Window.partitionBy("item_id").orderBy("item_pos").rowsBetween(-neighbours, neighbours)
-    return (
-        seeds.join(frequency, "gram")
-        .withColumn("_least", F.min("found").over(w))
-        .where(F.col("found") <= commoner * F.col("_least"))
-        .select("gram", "item_id", "item_pos", "item_words")
-    )
-
-
 def passages(joined: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a document with its hits into rows of item and passage."""
     for batch in sliced(joined, "text"):
@@ -149,7 +131,7 @@ def passages(joined: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, last = int(words.starts[i]), int(words.starts[i + 1])
             spans: dict[int | None, list[list[int]]] = {}
             for item, begin, size in sorted(
-                ((h["item_id"], h["pos"] - h["item_pos"], h["item_words"]) for h in hits),
+                ((h["item_id"], h["begin"], h["item_words"]) for h in hits),
                 key=lambda x: (x[0] is None, x[0] or 0, x[1]),
             ):
                 slack = size // 4 + 4
@@ -251,8 +233,6 @@ def leaks(
     key: str = "doc_id",
     least_score: float = LEAST_SCORE,
     n: int = SEED_WORDS,
-    commoner: float = COMMONER,
-    neighbours: int = NEIGHBOURS,
     most_sent: int = MOST_SENT,
 ) -> DataFrame:
     """Where documents hold test items: a row for each aligned passage, as in LEAKS.
@@ -277,12 +257,11 @@ def leaks(
         known = np.sort(found)
     sizes = [r["size"] for r in seeds.select("size").distinct().orderBy("size").collect()]
     hits = written(gram_hits(rows, sizes, known), "hits")
-    frequency = hits.groupBy("gram").agg(F.count("*").alias("found"))
-    rare = rare_seeds(seeds, frequency, commoner, neighbours)
+    begin = (F.col("pos") - F.col("item_pos")).alias("begin")
     by_row = (
-        hits.join(rare, "gram")
+        hits.join(seeds, "gram")
         .groupBy(*KEY)
-        .agg(F.collect_list(F.struct("item_id", "pos", "item_pos", "item_words")).alias("hits"))
+        .agg(F.collect_set(F.struct("item_id", begin, "item_words")).alias("hits"))
     )
     cut = rows.join(by_row, list(KEY)).mapInArrow(
         passages,

@@ -201,6 +201,22 @@ def test_leaks_are_found_and_clean_texts_left(spark, most_sent):
     assert {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {d for d, _ in want}
 
 
+def test_repeated_edited_copies_are_found_beside_a_verbatim_one(spark):
+    rng = random.Random(18)
+    item = sentence(rng, 36)
+    copy = " ".join(f"new{i}" if i % 6 == 3 else w for i, w in enumerate(item.split()))
+    leaked = [item] + [copy] * 50
+    rows = [(d, f"{sentence(rng, 40)} {x} {sentence(rng, 40)}") for d, x in enumerate(leaked)]
+    rows += [(100 + d, sentence(rng, 100)) for d in range(10)]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontamination.report(docs, bench).collect()
+    assert {r.doc_id for r in got} == set(range(51))
+    assert {r.doc_id for r in decontamination.cleaned(docs, bench).collect()} == {
+        r[0] for r in rows if r[0] >= 100
+    }
+
+
 def test_leaks_of_odd_tables(spark, odd_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.report(odd_docs, none).count() == 0
