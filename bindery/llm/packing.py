@@ -34,6 +34,7 @@ END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Words whose ids a task remembers; then it starts anew.
 REMEMBERED = 400_000
+NO_SEQUENCE = (float("inf"), -1)
 
 #: A word of Latin letters and the marks behind it are split by the tokenizer
 #: anyway, and letters of this range are lowered one by one.
@@ -130,6 +131,44 @@ def cost(length: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> f
     return linear * length + quadratic * length * length
 
 
+class Rooms:
+    """Sequences by the room they have; finds the least (cost, sequence) with room for n.
+
+    A tree over rooms holds in each node the least entry of those below it.
+    """
+
+    def __init__(self, count: int, capacity: int):
+        self.size = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+        self.least = [NO_SEQUENCE] * (2 * self.size)
+        self.heaps[capacity] = [(0.0, b) for b in range(count)]
+        self._update(capacity)
+
+    def _update(self, room: int) -> None:
+        at = self.size + room
+        self.least[at] = self.heaps[room][0] if self.heaps[room] else NO_SEQUENCE
+        while at > 1:
+            at //= 2
+            self.least[at] = min(self.least[2 * at], self.least[2 * at + 1])
+
+    def find(self, n: int) -> tuple[float, int]:
+        """The least entry with a room of n or more."""
+        at = self.size + n
+        best = self.least[at]
+        while at > 1:
+            if at % 2 == 0:
+                best = min(best, self.least[at + 1])
+            at //= 2
+        return best
+
+    def fill(self, room: int, n: int, spent: float) -> None:
+        """Put n into the least sequence of this very room."""
+        was, b = heapq.heappop(self.heaps[room])
+        heapq.heappush(self.heaps[room - n], (was + spent, b))
+        self._update(room)
+        self._update(room - n)
+
+
 def assign(
     lengths: np.ndarray, capacity: int, linear: float, quadratic: float
 ) -> list[list[tuple[int, int, int]]]:
@@ -148,24 +187,16 @@ def assign(
     bins = -(-sum(n for n, _, _ in rest) // capacity)
     open_: list[list[tuple[int, int, int]]] = [[] for _ in range(bins)]
     room = [capacity] * bins
-    heap = [(0.0, b) for b in range(bins)]
+    rooms = Rooms(bins, capacity)
     over = []
     for n, doc, start in rest:
-        tried = []
-        while heap and room[heap[0][1]] < n:  # by descending cost these are mostly full ones
-            tried.append(heapq.heappop(heap))
-            if len(tried) >= 64:
-                break
-        if heap and room[heap[0][1]] >= n:
-            was, b = heap[0]
-            open_[b].append((doc, start, n))
-            room[b] -= n
-            heapq.heapreplace(heap, (was + cost(n, linear, quadratic), b))
-        else:
+        _, b = rooms.find(n)
+        if b < 0:
             over.append((n, doc, start))
-        for entry in tried:
-            if room[entry[1]]:
-                heapq.heappush(heap, entry)
+            continue
+        open_[b].append((doc, start, n))
+        rooms.fill(room[b], n, cost(n, linear, quadratic))
+        room[b] -= n
     b = 0
     order = sorted(range(bins), key=lambda x: room[x])
     for n, doc, start in over:

@@ -157,6 +157,24 @@ def test_costs_are_balanced():
     assert all(sum(n for _, _, n in p) == 4096 for p in packed[:-1])
 
 
+def test_only_what_fits_nowhere_is_cut():
+    """Many sequences of low cost and little room come before those with room."""
+    lengths = np.array([3500] * 300 + [1300] * 900 + [500] * 300)
+    room = {b: 4096 for b in range(-(-int(lengths.sum()) // 4096))}
+    spent = dict.fromkeys(room, 0.0)
+    nowhere = 0
+    for n in lengths.tolist():
+        fits = [(spent[b], b) for b in room if room[b] >= n]
+        if fits:
+            b = min(fits)[1]
+            room[b], spent[b] = room[b] - n, spent[b] + packing.cost(n)
+        nowhere += not fits
+    packed = packing.assign(lengths, 4096, 1.0, 1 / 2048)
+    pieces = np.bincount([doc for p in packed for doc, _, _ in p])
+    # and the gaps that are left take pieces of a few
+    assert (pieces > 1).sum() <= nowhere + 4 and pieces[:300].max() == 1
+
+
 def test_packing_of_odd_rows(spark, odd_docs):
     rows = packing.pack(odd_docs, PATH).collect()
     assert sum(r.start == 0 for r in rows) == odd_docs.count()
