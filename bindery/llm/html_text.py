@@ -49,14 +49,20 @@ CLOSES = {
 CELLS = {"td", "th"}
 SCOPES = {"table", "td", "th", "caption", "html"}
 
-TOKEN = re.compile(
+#: A quote opens a value right after the equals sign only; elsewhere it is like a letter.
+ATTRIBUTE = re.compile(
+    r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+)|(?=>|\Z)))?+"
+)
+MARKUP = (
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
     r"|<[!?][^>]*+>?"
     r"|</(?=[^a-zA-Z])[^>]*+>?"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
-    re.S,
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>%s)>"
 )
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ANY_ATTRIBUTE = re.sub(r"(?<!\\)\((?!\?)", "(?:", ATTRIBUTE.pattern)
+TOKEN = re.compile(MARKUP % rf"(?:[\s/]++|{_ANY_ATTRIBUTE})*+", re.S)
+#: Where a quoted value that never closes hides every end of tag, the first one counts.
+LOOSE = re.compile(MARKUP % "[^>]*+", re.S)
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Cells wider than this don't widen the column for the others.
@@ -343,11 +349,12 @@ def attributes(raw: str) -> dict[str, str]:
 def render(page: str | None) -> str | None:
     """The visible text of a page; null stays null.
 
-    A tag that never ends hides the rest, and one left open is closed at the end.
+    A tag without any `>` behind it hides the rest, and one left open is closed at
+    the end.
     """
     if page is None:
         return None
-    out, at, size = Page(), 0, len(page)
+    out, at, size, token = Page(), 0, len(page), TOKEN
     while at < size:
         begin = page.find("<", at)
         if begin < 0:
@@ -355,7 +362,9 @@ def render(page: str | None) -> str | None:
             break
         if begin > at:
             out.text(page[at:begin])
-        m = TOKEN.match(page, begin)
+        m = token.match(page, begin)
+        if not m and (m := LOOSE.match(page, begin)):
+            token = LOOSE  # no tag from here on would end otherwise
         if not m:
             if begin + 1 < size and (page[begin + 1].isalpha() or page[begin + 1] == "/"):
                 break

@@ -208,6 +208,20 @@ def test_rendering(page, want):
     assert html_text.render(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<p class="x"">Rest <b>of it</b>', "Rest of it"), ("<a title=5\">five</a> \"inch\"", 'five "inch"'),
+        ("<div data-x=it's>shown</div> isn't it", "shown\nisn't it"), ("<p '>a</p 'x>b", "a\n\nb"),
+        ("<p title='a>b' class=x>c", "c"), ('<p title = "a>b">c', "c"), ("<p title=>c", "c"),
+        ("<p title=\"x>c <b>d</b>", "c d"), ("<div class='a'hidden>no</div>yes", "yes"),
+        ("<a href=/x/>y</a>", "y"), ("<a href='x>y' z", "y' z"),
+    ],
+)
+def test_stray_quotes_hide_no_text(page, want):
+    assert html_text.render(page) == want
+
+
 def test_deep_and_long_pages():
     assert html_text.render("<div>" * 20_000 + "x").strip() == "x"
     assert html_text.render("<p>" + "word " * 200_000).count("word") == 200_000
