@@ -20,9 +20,14 @@ from bindery.llm.blocks import Words, mix, offsets, sliced, split_lines, split_w
 LEVEL = 3
 CHUNK = 4096
 #: (bytes from which the row holds, least and greatest compressed / raw ratio)
-BANDS = ((0, 0.25, 1.30), (512, 0.25, 0.85), (2048, 0.20, 0.75), (16384, 0.15, 0.70))
+#: Greatest ratios lie between those of clean prose and of noise of 64 symbols
+#: (base64), which don't meet from 192 bytes on; noise of 16 symbols is like prose.
+BANDS = (
+    (0, 0.25, 1.30), (128, 0.25, 0.98), (192, 0.25, 0.92), (256, 0.25, 0.87), (512, 0.25, 0.77),
+    (1024, 0.25, 0.72), (2048, 0.20, 0.70), (16384, 0.15, 0.65),
+)
 #: The same for chunks, which are compressed alone and so never see what lies before.
-CHUNK_BANDS = ((0, 0.15, 0.80),)
+CHUNK_BANDS = ((0, 0.15, 0.70),)
 #: Share of the chunks that may lie outside their band.
 BAD_CHUNKS = 0.25
 

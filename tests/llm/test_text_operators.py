@@ -93,6 +93,24 @@ def test_bands_reject_both_ends():
     assert judge.judge(half)[2] > 0
 
 
+@pytest.mark.parametrize("size", [200, 300, 800, 1500, 3000, 20_000])
+def test_base64_is_rejected_and_prose_of_its_length_kept(spark, size):
+    symbols = np.frombuffer(
+        b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8
+    )
+    rng = np.random.default_rng(size)
+    junk = symbols[rng.integers(0, 64, size)].tobytes()
+    judge = compression_bands.Compressor()
+    assert not judge.judge(junk)[3]
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").orderBy("doc_id").limit(60).collect()
+    prose = " ".join(r.text for r in docs).encode()[:size]
+    assert len(prose) == size and judge.judge(prose)[3]
+    if size == 20_000:
+        mixed = junk[:14_000] + prose[:6000]
+        assert judge.judge(junk)[2] == judge.judge(junk)[1]
+        assert not judge.judge(mixed)[3] and judge.judge(mixed)[2] >= 3
+
+
 def test_filter_keeps_columns_and_order_of_verdicts(spark, odd_docs):
     kept = compression_bands.filtered(odd_docs)
     assert kept.columns == odd_docs.columns
