@@ -13,6 +13,7 @@ read all documents whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery.llm.blocks import (
-    Words, hash_strings, mix, normalised, sliced, split_words, without,
+    Words, hash_strings, mix, normalised, offsets, sliced, split_words, without,
 )
 
 #: Bounds of the labelled sample that the model is fitted to.
@@ -30,8 +31,15 @@ SAMPLE, SAMPLE_BYTES = 2000, 20_000
 SLOTS = 1 << 16
 AFFIX = 4
 NGRAM = 3
-#: Characters of a word that are looked at from its beginning; suffixes come from its end.
+#: Most characters of a word; longer runs are cut into pieces that are words of their own.
 LETTERS = 24
+#: Scripts where a longer run is cut first; all other characters go together.
+SCRIPTS = re.compile(
+    "[A-Za-z\u00aa-\u024f\u1e00-\u1eff]+|[\u0370-\u03ff\u1f00-\u1fff]+|[\u0400-\u052f]+|[\u0590-\u05ff]+"
+    "|[\u0600-\u077f]+|[\u0900-\u097f]+|[\u0e00-\u0e7f]+|[\u3040-\u30ff]+|[\u3400-\u9fff]+|[\uac00-\ud7af]+"
+    "|[^A-Za-z\u00aa-\u024f\u1e00-\u1eff\u0370-\u03ff\u1f00-\u1fff\u0400-\u052f\u0590-\u05ff\u0600-\u077f"
+    "\u0900-\u097f\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]+"
+)
 #: A word belongs to a language's lexicon if so many of its sample documents have it.
 LEXICON_DOCS = 3
 STEPS, BATCH, LENGTH, RATE, PENALTY = 240, 128, 32, 0.15, 1e-4
@@ -49,14 +57,45 @@ class Model:
 
 
 def letter_words(texts: pa.Array) -> Words:
-    """Normalised words that have a letter."""
-    words = normalised(split_words(texts))
+    """Normalised words that have a letter, long runs in pieces."""
+    words = in_pieces(normalised(split_words(texts)))
     if not len(words.vocab):
         return words
     bare = pc.invert(pc.match_substring_regex(words.vocab, r"\p{L}"))
     return without(words, bare.to_numpy(zero_copy_only=False))
 
 
+def pieces(run: str) -> list[str]:
+    """A run cut where the script changes, and into even parts of LETTERS at most."""
+    out = []
+    for part in SCRIPTS.findall(run):
+        count = -(-len(part) // LETTERS)
+        cuts = [len(part) * k // count for k in range(count + 1)]
+        out += [part[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    return out
+
+
+def in_pieces(words: Words) -> Words:
+    """Runs of more than LETTERS characters as several words, so that all of them counts."""
+    long = pc.greater(pc.utf8_length(words.vocab), LETTERS).to_numpy(zero_copy_only=False)
+    if not long.any():
+        return words
+    cut = [pieces(x) for x in words.vocab.filter(pa.array(long)).to_pylist()]
+    short = words.vocab.filter(pa.array(~long))
+    parts = pa.array([x for y in cut for x in y], words.vocab.type)
+    coded = pa.concat_arrays([short, parts]).dictionary_encode()
+    # each entry of the old vocabulary is `sizes` words of the new list, from `first` on
+    sizes = np.ones(len(long), np.int64)
+    sizes[long] = [len(x) for x in cut]
+    first = np.cumsum(~long) - 1
+    first[long] = len(short) + offsets(sizes[long])[:-1]
+    counts = sizes[words.codes]
+    at = offsets(counts)
+    place = np.arange(at[-1]) - np.repeat(at[:-1] - first[words.codes], counts)
+    codes = coded.indices.to_numpy().astype(np.int64)[place]
+    return Words(codes, at[words.starts], coded.dictionary)
+
+
 def _codes(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points by word and place, 0 behind the end; and lengths."""
     words = np.array(vocab.to_pylist(), dtype=f"U{LETTERS}")

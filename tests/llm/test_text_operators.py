@@ -290,6 +290,22 @@ def test_words_of_switching_text(small_model):
     assert np.allclose(found.sum(axis=1), 1)
 
 
+def test_every_character_of_a_long_run_counts(small_model):
+    _, model = small_model
+    en, de = "thatwithfromthisthehaveand" * 4, "nichteinederdieundschlichtzwischen" * 4
+    words, found = crf_language.label(model, pa.array([en + de, "short one", en[:24], None]))
+    parts = words.vocab.take(pa.array(words.codes)).to_pylist()
+    size = int(words.starts[1])
+    assert "".join(parts[:size]) == en + de and max(map(len, parts)) <= 24
+    assert parts[size:] == ["short", "one", en[:24]] and words.counts.tolist()[2:] == [1, 0]
+    other, _ = crf_language.label(model, pa.array([en[:24] + de]))
+    assert other.counts[0] > 1
+    mixed = crf_language.pieces("словословословословослово漢字漢字latin")
+    assert mixed[-2:] == ["漢字漢字", "latin"] and "".join(mixed[:2]) == "слово" * 5
+    names = [model.langs[i] for i in found[:size].argmax(axis=1)]
+    assert names[0] == "en" and names[-1] == "de"
+
+
 def test_forward_backward_equals_all_paths():
     rng = np.random.default_rng(5)
     scores, change, start = rng.normal(size=(7, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
