@@ -295,6 +295,20 @@ def test_repeated_passages_are_found(spark):
             assert a == words_of(rows[r.of_doc_id][1])[r.of_start : r.of_end]
 
 
+def test_header_and_footer_around_differing_words_are_passages(spark):
+    rng = random.Random(16)
+    header, footer = sentence(rng, 60), sentence(rng, 60)
+    sizes = (50, 90, 140, 200)
+    rows = [(d, f"{header} {sentence(rng, n)} {footer}") for d, n in enumerate(sizes)]
+    one_file = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = chaining.passages(written(one_file, "docs")).collect()
+    for d, n in list(enumerate(sizes))[1:]:
+        own = sorted((r.start, r.end) for r in found if r.doc_id == d)
+        assert any(a == 0 and 60 <= b <= 64 for a, b in own), (d, own)
+        assert any(56 + n <= a <= 60 + n and b == 120 + n for a, b in own), (d, own)
+    assert all(r.identity >= 0.8 and r.words >= 50 for r in found)
+
+
 def test_exact_copies_are_whole_passages(spark, docs):
     copies = docs.groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("d"))
     rows = chaining.passages(docs).collect()
