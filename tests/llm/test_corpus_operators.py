@@ -309,6 +309,22 @@ def test_header_and_footer_around_differing_words_are_passages(spark):
     assert all(r.identity >= 0.8 and r.words >= 50 for r in found)
 
 
+def test_a_chance_meeting_with_the_first_document_hides_no_pair(spark):
+    rng = random.Random(26)
+    passage = " ".join(f"p{i}" for i in range(60)).split()
+    # the first documents hold each run of five words of the passage by chance, one by one
+    runs = [
+        " ".join(f"{rng.choice(WORDS)} {rng.choice(WORDS)} {' '.join(passage[i : i + 5])}" for i in part)
+        for part in (range(0, 56, 2), range(1, 56, 2))
+    ]
+    rows = [(k, r) for k, r in enumerate(runs)]
+    rows += [(10 + d, f"{sentence(rng, 80)} {' '.join(passage)} {sentence(rng, 80)}") for d in range(3)]
+    one_file = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = chaining.passages(written(one_file, "docs")).collect()
+    pairs = {(r.doc_id, r.of_doc_id) for r in found if r.words >= 58}
+    assert {(11, 10), (12, 10)} <= pairs
+
+
 def test_exact_copies_are_whole_passages(spark, docs):
     copies = docs.groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("d"))
     rows = chaining.passages(docs).collect()
