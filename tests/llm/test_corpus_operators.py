@@ -407,6 +407,16 @@ def test_lines_equal_plain_dedup(spark, docs):
     assert {r.doc_id: r.text for r in got} == want
 
 
+def test_equal_lines_of_few_words_are_dropped(spark):
+    short = ["All rights reserved", "Read more here", "more", "漢字漢字漢字漢字", "one two three four"]
+    rows = [(d, "\n".join([f"line {d} of its own kind", *short, "", "--"])) for d in range(3)]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string"), "short")
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.deduplicated(docs).collect()}
+    assert got[0] == rows[0][1].split("\n")
+    for d in (1, 2):
+        assert got[d] == [f"line {d} of its own kind", "", "--"]
+
+
 def similarity(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
