@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bindery.llm import (
     bagminhash, chaining, compression_bands, crf_language, decontamination, html_text,
-    line_dedup, packing, sharding, stupid_backoff,
+    line_dedup, packing, periodic_runs, sharding, stupid_backoff,
 )
 
 TOKENIZER = "word_bpe_49k.json"
@@ -65,6 +67,35 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.quality(docs).drop("text")
 
 
+def periodic_tails(ids: list, counts: np.ndarray) -> list:
+    """For one id in ten, by its CRC, the words of a periodic tail of its text.
+
+    A null id leaves its text as it is.
+    """
+    taken = [None] * len(ids)
+    for i, (doc_id, n) in enumerate(zip(ids, counts.tolist(), strict=True)):
+        h = zlib.crc32(b"%d" % doc_id) if doc_id is not None else 1
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            taken[i] = np.concatenate([np.arange(a), a + np.arange(n - a) % p])
+    return taken
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))
+    )
+    return periodic_runs.collapsed(docs, periodic_tails).select(
+        "doc_id", "n_runs", "start", "length", "period",
+        F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_stupid_backoff": op1_stupid_backoff,
@@ -77,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bagminhash": op8_bagminhash,
         "op9_language": op9_language,
         "op10_quality": op10_quality,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
