@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bindery.llm import (
     bagminhash, chaining, compression_bands, crf_language, decontamination, html_text,
     lexical_search, line_dedup, packing, periodic_runs, sharding, stupid_backoff,
+    suffix_dedup,
 )
 
 TOKENIZER = "word_bpe_49k.json"
@@ -102,6 +103,13 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.cleaned(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 #: Terms by a pattern of the characters that are in none, scores in 64-bit integers.
 LEXICAL_SEARCH_SQL = r"""
 WITH folded AS (
@@ -153,6 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality": op10_quality,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_lexical_search": op12_lexical_search,
+        "op13_suffix_dedup": op13_suffix_dedup,
     }
 
 
