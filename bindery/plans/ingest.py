@@ -73,10 +73,11 @@ def _store(
     versions: DataFrame,
     kind: str,
 ) -> DataFrame:
-    """Write a batch, blobs first and versions last; returns the stored outcome."""
+    """Write a batch, its end last; returns the stored outcome."""
     registry.append_blobs(blobs.new_blobs(plan, contents, utc_now(), on), batch_id)
     registry.append_outcomes(outcome, batch_id, kind)
     registry.append_versions(versions, batch_id)
+    registry.end(batch_id)
     return registry.outcomes(batch_id)
 
 
@@ -94,7 +95,9 @@ def ingest(
     the outcome rows as stored.
     """
     checked = _checked(bundles, profile, strict_json)
-    registry.begin(batch_id, checked.drop("seq") if "source" in checked.columns else checked)
+    known = checked.drop("seq") if "source" in checked.columns else checked
+    if registry.begin(batch_id, known):
+        return registry.outcomes(batch_id)
     active = registry.active(before=batch_id, touching=checked)
     carry, identity = (), "seq"
     if "source" in checked.columns:  # known by its place, not by a number of ours
@@ -139,7 +142,8 @@ def ingest_manifests(
     entries = written(entries, "entries")
     checked = validate(files.attach(entries, facts), "manifest")
     checked = written(manifests.numbered(checked), "checked")
-    registry.begin(batch_id, checked.drop("seq"))
+    if registry.begin(batch_id, checked.drop("seq")):
+        return registry.outcomes(batch_id)
     bundles = files.as_bundles(checked.where("valid"), F.col("seq"), utc_now(), ("source", "index"))
     active = registry.active(before=batch_id, touching=bundles)
     carry = ("source", "index")
@@ -164,7 +168,8 @@ def create_records(
 ) -> DataFrame:
     """Store bundles whose key is free; the others fail as duplicates."""
     checked = _checked(bundles, "create", False)
-    registry.begin(batch_id, checked)
+    if registry.begin(batch_id, checked):
+        return registry.outcomes(batch_id)
     active = registry.active(before=batch_id, touching=checked)
     tried = written(create_only(checked.where("valid"), active, batch_id, segment_rows), "tried")
     refused = tried.where(F.col("status") == FAILED).select("seq", F.col("error").alias("_refused"))
@@ -204,7 +209,8 @@ def apply_patches(
         "error", F.coalesce("_known", F.when(F.col("json_sum").isNotNull(), F.col("error")))
     )
     checked = written(checked, "patches")
-    registry.begin(batch_id, checked)
+    if registry.begin(batch_id, checked):
+        return registry.outcomes(batch_id)
     if by_key:
         active = written(registry.active(before=batch_id, touching=checked), "active")
         checked = written(resolve_keys(checked, active), "resolved")

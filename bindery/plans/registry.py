@@ -4,14 +4,19 @@
     blobs/batch_id=B                   contents by checksum
     dead_blobs/batch_id=B              ids of blobs of that batch that don't count any more
     outcomes/batch_id=B                what became of each row (one layout for all kinds)
-    audit/batch_id=B                   audit entries, which no purge touches
     batches/batch_id=B                 fingerprint of the batch's input
+    ended/batch_id=B                   the batch has ended: from here on it counts
+    audit/batch_id=B                   audit entries, which no purge touches
+    audited/batch_id=B                 all audit entries of the batch are there
     generations/                       the last row names the current G
 
-A batch writes blobs first and versions last. If it breaks off, blobs are left
-over that nobody refers to, never the other way round; run again under the same
-batch id and with the same input, it replaces what it wrote. Another input under
-a known batch id is refused. One batch at a time writes.
+A batch writes blobs, outcomes and versions, and then that it has ended. Readers
+of versions and outcomes see batches that have ended, so one that breaks off
+leaves nothing behind but blobs that nobody refers to, and may be run again at
+any time. A batch that has ended is never done again: under its id the same
+input returns its stored outcome, and another input is refused. Audit entries
+follow the end of their batch; if that breaks off, the next writer adds those
+that are missing, so each is written once. One batch at a time writes.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from bindery.schemas import AUDIT, BLOBS, KEY3, OUTCOMES, VERSIONS
 from bindery.session import written
 
 _BATCH = [T.StructField("batch_id", T.StringType(), True)]
+_MARK = T.StructType([T.StructField("id", T.StringType(), True)])
 
 
 @dataclass(frozen=True)
@@ -52,12 +58,44 @@ class Registry:
         newest = self._read(path, schema).agg(F.max("generation")).first()[0]
         return newest or 0
 
-    def begin(self, batch_id: str, rows: DataFrame) -> None:
+    def _marked(self, table: str) -> DataFrame:
+        return self._read(f"{self.root}/{table}", _MARK).select("batch_id").distinct()
+
+    def _mark(self, table: str, batch_id: str) -> None:
+        row = self.spark.createDataFrame([(batch_id,)], _MARK)
+        row.write.mode("overwrite").parquet(f"{self.root}/{table}/batch_id={batch_id}")
+
+    def _of_ended(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self._marked("ended"), "batch_id", "left_semi").select(*rows.columns)
+
+    def recover(self) -> None:
+        """Add the audit entries of batches that broke off after their end."""
+        pending = self._marked("ended").join(self._marked("audited"), "batch_id", "left_anti")
+        for row in pending.collect():  # one at most, as every writer begins with this
+            self._write_audit(row["batch_id"])
+
+    def _write_audit(self, batch_id: str) -> None:
+        path = f"{self._versions_path(self.generation())}/batch_id={batch_id}"
+        made = audit_feed(self.spark.read.schema(VERSIONS).parquet(path))
+        there = self.audit().where(F.col("batch_id") == batch_id)
+        missing = made.join(there, ["report_id", "version", "action"], "left_anti")
+        missing.select(*AUDIT.fieldNames()).write.mode("append").parquet(
+            f"{self.root}/audit/batch_id={batch_id}"
+        )
+        self._mark("audited", batch_id)
+
+    def end(self, batch_id: str) -> None:
+        """The batch counts from now on; then its audit entries are made."""
+        self._mark("ended", batch_id)
+        self._write_audit(batch_id)
+
+    def begin(self, batch_id: str, rows: DataFrame) -> bool:
         """Enter a batch by the fingerprint of its input; refuse another input.
 
-        Ids name folders, so they are kept to letters, digits, dots, hyphens and
-        underscores.
+        True if the batch has ended before and is not to be done again. Ids name
+        folders, so they are kept to letters, digits, dots, hyphens and underscores.
         """
+        self.recover()
         if not re.fullmatch(r"[A-Za-z0-9_-][A-Za-z0-9._-]*", batch_id):
             raise ValueError(f"not usable as a batch id: {batch_id!r}")
         fields = sorted((f for f in rows.schema if f.name != "uploaded_at"), key=lambda f: f.name)
@@ -82,13 +120,14 @@ class Registry:
         if not known:
             rows = self.spark.createDataFrame([(now,)], schema)
             rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        return not self._marked("ended").where(F.col("batch_id") == batch_id).isEmpty()
 
     def _versions_path(self, generation: int) -> str:
         return f"{self.root}/versions/generation={generation}"
 
     def versions(self, before: str | None = None) -> DataFrame:
-        """All version rows; `before` leaves out what that batch itself wrote."""
-        rows = self._read(self._versions_path(self.generation()), VERSIONS)
+        """Version rows of batches that have ended; `before` leaves that batch out."""
+        rows = self._of_ended(self._read(self._versions_path(self.generation()), VERSIONS))
         return rows if before is None else rows.where(F.col("batch_id") != before)
 
     def active(
@@ -106,12 +145,13 @@ class Registry:
         return active_versions(rows)
 
     def blobs(self, before: str | None = None) -> DataFrame:
-        """Blobs not collected as garbage. A content stored again under a later
-        batch is the same blob; readers go by id."""
+        """Blobs not collected as garbage, those of batches that broke off included. A
+        content stored again under a later batch is the same blob; readers go by id.
+        `before`: what that batch can build on, the blobs of others that have ended."""
         rows = self._read(f"{self.root}/blobs", BLOBS)
         rows = rows.join(self._dead(), ["batch_id", "blob_id"], "left_anti")
         rows = rows.select(*BLOBS.fieldNames(), "batch_id")
-        return rows if before is None else rows.where(F.col("batch_id") != before)
+        return rows if before is None else self._of_ended(rows).where(F.col("batch_id") != before)
 
     def _dead(self) -> DataFrame:
         return self._read(f"{self.root}/dead_blobs", T.StructType(BLOBS.fields[:1]))
@@ -125,9 +165,6 @@ class Registry:
     def append_versions(self, rows: DataFrame, batch_id: str) -> None:
         path = f"{self._versions_path(self.generation())}/batch_id={batch_id}"
         rows.write.mode("overwrite").parquet(path)
-        feed = audit_feed(self.spark.read.schema(VERSIONS).parquet(path))
-        feed = feed.select(*AUDIT.fieldNames())
-        feed.write.mode("overwrite").parquet(f"{self.root}/audit/batch_id={batch_id}")
 
     def append_outcomes(self, rows: DataFrame, batch_id: str, kind: str) -> None:
         """Outcome rows of any kind, in the one layout that all of them share."""
@@ -142,7 +179,7 @@ class Registry:
         rows.select(*columns).write.mode("overwrite").parquet(path)
 
     def outcomes(self, batch_id: str | None = None) -> DataFrame:
-        rows = self._read(f"{self.root}/outcomes", OUTCOMES)
+        rows = self._of_ended(self._read(f"{self.root}/outcomes", OUTCOMES))
         return rows if batch_id is None else rows.where(F.col("batch_id") == batch_id)
 
     def audit(self) -> DataFrame:
@@ -176,13 +213,14 @@ class Registry:
         counts = retention.purge_counts(versions, plan)
         if dry_run:
             return counts
+        self.recover()
         current = self.generation()
         stay = retention.survivors(self.versions(), plan)
         target = self._versions_path(current + 1)
         stay.write.mode("overwrite").partitionBy("batch_id").parquet(target)
         pointer = self.spark.range(1).select(F.lit(current + 1).alias("generation"))
         pointer.write.mode("append").parquet(f"{self.root}/generations")
-        old = self._read(self._versions_path(current), VERSIONS)
+        old = self._of_ended(self._read(self._versions_path(current), VERSIONS))
         gone = retention.survivors(old, self.versions())
         return retention.purge_counts(with_successor(old), gone)
 

@@ -32,7 +32,7 @@ def start_ingest(
 
     The checkpoint and the micro-batch number name the registry batch. A
     micro-batch that Spark runs again after a failure thus replaces what its
-    first try wrote, and does not see it when routing: each bundle counts once.
+    first try wrote, or is left alone if that had ended: each bundle counts once.
     Another stream, or the same one begun afresh, has another checkpoint and so
     batches of its own.
     """
@@ -50,8 +50,9 @@ def start_ingest(
 
 
 def read_audit(registry: Registry) -> DataFrame:
-    """The audit table as a stream of appended rows. Purges don't touch that table,
-    so a stream that goes on, or starts again, sees each entry once."""
+    """The audit table as a stream of appended rows. Files are only ever added to that
+    table, neither purges nor batches that are run again write an entry twice, so a
+    stream that goes on, or starts again, sees each entry once."""
     path = f"{registry.root}/audit"
     return registry.spark.readStream.schema(AUDIT).parquet(f"{path}/batch_id=*")
 

@@ -443,3 +443,51 @@ def test_paths_that_climb(spark):
     )
     got = rows.select(files.resolve(F.col("source"), F.col("path")).alias("p"), "want").collect()
     assert all(r.p == r.want for r in got)
+
+
+@pytest.mark.parametrize("between", ["batch", "purge"])
+def test_ended_batch_run_again_changes_nothing(spark, bundles, between):
+    reg = Registry(spark, fresh_path(spark, "registry"))
+    feed, mark = fresh_path(spark, "feed"), fresh_path(spark, "mark")
+    first = bundles.where("seq < 200")
+    ingest(reg, first, "a")
+    if between == "batch":
+        ingest(reg, bundles.where("seq >= 200 AND seq < 300"), "b")
+    else:
+        reg.clean(keep=1)
+    before, audit = state(reg), reg.audit().count()
+    streaming.start_audit_feed(reg, feed, mark).awaitTermination()
+    again = ingest(reg, first, "a")
+    assert again.count() == 200 and state(reg) == before
+    streaming.start_audit_feed(reg, feed, mark).awaitTermination()
+    got = spark.read.parquet(feed)
+    assert got.count() == got.distinct().count() == audit == reg.audit().count()
+
+
+class Broken(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["append_outcomes", "append_versions", "end", "_write_audit"])
+def test_batch_that_broke_off_is_done_once(spark, bundles, step):
+    """Wherever it breaks off, and with another batch in between."""
+
+    def fail(*args, **kwargs):
+        raise Broken
+
+    reg = Registry(spark, fresh_path(spark, "registry"))
+    feed, mark = fresh_path(spark, "feed"), fresh_path(spark, "mark")
+    ingest(reg, bundles.where("seq < 30"), "a")
+    with pytest.MonkeyPatch.context() as patch, pytest.raises(Broken):
+        patch.setattr(Registry, step, fail)
+        ingest(reg, bundles.where("seq >= 30 AND seq < 60"), "b")
+    ended = step == "_write_audit"
+    assert reg.outcomes().count() == (60 if ended else 30)
+    ingest(reg, bundles.where("seq >= 60 AND seq < 90"), "c")
+    streaming.start_audit_feed(reg, feed, mark).awaitTermination()
+    ingest(reg, bundles.where("seq >= 30 AND seq < 60"), "b")
+    streaming.start_audit_feed(reg, feed, mark).awaitTermination()
+    assert reg.outcomes().count() == 90
+    assert integrity.broken_chains(reg.versions()).isEmpty()
+    got, want = spark.read.parquet(feed), chain.audit_feed(reg.versions())
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
