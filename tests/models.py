@@ -71,6 +71,54 @@ def patch(patches, records):
     return out
 
 
+def mixed(rows, records):
+    """Fold bundles and patches over records by report id, one after another."""
+    now = {rid: dict(r) for rid, r in records.items()}
+    out = {}
+
+    def at(key3, name):
+        held = [i for i, r in now.items() if r["key3"] == key3 and r["json_name"] == name]
+        assert len(held) < 2
+        return held[0] if held else None
+
+    for p in sorted(rows, key=lambda p: p["seq"]):
+        brought = [f for f in ("json", "sql", "tpl") if p[f"{f}_sum"]]
+        key3 = (p["csi_id"], p["region"], p["regulation"])
+        if p["kind"] == "bundle":
+            rid = at(key3, p["json_name"])
+            if rid is None:
+                rid = p["own"]
+                now[rid] = {"key3": key3, "version": 1, "name": p["name"]} | {
+                    f"{f}_{c}": p[f"{f}_{c}"] for f in ("json", "sql", "tpl") for c in ("name", "sum")
+                }
+                status = "created"
+            else:
+                r = now[rid]
+                differ = [f for f in ("json", "sql", "tpl") if p[f"{f}_sum"] != r[f"{f}_sum"]]
+                really = [f for f in differ if p[f"{f}_sum"]]
+                status = "updated" if differ else "skipped"
+                r["version"] += bool(really)
+                r["name"] = p["name"]
+                for f in really:
+                    r[f"{f}_name"], r[f"{f}_sum"] = p[f"{f}_name"], p[f"{f}_sum"]
+        else:
+            rid = p["report_id"] if p["kind"] == "patch_id" else at(key3, p["json_name"])
+            r = now.get(rid)
+            taken = r and "json" in brought and at(r["key3"], p["json_name"]) not in (None, rid)
+            if not brought or r is None or taken:
+                out[p["seq"]] = ("failed", None)
+                continue
+            r["version"] += 1
+            for f in brought:
+                r[f"{f}_name"], r[f"{f}_sum"] = p[f"{f}_name"], p[f"{f}_sum"]
+            r["name"] = p["name"] if "json" in brought else r["name"]
+            status = "updated"
+        r = now[rid]
+        out[p["seq"]] = (status, (rid, r["version"], r["name"], r["json_name"], r["json_sum"],
+                                  r["sql_name"], r["sql_sum"], r["tpl_name"], r["tpl_sum"]))
+    return out
+
+
 def purge(versions, keep):
     """Rows to purge, group by group."""
     groups = {}
