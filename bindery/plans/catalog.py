@@ -14,6 +14,7 @@ from bindery.operators import (
     export,
     fetch,
     integrity,
+    mixed,
     patch,
     retention,
     route,
@@ -21,7 +22,7 @@ from bindery.operators import (
 )
 from bindery.operators.facts import content_facts
 from bindery.plans import views
-from bindery.plans.ingest import as_entries
+from bindery.plans.ingest import as_entries, ingest
 from bindery.plans.registry import Registry
 from bindery.schemas import KEY3, KEY4
 from bindery.session import fresh_path, written
@@ -220,6 +221,16 @@ def patch_not_found(spark, sf):
     return missing.where(F.col("report_id").isNull()).select("seq", *KEY4, "error")
 
 
+@query
+def mixed_batch(spark, sf):
+    """Bundles and patches in one batch, with records that change their key."""
+    rows = mixed.mixed(views.mixed_rows(spark, sf), views.active(spark, sf), "1")
+    return rows.select(
+        "seq", "kind", "report_id", "status", "error", "version", "changed", "json_name",
+        "sql_name", "tpl_name", "tpl_sum",
+    )
+
+
 # --- lookups, lists and pages --------------------------------------------------
 
 
@@ -751,3 +762,18 @@ def stream_route(spark, sf):
         requests = streaming.read_landing(spark, landing)
         streaming.start_ingest(requests, registry, checkpoint).awaitTermination()
     return registry.outcomes().select(F.col("index").alias("seq"), "status", "reason", "version")
+
+
+@query
+def stream_audit(spark, sf):
+    """The audit feed of a stored registry: two batches, the first of them run again
+    after the second, with the stream stopped and started in between."""
+    registry = Registry(spark, fresh_path(spark, "registry"))
+    feed, checkpoint = fresh_path(spark, "feed"), fresh_path(spark, "stream")
+    bundles = views.as_bundles(views.submissions(spark, sf))
+    half = bundles.agg(F.floor(F.max("seq") / 2)).first()[0]
+    first, second = bundles.where(F.col("seq") <= half), bundles.where(F.col("seq") > half)
+    for rows, batch_id in ((first, "0"), (second, "1"), (first, "0")):
+        ingest(registry, rows, batch_id)
+        streaming.start_audit_feed(registry, feed, checkpoint).awaitTermination()
+    return spark.read.parquet(feed).select("version", "action", "timestamp", "details")

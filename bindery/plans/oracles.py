@@ -300,6 +300,79 @@ _KEY_PATCHED = (
     + _patch_sql("found_patches")
 )
 
+# --- a mixed batch, one row after another --------------------------------------
+
+_K3 = "csi_id, region, regulation"
+_OWN_ID = _uuid("csi_id", "region", "regulation", "json_name", "'1'", "seq")
+_MIXED = f"""RECURSIVE {_REG},{ORDER_BUNDLES},
+ops AS (
+  SELECT o.seq, {_K3}, o.uploaded_at,
+    CASE WHEN o.seq % 5 > 2 THEN 'patch_id' WHEN o.seq % 5 = 2 THEN 'patch_key' ELSE 'bundle' END
+      AS kind,
+    CASE WHEN o.seq % 5 > 2 THEN coalesce(a.report_id, {_NO_ID}) END AS report_id,
+    CASE WHEN o.seq % 5 <= 2 THEN json_name WHEN o.seq // 5 % 4 = 1 THEN 'report_0.json'
+      WHEN o.seq // 5 % 4 = 2 THEN 'report_1.json' WHEN o.seq // 5 % 4 = 3 THEN 'moved.json' END
+      AS json_name,
+    CASE WHEN o.seq % 5 <= 2 OR o.seq // 5 % 4 > 0 THEN 'sha256:' || sha256(o.json_text) END AS js,
+    CASE WHEN o.seq % 5 < 2 OR o.o_orderstatus = 'O' THEN o.sql_name END AS sn,
+    CASE WHEN o.seq % 5 < 2 OR o.o_orderstatus = 'O' THEN 'sha256:' || sha256(o.sql_text) END AS ss,
+    CASE WHEN o.seq % 5 < 2 OR o.o_orderstatus = 'F' THEN o.tpl_name END AS tn,
+    CASE WHEN o.seq % 5 < 2 OR o.o_orderstatus = 'F' THEN 'sha256:' || sha256(o.tpl_text) END AS ts
+  FROM order_bundles o LEFT JOIN act a USING ({_KEY})),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY {_K3} ORDER BY seq) AS n, {_OWN_ID} AS own FROM ops),
+held AS (
+  SELECT {_K3}, list({{'rid': report_id, 'jn': json_name, 'v': version, 'js': json_sum,
+    'sn': sql_name, 'ss': sql_sum, 'tn': tpl_name, 'ts': tpl_sum}}) AS state FROM act GROUP BY ALL),
+steps AS (
+  SELECT {_K3}, 0::BIGINT AS n, coalesce(state, []) AS state, NULL::BIGINT AS seq,
+    NULL::VARCHAR AS kind, NULL::VARCHAR AS report_id, NULL::VARCHAR AS status,
+    NULL::VARCHAR AS error, NULL::VARCHAR AS changed, held.state[1] AS rec
+  FROM (SELECT DISTINCT {_K3} FROM numbered) LEFT JOIN held USING ({_K3})
+  UNION ALL
+  SELECT {_K3}, n, CASE WHEN status IN ('created', 'updated')
+      THEN list_append(list_filter(state, lambda x: x.rid <> rec.rid), rec) ELSE state END,
+    seq, kind, CASE WHEN kind = 'patch_id' THEN report_id ELSE rec.rid END, status, error,
+    CASE WHEN status <> 'failed' THEN changed END, rec
+  FROM (
+    SELECT *, CASE WHEN status <> 'failed' THEN {{
+        'rid': coalesce(r.rid, own), 'jn': coalesce(json_name, r.jn),
+        'v': CAST(CASE WHEN r.rid IS NULL THEN 1 WHEN kind <> 'bundle' OR cj OR cs OR ct
+          THEN r.v + 1 ELSE r.v END AS INT),
+        'js': coalesce(js, r.js),
+        'sn': CASE WHEN cs THEN sn ELSE r.sn END, 'ss': CASE WHEN cs THEN ss ELSE r.ss END,
+        'tn': CASE WHEN ct THEN tn ELSE r.tn END, 'ts': CASE WHEN ct THEN ts ELSE r.ts END}} END
+        AS rec,
+      {_list(("cj", "json_config"), ("cs", "sql_file"), ("ct", "template"))} AS changed
+    FROM (
+      SELECT *, js IS NOT NULL AND (kind <> 'bundle' OR js IS DISTINCT FROM r.js) AS cj,
+        ss IS NOT NULL AND (kind <> 'bundle' OR ss IS DISTINCT FROM r.ss) AS cs,
+        ts IS NOT NULL AND (kind <> 'bundle' OR ts IS DISTINCT FROM r.ts) AS ct,
+        CASE WHEN error IS NOT NULL THEN 'failed' WHEN kind <> 'bundle' THEN 'updated'
+          WHEN r.rid IS NULL THEN 'created'
+          WHEN js IS NOT DISTINCT FROM r.js AND ss IS NOT DISTINCT FROM r.ss
+            AND ts IS NOT DISTINCT FROM r.ts THEN 'skipped' ELSE 'updated' END AS status
+      FROM (
+        SELECT *, CASE
+            WHEN kind <> 'bundle' AND js IS NULL AND ss IS NULL AND ts IS NULL
+              THEN 'At least one file must be provided for modification.'
+            WHEN kind = 'patch_id' AND r.rid IS NULL
+              THEN 'No active record found with report_id ''' || report_id || ''''
+            WHEN kind = 'patch_key' AND r.rid IS NULL
+              THEN 'No active record found for csi_id=''' || csi_id || ''' regulation=''' ||
+                regulation || ''' region=''' || region || ''' json_config=''' || json_name || ''''
+            WHEN kind = 'patch_id' AND taken
+              THEN 'Modify failed for report_id=''' || report_id ||
+                ''': another active record holds json_config ''' || json_name || '''' END AS error
+        FROM (
+          SELECT o.*, s.state, CASE WHEN o.kind = 'patch_id'
+              THEN list_filter(s.state, lambda x: x.rid = o.report_id)[1]
+              ELSE list_filter(s.state, lambda x: x.jn = o.json_name)[1] END AS r,
+            len(list_filter(s.state, lambda x: x.jn = o.json_name AND x.rid <> o.report_id)) > 0
+              AS taken
+          FROM steps s JOIN numbered o ON o.n = s.n + 1 AND o.csi_id = s.csi_id
+            AND o.region = s.region AND o.regulation = s.regulation)))))"""
+
 # --- validation ----------------------------------------------------------------
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -651,6 +724,11 @@ def oracle_sql() -> dict[str, str]:
         + """report_id, version, CASE WHEN version = 1 THEN 'CREATED' ELSE 'MODIFIED' END AS action,
     uploaded_at AS timestamp, change AS details FROM c
   UNION ALL SELECT report_id, version, 'DEACTIVATED', superseded_at,
+    'Superseded by version ' || (version + 1) FROM c WHERE NOT active""",
+        "stream_audit": reg
+        + """version, CASE WHEN version = 1 THEN 'CREATED' ELSE 'MODIFIED' END AS action,
+    uploaded_at AS timestamp, change AS details FROM c
+  UNION ALL SELECT version, 'DEACTIVATED', superseded_at,
     'Superseded by version ' || (version + 1) FROM c WHERE NOT active""",
         "audit_arrays": reg
         + f"report_id, version, active, {_OWN_TEXT} || CASE WHEN active THEN '' ELSE {_END_TEXT}"
@@ -677,6 +755,9 @@ def oracle_sql() -> dict[str, str]:
         " WHERE status = 'updated'",
         "patch_by_key": f"WITH {_KEY_PATCHED} SELECT seq, report_id, status, version, changed,"
         " sql_name, tpl_sum FROM patched",
+        "mixed_batch": f"""WITH {_MIXED}
+SELECT seq, kind, report_id, status, error, rec.v AS version, changed, rec.jn AS json_name,
+  rec.sn AS sql_name, rec.tn AS tpl_name, rec.ts AS tpl_sum FROM steps WHERE n > 0""",
         "patch_not_found": f"WITH {_PATCHES} SELECT seq, {_KEY}, 'No active record found for"
         " csi_id=''' || csi_id || ''' regulation=''' || regulation || ''' region=''' || region ||"
         " ''' json_config=''' || json_name || '''' AS error FROM key_patches"

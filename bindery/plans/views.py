@@ -268,6 +268,32 @@ def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as one batch of bundles, patches by key and patches by id; of the last
+    some bring no config, some keep its name and some move the record to another
+    key, which others have given up or still hold."""
+    orders = order_bundles(spark, sf_dir)
+    held = resolve_keys(orders, active(spark, sf_dir)).drop("error")
+    turn, way = F.col("seq") % 5, F.floor(F.col("seq") / 5) % 4
+    by_id, by_key = turn > 2, turn == 2
+    target = F.when(way == 1, "report_0.json").when(way == 2, "report_1.json")
+    target = target.when(way == 3, "moved.json")
+    json = ~by_id | (way > 0)
+    sql = (turn < 2) | (F.col("o_orderstatus") == "O")
+    tpl = (turn < 2) | (F.col("o_orderstatus") == "F")
+    unknown = F.coalesce("report_id", fp.report_id(KEY4, "none", "seq"))
+    rows = held.select(
+        "seq", "csi_id", "region", "regulation", "uploaded_at",
+        F.when(by_id, "patch_id").when(by_key, "patch_key").otherwise("bundle").alias("kind"),
+        F.when(by_id, unknown).alias("report_id"),
+        F.when(by_id, target).otherwise(F.col("json_name")).alias("json_name"),
+        F.when(json, F.col("json_text")).alias("json_text"),
+        *[F.when(sql, F.col(f"sql_{c}")).alias(f"sql_{c}") for c in ("name", "text")],
+        *[F.when(tpl, F.col(f"tpl_{c}")).alias(f"tpl_{c}") for c in ("name", "text")],
+    )
+    return content_facts(as_bundles(rows))
+
+
 def routed(bundles: DataFrame, **options) -> DataFrame:
     return route(content_facts(as_bundles(bundles)), **options)
 
