@@ -27,7 +27,7 @@ from bindery.plans.registry import Registry
 from bindery.schemas import KEY3, KEY4
 from bindery.session import fresh_path, written
 from bindery.sources import files, inline, manifests
-from bindery.streaming import ingest as streaming
+from bindery.streaming import ingest as streaming, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -764,6 +764,21 @@ def stream_route(spark, sf):
     return registry.outcomes().select(F.col("index").alias("seq"), "status", "reason", "version")
 
 
+@query
+def stream_state_route(spark, sf):
+    """The same with the state of each key in the stream's state store, begun again
+    from its checkpoint between the portions."""
+    landing, checkpoint = fresh_path(spark, "landing"), fresh_path(spark, "stream")
+    target = fresh_path(spark, "outcomes")
+    payload = inline.build_payload(views.as_bundles(views.submissions(spark, sf)))
+    half = payload.agg(F.floor(F.max("seq") / 2)).first()[0]
+    for portion in (F.col("seq") <= half, F.col("seq") > half):
+        payload.where(portion).write.mode("append").json(landing)
+        requests = streaming.read_landing(spark, landing)
+        stateful.start_stateful_route(requests, target, checkpoint).awaitTermination()
+    return spark.read.parquet(target).select("seq", "status", "reason", "report_id", "version")
+
+
 @query
 def stream_audit(spark, sf):
     """The audit feed of a stored registry: two batches, the first of them run again

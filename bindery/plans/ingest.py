@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 from bindery.functions.text import utc_now
 from bindery.operators import batch, blobs
 from bindery.operators.facts import content_facts, file_facts
+from bindery.operators.mixed import BUNDLE, mixed, mixed_versions
 from bindery.operators.ordered import SEGMENT_ROWS
 from bindery.operators.patch import patch, patched_versions, resolve_keys
 from bindery.operators.route import create_only, route, version_rows
 from bindery.operators.validate import manifest_outcomes, validate
 from bindery.plans.registry import Registry
-from bindery.schemas import FAILED, UPDATED
+from bindery.schemas import FAILED, KEY3, UPDATED
 from bindery.session import written
 from bindery.sources import files, inline, manifests
 
@@ -228,3 +229,36 @@ def apply_patches(
     return _store(
         registry, batch_id, plan, contents, blobs.UPLOAD, outcome, patched_versions(outcome), "patch"
     )
+
+
+def apply_mixed(
+    registry: Registry, rows: DataFrame, batch_id: str, segment_rows: int = SEGMENT_ROWS
+) -> DataFrame:
+    """Apply one batch of bundles and patches, taken one after another by `seq`.
+
+    `rows` has contents and a `kind` as for `mixed`; bundles are checked as pushed
+    ones, patches as patches. Returns the outcome as stored.
+    """
+    entry = written(as_entries(content_facts(rows)), "mixed-facts")
+    is_bundle = F.col("kind") == BUNDLE
+    pushed = validate(entry.where(is_bundle), "inline")
+    patched = validate(entry.where(~is_bundle), "patch").withColumn(
+        "error", F.when(F.col("json_sum").isNotNull(), F.col("error"))
+    )
+    checked = written(pushed.unionByName(patched), "checked")
+    if registry.begin(batch_id, checked):
+        return registry.outcomes(batch_id)
+    named = registry.versions(before=batch_id).join(
+        checked.select("report_id").distinct(), "report_id", "left_semi"
+    )
+    groups = checked.where(F.col("csi_id").isNotNull()).select(*KEY3).union(named.select(*KEY3))
+    active = written(registry.active(before=batch_id, touching=groups), "active")
+    outcome = written(mixed(checked, active, batch_id, segment_rows), "outcome")
+    done = outcome.where("is_new_version").select("seq")
+    plan = blobs.upload_plan(
+        blobs.brought(checked.join(done, "seq", "left_semi")), registry.blobs(before=batch_id)
+    )
+    return _store(
+        registry, batch_id, plan, blobs.contents(rows), blobs.UPLOAD, outcome,
+        mixed_versions(outcome), "mixed",
+    )

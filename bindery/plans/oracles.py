@@ -941,6 +941,7 @@ SELECT seq, kind, report_id, status, error, rec.v AS version, changed, rec.jn AS
     report_id || '_v' || version || '.zip' AS zip_name, CAST(count(*) AS INT) AS n_files
   FROM manifest WHERE status = 'ok' GROUP BY ALL""",
         "stream_route": routed + "seq, status, reason, version FROM routed",
+        "stream_state_route": routed + "seq, status, reason, report_id, version FROM routed",
     }
     out["validate_fields"] = _fields_oracle()
     return out
