@@ -53,16 +53,22 @@ def content_facts(bundles: DataFrame, strict_json: bool = False) -> DataFrame:
 
 
 def file_facts(files: DataFrame, strict_json: bool = False) -> DataFrame:
-    """The same per file: `path`, `sum`, `size`, `finding` and config `name`."""
-    kind = fp.suffix(F.col("path"))
-    is_config = kind == text.CONFIG_EXTENSION
+    """The same per file: `path`, `sum`, `size`, `finding` and config `name`.
+
+    `files` has path and content, or comes from `listing.hashed` with sums that
+    were taken as the file was read; then its `kind` goes along.
+    """
+    suffix = fp.suffix(F.col("path"))
+    is_config = suffix == text.CONFIG_EXTENSION
     config = F.when(is_config, F.col("content"))
+    known = "sum" in files.columns
     return _with_config(files, config, strict_json).select(
         "path",
-        fp.checksum(F.col("content")).alias("sum"),
-        fp.byte_size(F.col("content")).alias("size"),
+        *(["kind"] if known else []),
+        (F.col("sum") if known else fp.checksum(F.col("content")).alias("sum")),
+        (F.col("size") if known else fp.byte_size(F.col("content")).alias("size")),
         F.when(is_config, F.col("_config.finding"))
-        .when(kind.isin(*text.SQL_EXTENSIONS), sql_finding(F.col("content")))
+        .when(suffix.isin(*text.SQL_EXTENSIONS), sql_finding(F.col("content")))
         .alias("finding"),
         F.when(is_config, F.col("_config.name")).alias("name"),
     )

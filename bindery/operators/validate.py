@@ -95,16 +95,23 @@ def _tokens() -> list[Column]:
     ]
 
 
-def _files() -> list[Column]:
-    def check(label: str, path: str, size: str) -> Column:
-        return F.when(F.col(size).isNull(), _says(f": {label} not found: ", F.col(path))).when(
-            F.col(size) == 0, _says(f": {label} is empty (0 bytes): ", F.col(path))
+def _files(listed: bool) -> list[Column]:
+    """`listed`: columns *_kind tell what is at a path, if anything."""
+
+    def check(label: str, path: str, short: str) -> Column:
+        size = F.col(f"{short}_size")
+        kind = F.col(f"{short}_kind") if listed else F.lit("file")
+        absent = kind.isNull() if listed else size.isNull()
+        return (
+            F.when(absent, _says(f": {label} not found: ", F.col(path)))
+            .when(kind != "file", _says(f": {label} path is not a regular file: ", F.col(path)))
+            .when(size == 0, _says(f": {label} is empty (0 bytes): ", F.col(path)))
         )
 
     return [
-        check("JSON config", "json_config", "json_size"),
-        check("SQL file", "sql_file", "sql_size"),
-        F.when(F.col("_has_template"), check("Template", "template", "tpl_size")),
+        check("JSON config", "json_config", "json"),
+        check("SQL file", "sql_file", "sql"),
+        F.when(F.col("_has_template"), check("Template", "template", "tpl")),
     ]
 
 
@@ -159,7 +166,8 @@ def validate(
     Rows are never dropped, so one bad bundle does not hold up the others.
     """
     checks = {
-        FIELDS: lambda: _fields("wrong_types" in bundles.columns), TOKEN: _tokens, FILES: _files, EXTENSIONS: _extensions, SQL: _sql,
+        FIELDS: lambda: _fields("wrong_types" in bundles.columns), TOKEN: _tokens,
+        FILES: lambda: _files("json_kind" in bundles.columns), EXTENSIONS: _extensions, SQL: _sql,
         CONFIG: _config, REQUEST: lambda: _request("undecodable" in bundles.columns),
     }
     found = [c for layer in layers or PROFILES[profile] for c in checks[layer]()]

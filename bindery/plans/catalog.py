@@ -20,13 +20,13 @@ from bindery.operators import (
     route,
     validate,
 )
-from bindery.operators.facts import content_facts
+from bindery.operators.facts import content_facts, file_facts
 from bindery.plans import views
 from bindery.plans.ingest import as_entries, ingest
 from bindery.plans.registry import Registry
 from bindery.schemas import KEY3, KEY4
 from bindery.session import fresh_path, written
-from bindery.sources import files, inline, manifests
+from bindery.sources import files, inline, listing, manifests
 from bindery.streaming import ingest as streaming, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -451,6 +451,20 @@ def validate_files(spark, sf):
     return _findings(validate.validate(_flawed(spark, sf), layers=(validate.FILES,)))
 
 
+@query
+def validate_disk_files(spark, sf):
+    """Files on disk, listed and hashed piece by piece: missing ones, folders and empty
+    files are told apart."""
+    folder = fresh_path(spark, "disk").removeprefix("file:").replace("///", "/")
+    entries = views.disk_entries(spark, sf, folder)
+    views.lay_out(entries)
+    found = listing.hashed(listing.spread(listing.read_entries(spark, folder)))
+    facts = written(file_facts(found), "disk-facts")
+    checked = validate.validate(files.attach(entries, facts), layers=(validate.FILES,))
+    return checked.select("index", "valid", _joined(), *[f"{s}_sum" for s in _SHORT],
+                          *[f"{s}_size" for s in _SHORT])
+
+
 @query
 def validate_ext(spark, sf):
     return _findings(validate.validate(_flawed(spark, sf), layers=(validate.EXTENSIONS,)))

@@ -515,6 +515,35 @@ details AS (
   UNION ALL
   SELECT seq, csi_id, status, report_id, version, reason, NULL, 1 FROM routed)"""
 
+def _disk_check(label: str, path: str, body: str, missing: str) -> str:
+    return f"""CASE WHEN {missing} AND key % 2 = 1 THEN lead || ': {label} not found: ' || {path}
+      WHEN {missing} THEN lead || ': {label} path is not a regular file: ' || {path}
+      WHEN {body} = '' THEN lead || ': {label} is empty (0 bytes): ' || {path} END"""
+
+
+_DISK = f"""WITH d AS (
+  SELECT s_suppkey AS key, 'Bundle #' || s_suppkey AS lead,
+    (s_suppkey % 10) || '/' || s_suppkey AS dir,
+    CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN ''
+      ELSE '{{"report":{{"name":"R' || s_name || '"}}}}' END AS js,
+    CASE WHEN s_suppkey % 11 = 0 THEN NULL WHEN s_suppkey % 13 = 0 THEN ''
+      ELSE 'SELECT ' || s_suppkey END AS sq,
+    CASE WHEN s_suppkey % 17 = 0 THEN NULL WHEN s_suppkey % 19 = 0 THEN ''
+      ELSE repeat(s_name, s_suppkey % 1000) END AS tp
+  FROM supplier),
+e AS (
+  SELECT *, {_disk_check("JSON config", "dir || '/config.json'", "js", "js IS NULL")} AS e1,
+    {_disk_check("SQL file", "dir || '/./query.sql'", "sq", "sq IS NULL")} AS e2,
+    CASE WHEN key % 3 <> 0 THEN
+      {_disk_check("Template", "dir || '/x/../t.txt'", "tp", "tp IS NULL")} END AS e3
+  FROM d)
+SELECT CAST(key AS BIGINT) AS index, e1 IS NULL AND e2 IS NULL AND e3 IS NULL AS valid,
+  concat_ws(' | ', e1, e2, e3) AS errors,
+  'sha256:' || sha256(js) AS json_sum, 'sha256:' || sha256(sq) AS sql_sum,
+  CASE WHEN key % 3 <> 0 THEN 'sha256:' || sha256(tp) END AS tpl_sum,
+  CAST(strlen(js) AS BIGINT) AS json_size, CAST(strlen(sq) AS BIGINT) AS sql_size,
+  CASE WHEN key % 3 <> 0 THEN CAST(strlen(tp) AS BIGINT) END AS tpl_size FROM e"""
+
 # --- retention, blobs, export --------------------------------------------------
 
 
@@ -849,6 +878,7 @@ SELECT seq, kind, report_id, status, error, rec.v AS version, changed, rec.jn AS
         "validate_tokens": _finding_query(FLAWED, "flawed", _token_checks()),
         "validate_page_tokens": _finding_query(PAGES, "page_bundles", _token_checks()),
         "validate_files": _finding_query(FLAWED, "flawed", _file_checks()),
+        "validate_disk_files": _DISK,
         "validate_ext": _finding_query(FLAWED, "flawed", _ext_checks()),
         "validate_sql_text": _finding_query(FLAWED, "flawed", _sql_checks()),
         "validate_config": _finding_query(FLAWED, "flawed", _config_checks()),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bindery.functions import fingerprint as fp
@@ -227,6 +228,50 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def disk_entries(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """One manifest entry per supplier, its files laid out below `folder`: some are
+    missing, some are empty, and some are folders."""
+    key = F.col("s_suppkey")
+    at = F.concat((key % 10).cast("string"), F.lit("/"), key.cast("string"))
+    return table(spark, sf_dir, "supplier").select(
+        F.lit(f"{folder}/manifest.yaml").alias("source"),
+        key.cast("long").alias("index"),
+        _csi(key).alias("csi_id"), _region("s_suppkey").alias("region"),
+        F.lit("DISK").alias("regulation"),
+        F.concat(at, F.lit("/config.json")).alias("json_config"),
+        F.concat(at, F.lit("/./query.sql")).alias("sql_file"),
+        F.when(key % 3 != 0, F.concat(at, F.lit("/x/../t.txt"))).alias("template"),
+        F.when(key % 7 == 0, F.lit(None)).when(key % 5 == 0, "")
+        .otherwise(_report_json(F.col("s_name"))).alias("json_text"),
+        F.when(key % 11 == 0, F.lit(None)).when(key % 13 == 0, "")
+        .otherwise(F.concat(F.lit("SELECT "), key.cast("string"))).alias("sql_text"),
+        F.when(key % 17 == 0, F.lit(None)).when(key % 19 == 0, "")
+        .otherwise(F.repeat(F.col("s_name"), (key % 1000).cast("int"))).alias("tpl_text"),
+        (key % 2 == 0).alias("as_folder"),
+    )
+
+
+def lay_out(entries: DataFrame) -> None:
+    """Write the files of `disk_entries`; a null text is a folder in every other row."""
+
+    def task(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                root = row["source"].rpartition("/")[0]
+                fs, _ = FileSystem.from_uri(f"file://{root}")
+                home = f"{root}/{row['json_config'].rpartition('/')[0]}"
+                fs.create_dir(home)
+                for name, short in (("config.json", "json"), ("query.sql", "sql"), ("t.txt", "tpl")):
+                    if (content := row[f"{short}_text"]) is not None:
+                        with fs.open_output_stream(f"{home}/{name}") as out:
+                            out.write(content.encode())
+                    elif row["as_folder"]:
+                        fs.create_dir(f"{home}/{name}")
+            yield batch.select(["index"])
+
+    entries.mapInArrow(task, "index long").write.format("noop").mode("overwrite").save()
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pushed forms of the submissions, some with texts that are not base64."""
     good = build_payload(as_bundles(submissions(spark, sf_dir)))
