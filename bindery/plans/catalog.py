@@ -22,6 +22,7 @@ from bindery.operators import (
 )
 from bindery.operators.facts import content_facts, file_facts
 from bindery.plans import views
+from bindery.plans.current import CurrentState
 from bindery.plans.ingest import as_entries, ingest
 from bindery.plans.registry import Registry
 from bindery.schemas import KEY3, KEY4
@@ -311,6 +312,29 @@ def record_version(spark, sf):
     return flat(rows, "asked_version", "found")
 
 
+@query
+def point_lookup(spark, sf):
+    """All versions of eight reports, looked up by id in files laid out for it."""
+    versions = views.stored_for_lookups(spark, sf)
+    asked = views.patches(spark, sf).join(versions, "report_id", "left_semi")
+    ids = [r["report_id"] for r in asked.orderBy("seq").select("report_id").limit(8).collect()]
+    return flat(versions.where(F.col("report_id").isin(ids)), "change")
+
+
+@query
+def current_state(spark, sf):
+    """Active versions of the groups that one customer in ten touches, from the buckets
+    of a registry that took the submissions in two batches."""
+    state = CurrentState(spark, fresh_path(spark, "registry"), 64)
+    versions = views.versions(spark, sf)
+    for parity in (0, 1):
+        half = versions.where(F.col("version") % 2 == parity)
+        state.add(half, str(parity))
+    ended = spark.createDataFrame([("0",), ("1",)], "batch_id string")
+    touching = views.order_bundles(spark, sf).where(F.substring("csi_id", -1, 1) == "3")
+    return flat(state.read(ended, touching))
+
+
 @query
 def records_json(spark, sf):
     return fetch.as_json(chain.with_audit_log(views.versions(spark, sf)))

@@ -754,6 +754,13 @@ def oracle_sql() -> dict[str, str]:
     uploaded_at AS timestamp, change AS details FROM c
   UNION ALL SELECT report_id, version, 'DEACTIVATED', superseded_at,
     'Superseded by version ' || (version + 1) FROM c WHERE NOT active""",
+        "point_lookup": f"""WITH {_PATCHES}, asked AS (
+    SELECT report_id FROM patches WHERE report_id IN (SELECT report_id FROM v)
+    ORDER BY seq LIMIT 8)
+SELECT {_FLAT}, change FROM v WHERE report_id IN (SELECT report_id FROM asked)""",
+        "current_state": f"""WITH {_REG},{ORDER_BUNDLES} SELECT {_FLAT} FROM act
+WHERE (csi_id, region, regulation) IN (
+  SELECT (csi_id, region, regulation) FROM order_bundles WHERE right(csi_id, 1) = '3')""",
         "stream_audit": reg
         + """version, CASE WHEN version = 1 THEN 'CREATED' ELSE 'MODIFIED' END AS action,
     uploaded_at AS timestamp, change AS details FROM c

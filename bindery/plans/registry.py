@@ -9,6 +9,7 @@
     audit/batch_id=B                   audit entries, which no purge touches
     audited/batch_id=B                 all audit entries of the batch are there
     generations/                       the last row names the current G
+    current/, epochs/                  active versions in buckets, see `current`
 
 A batch writes blobs, outcomes and versions, and then that it has ended. Readers
 of versions and outcomes see batches that have ended, so one that breaks off
@@ -31,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
 from bindery.functions.text import utc_now
 from bindery.operators import blobs as blob_ops, retention
 from bindery.operators.chain import active_versions, audit_feed, with_successor
-from bindery.schemas import AUDIT, BLOBS, KEY3, OUTCOMES, VERSIONS
+from bindery.plans.current import BUCKETS, DELTAS, CurrentState, for_lookups
+from bindery.schemas import AUDIT, BLOBS, OUTCOMES, VERSIONS
 from bindery.session import written
 
 _BATCH = [T.StructField("batch_id", T.StringType(), True)]
@@ -42,6 +44,11 @@ _MARK = T.StructType([T.StructField("id", T.StringType(), True)])
 class Registry:
     spark: SparkSession
     root: str
+    buckets: int = BUCKETS
+
+    @property
+    def current(self) -> CurrentState:
+        return CurrentState(self.spark, self.root, self.buckets)
 
     def _read(self, path: str, schema: T.StructType) -> DataFrame:
         schema = T.StructType(schema.fields + _BATCH)
@@ -73,6 +80,16 @@ class Registry:
         pending = self._marked("ended").join(self._marked("audited"), "batch_id", "left_anti")
         for row in pending.collect():  # one at most, as every writer begins with this
             self._write_audit(row["batch_id"])
+        self._fold()
+
+    def _fold(self) -> None:
+        """Begin a new epoch of the current state, if a purge or enough batches ask for it."""
+        state, generation = self.current.epoch(), self.generation()
+        batches = self._marked("ended").count()
+        if state.generation != generation:
+            self.current.renew(active_versions(self.versions()), batches, generation)
+        elif batches - state.batches >= DELTAS:
+            self.current.renew(self.current.read(self._marked("ended")), batches, generation)
 
     def _write_audit(self, batch_id: str) -> None:
         path = f"{self._versions_path(self.generation())}/batch_id={batch_id}"
@@ -131,18 +148,28 @@ class Registry:
         return rows if before is None else rows.where(F.col("batch_id") != before)
 
     def active(
-        self, before: str | None = None, touching: DataFrame | None = None, on: Sequence[str] = KEY3
+        self, before: str | None = None, touching: DataFrame | None = None
     ) -> DataFrame:
-        """Active versions; of the groups that `touching` names only, if given.
+        """Active versions; of the KEY3 groups that `touching` names only, if given.
 
-        A batch needs the few groups it touches. Both KEY3 and the report id
-        stay the same along a chain, so cutting down to them first keeps whole
-        chains, and the bulk of the registry is not shuffled.
+        A batch needs the few groups it touches, and reads their buckets of the
+        current state. `before` names the batch in progress, which hasn't ended.
+        """
+        if touching is None:
+            return active_versions(self.versions(before))
+        ended = self._marked("ended")
+        if before is not None:
+            ended = ended.where(F.col("batch_id") != before)
+        return self.current.read(ended, touching)
+
+    def find(self, report_ids: Sequence[str], version: int | None = None) -> DataFrame:
+        """All versions of a few reports, or one version of each: a point lookup.
+
+        The ids reach the scan, which skips row groups by their ranges and Bloom
+        filters (`current.for_lookups`).
         """
-        rows = self.versions(before)
-        if touching is not None:
-            rows = rows.join(touching.select(*on).distinct(), list(on), "left_semi")
-        return active_versions(rows)
+        rows = self.versions().where(F.col("report_id").isin(list(report_ids)))
+        return rows if version is None else rows.where(F.col("version") == version)
 
     def blobs(self, before: str | None = None) -> DataFrame:
         """Blobs not collected as garbage, those of batches that broke off included. A
@@ -164,7 +191,8 @@ class Registry:
 
     def append_versions(self, rows: DataFrame, batch_id: str) -> None:
         path = f"{self._versions_path(self.generation())}/batch_id={batch_id}"
-        rows.write.mode("overwrite").parquet(path)
+        for_lookups(rows).parquet(path)
+        self.current.add(self.spark.read.schema(VERSIONS).parquet(path), batch_id)
 
     def append_outcomes(self, rows: DataFrame, batch_id: str, kind: str) -> None:
         """Outcome rows of any kind, in the one layout that all of them share."""
@@ -217,9 +245,10 @@ class Registry:
         current = self.generation()
         stay = retention.survivors(self.versions(), plan)
         target = self._versions_path(current + 1)
-        stay.write.mode("overwrite").partitionBy("batch_id").parquet(target)
+        for_lookups(stay).partitionBy("batch_id").parquet(target)
         pointer = self.spark.range(1).select(F.lit(current + 1).alias("generation"))
         pointer.write.mode("append").parquet(f"{self.root}/generations")
+        self._fold()
         old = self._of_ended(self._read(self._versions_path(current), VERSIONS))
         gone = retention.survivors(old, self.versions())
         return retention.purge_counts(with_successor(old), gone)

@@ -17,6 +17,7 @@ from bindery.operators.chain import active_versions, with_successor
 from bindery.operators.facts import content_facts
 from bindery.operators.patch import resolve_keys
 from bindery.operators.route import route, version_rows
+from bindery.plans.current import for_lookups
 from bindery.schemas import KEY4
 from bindery.session import fresh_path
 from bindery.sources.inline import build_payload
@@ -349,6 +350,16 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "versions", build)
 
 
+def stored_for_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions once more, in files that serve point lookups."""
+    key = (spark.sparkContext.applicationId, sf_dir, "lookups")
+    if key not in _stored:
+        path = fresh_path(spark, "lookups")
+        for_lookups(versions(spark, sf_dir).repartitionByRange("report_id")).parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return active_versions(versions(spark, sf_dir))
 

@@ -1,0 +1,116 @@
+"""The bucketed current state, and files that serve lookups."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from bindery.operators.chain import active_versions
+from bindery.plans import views
+from bindery.plans.current import CurrentState, bucket_of, for_lookups
+from bindery.plans.ingest import ingest
+from bindery.plans.registry import Registry
+from bindery.schemas import KEY3
+from bindery.session import fresh_path
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def bundles(spark):
+    return views.as_bundles(views.submissions(spark, SF_DIR)).cache()
+
+
+def ids(df):
+    return sorted(map(tuple, df.select("report_id", "version", "change").collect()))
+
+
+def scanned(df, what):
+    """Sum of a metric of the scans of a query that has run."""
+    df.collect()
+    plan, total = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("Scan parquet"):
+            metric = node.metrics().get(what)
+            total += metric.get().value() if metric.isDefined() else 0
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_state_equals_active_versions_through_folds_and_purges(spark, bundles, monkeypatch):
+    """Deltas are folded every other batch; what a batch that broke off wrote is not seen."""
+    monkeypatch.setattr("bindery.plans.registry.DELTAS", 2)
+    reg = Registry(spark, fresh_path(spark, "registry"), buckets=8)
+    all_keys = bundles.select(*KEY3)
+    for k in range(4):
+        if k == 2:
+            with pytest.MonkeyPatch.context() as broken, pytest.raises(RuntimeError):
+                broken.setattr(Registry, "end", lambda *a: (_ for _ in ()).throw(RuntimeError))
+                ingest(reg, bundles.where("seq >= 600 AND seq < 700"), "x")
+        ingest(reg, bundles.where(f"seq % 5 = {k} AND seq < 600"), f"b{k}")
+        if k == 1:
+            reg.clean(keep=1)
+        assert ids(reg.active(touching=all_keys)) == ids(active_versions(reg.versions()))
+    assert reg.current.epoch().epoch >= 2
+    some = all_keys.where("regulation = 'CLICK'").limit(3)
+    want = active_versions(reg.versions()).join(some.distinct(), list(KEY3), "left_semi")
+    assert ids(reg.active(touching=some)) == ids(want)
+
+
+def test_partitions_read_do_not_grow_with_the_registry(spark, bundles):
+    state = CurrentState(spark, fresh_path(spark, "registry"), 32)
+    versions = views.versions(spark, SF_DIR).cache()
+    one = versions.orderBy(*KEY3).select(*KEY3).limit(1)
+    bucket = one.select(bucket_of(32)).first()[0]
+    ended, read = [], []
+    for k in range(3):
+        state.add(versions.where(f"pmod(crc32(csi_id), 3) = {k}"), str(k))
+        ended.append((str(k),))
+        rows = state.read(spark.createDataFrame(ended, "batch_id string"), one)
+        plan = rows._jdf.queryExecution().toString()
+        assert "PartitionFilters" in plan and "bucket#" in plan
+        read.append(scanned(rows, "numPartitions"))
+        assert f"= {bucket}" in plan or f"IN ({bucket})" in plan or f"({bucket})" in plan
+    # one bucket of each delta, twice in the plan (rows and newest), never all 32
+    assert read[-1] <= 2 * 3 and read[0] <= 2
+    assert ids(rows) == ids(active_versions(versions).join(one, list(KEY3), "left_semi"))
+
+
+def test_lookups_skip_row_groups(spark):
+    """Ids are hashes, so their row groups have narrow ranges; names are found by filters."""
+    n = 200_000
+    rows = spark.range(n).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("report_id"),
+        F.concat(F.lit("CSI-"), F.col("id").cast("string")).alias("csi_id"),
+        F.lit("EU").alias("region"), F.lit("R").alias("regulation"),
+        F.lit(1).alias("version"),
+    )
+    path, plain = fresh_path(spark, "lookups"), fresh_path(spark, "plain")
+    for_lookups(rows.coalesce(1), row_group=1 << 20).parquet(path)
+    rows.coalesce(1).write.option("parquet.block.size", 1 << 20).parquet(plain)
+    asked = rows.where("id = 4711").first()
+    stored = spark.read.parquet(path)
+    by_id = stored.where(F.col("report_id") == asked.report_id)
+    by_name = stored.where(F.col("csi_id") == asked.csi_id)
+    assert by_id.collect() == by_name.collect() == [asked]
+    assert scanned(by_id, "numOutputRows") < n / 4
+    assert scanned(by_name, "numOutputRows") < n / 2
+    without = spark.read.parquet(plain).where(F.col("report_id") == asked.report_id)
+    assert scanned(without, "numOutputRows") == n
+
+
+def test_find(spark, bundles):
+    reg = Registry(spark, fresh_path(spark, "registry"))
+    ingest(reg, bundles.where("seq < 200"), "a")
+    some = [r.report_id for r in reg.active().orderBy("report_id").limit(3).collect()]
+    found = reg.find(some)
+    assert ids(found) == ids(reg.versions().where(F.col("report_id").isin(some)))
+    assert {r.version for r in reg.find(some, 1).collect()} == {1}
+    plan = reg.find(some[:1])._jdf.queryExecution().toString()
+    assert "EqualTo(report_id" in plan
