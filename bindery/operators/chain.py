@@ -109,6 +109,28 @@ def history(versions: DataFrame, report_ids: DataFrame) -> DataFrame:
     return spread_join(versions, wanted, KEY3, "inner", spread_by=("report_id", "version"))
 
 
+# Fixed value: error of a report that nobody knows.
+NO_REPORT_ID = "No records found with report_id '"
+
+
+def anchored(versions: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each report id asked for, once, with `found`, its KEY3 group and, for those
+    that no version has, an `error`."""
+    homes = versions.groupBy("report_id").agg(*[F.first(k).alias(k) for k in KEY3])
+    homes = homes.withColumn("found", F.lit(True))
+    rows = asked.select("report_id").distinct().join(homes, "report_id", "left")
+    missing = F.concat(F.lit(NO_REPORT_ID), F.coalesce("report_id", F.lit("")), F.lit("'"))
+    found = F.coalesce("found", F.lit(False))
+    return rows.withColumns({"found": found, "error": F.when(~found, missing)})
+
+
+def history_requests(versions: DataFrame, asked: DataFrame) -> DataFrame:
+    """What a history request finds: `total_versions` of the group of each report
+    asked for, or the `error` that there is none. `history` has the versions."""
+    totals = versions.groupBy(*KEY3).agg(F.count("*").alias("total_versions"))
+    return anchored(versions, asked).join(totals, list(KEY3), "left")
+
+
 HISTORY_ORDER = ("version", "uploaded_at", "report_id")
 
 

@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery.functions import text
+from bindery.session import written
 from bindery.schemas import KEY3
 
 # Default and highest numbers of rows.
@@ -126,6 +127,36 @@ def page(
     return (ordered.limit(limit) if limit else ordered), total
 
 
+def deep_page(
+    rows: DataFrame, limit: int = PAGE_SIZE, skip: int = 0, ranges: int = 64
+) -> DataFrame:
+    """The same page where `skip` is large, without a task that sorts what is skipped.
+
+    The sort columns alone are dealt to ranges and stored; each range is counted,
+    and the one or few that hold the page are sorted. The rows behind its keys are
+    then joined, at most `limit` of them. Choose `ranges` so that one fits a task.
+    """
+    if limit < 1 or skip < 0:
+        raise ValueError("limit must be positive and skip must not be negative")
+    dealt = rows.select(*PAGE_ORDER).repartitionByRange(ranges, *PAGE_ORDER)
+    dealt = written(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dict(dealt.groupBy("_range").count().collect())  # one number for each range
+    before, wanted, first = 0, [], 0
+    for number in sorted(counts):
+        if before < skip + limit and before + counts[number] > skip:
+            if not wanted:
+                first = before
+            wanted.append(number)
+        before += counts[number]
+    keys = dealt.where(F.col("_range").isin(wanted)).drop("_range")
+    keys = keys.orderBy(*PAGE_ORDER).offset(skip - first).limit(limit)
+    same = F.lit(True)
+    for name in PAGE_ORDER:
+        same = same & rows[name].eqNullSafe(F.col(f"_of_{name}"))
+    keys = keys.distinct().withColumnsRenamed({name: f"_of_{name}" for name in PAGE_ORDER})
+    return rows.join(F.broadcast(keys), same, "left_semi").orderBy(*PAGE_ORDER)
+
+
 def page_after(rows: DataFrame, last: Mapping[str, object], limit: int = PAGE_SIZE) -> DataFrame:
     """The page after a known last row: a filter in place of a deep offset."""
     after: Column = F.lit(False)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from bindery.operators.chain import anchored
 from bindery.operators.skew import spread_join
 from bindery.schemas import KEY3
 
@@ -88,6 +89,14 @@ def purge_counts(versions: DataFrame, plan: DataFrame, scope: str = "triple") ->
     )
 
 
+def purge_requests(versions: DataFrame, asked: DataFrame, keep: int = KEEP_VERSIONS) -> DataFrame:
+    """What a purge of each report asked for does: `purged` and `kept` of its group, or
+    the `error` that there is no such report."""
+    plan = purge_plan(versions, keep, report_ids=asked)
+    counts = purge_counts(versions, plan)
+    return anchored(versions, asked).join(counts, list(KEY3), "left")
+
+
 def purge_totals(counts: DataFrame) -> DataFrame:
     """Over all groups: versions purged and groups looked at."""
     return counts.agg(

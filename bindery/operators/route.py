@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from bindery.functions import fingerprint as fp
 from bindery.operators.ordered import SEGMENT, SEGMENT_ROWS, Order, running, segmented
+from bindery.operators.skew import spread_join
 from bindery.schemas import CREATED, FILE_TYPES, KEY4, SKIPPED, UPDATED
 
 ORDER = Order(KEY4, "seq")
@@ -139,6 +140,46 @@ def route(
     )
 
 
+# Parts of the error of a stored version without one of its files.
+MODIFY_FAILED, CORRUPT = "Modify failed for report_id='", "': Corrupt record report_id='"
+CORRUPT_FILE, CORRUPT_END = "': missing ", "_id in file_contents"
+
+
+def corrupt(bundles: DataFrame, active: DataFrame) -> DataFrame:
+    """seq, report_id, error of bundles that would carry over a file that the stored
+    version doesn't have.
+
+    A bundle that changes something, but not a part whose file id is missing, fails
+    and leaves the record as it is. The first that brings all missing parts anew
+    mends it, and bundles behind that one have nothing to fail by. An unchanged
+    bundle is skipped before its files are looked at.
+    """
+    parts = dict(zip(("json", "sql", "tpl"), FILE_TYPES))
+    lacks = {s: F.col(f"file_contents.{parts[s]}_id").isNull() for s in ("json", "sql")}
+    bad = active.where(lacks["json"] | lacks["sql"]).select(
+        *KEY4[:3], F.col("original_files.json_config").alias("json_name"),
+        F.col("report_id").alias("_report"),
+        *[lacks[s].alias(f"_no_{s}") for s in lacks],
+        *[F.col(f"checksums.{f}").alias(f"_{s}") for s, f in parts.items()],
+    )
+    rows = bundles.select("seq", *KEY4, "json_sum", "sql_sum", "tpl_sum")
+    rows = spread_join(rows, bad, KEY4, "inner", spread_by=("seq",))
+    new = {s: ~F.col(f"{s}_sum").eqNullSafe(F.col(f"_{s}")) for s in parts}
+    part = F.when(~new["json"] & F.col("_no_json"), FILE_TYPES[0]).when(
+        ~new["sql"] & F.col("_no_sql"), FILE_TYPES[1]
+    )
+    rows = rows.where(new["json"] | new["sql"] | new["tpl"]).withColumn("_part", part)
+    mended = rows.where("_part IS NULL").groupBy("_report").agg(F.min("seq").alias("_mended"))
+    rows = rows.where("_part IS NOT NULL").join(mended, "_report", "left")
+    said = F.concat(
+        F.lit(MODIFY_FAILED), "_report", F.lit(CORRUPT), "_report", F.lit(CORRUPT_FILE), "_part",
+        F.lit(CORRUPT_END),
+    )
+    return rows.where("_mended IS NULL OR seq < _mended").select(
+        "seq", F.col("_report").alias("report_id"), said.alias("error")
+    )
+
+
 def step_text(prefix: str, changed: F.Column, version: F.Column) -> F.Column:
     """Audit text of a change, such as `Changed: sql_file (v1 → v2)`."""
     before, after = (version - 1).cast("string"), version.cast("string")

@@ -335,6 +335,50 @@ def current_state(spark, sf):
     return flat(state.read(ended, touching))
 
 
+@query
+def records_deep_page(spark, sf):
+    """A page in the middle of the table, found by counted ranges."""
+    rows = views.marked(spark, sf)
+    half = rows.agg(F.floor(F.count("*") / 2)).first()[0]
+    return flat(fetch.deep_page(rows, 100, half), "active")
+
+
+@query
+def history_not_found(spark, sf):
+    """History requests by the ids that patches name, some of them unknown."""
+    rows = chain.history_requests(views.versions(spark, sf), _requested(spark, sf))
+    return rows.select("report_id", "found", "total_versions", "error")
+
+
+@query
+def purge_not_found(spark, sf):
+    rows = retention.purge_requests(views.marked(spark, sf), _requested(spark, sf), 2)
+    return rows.select("report_id", "purged", "kept", "error")
+
+
+@query
+def corrupt_records(spark, sf):
+    """The second batch against versions some of which have lost a file id."""
+    digit = F.substring("report_id", 1, 1)
+    lost = views.active(spark, sf).withColumn(
+        "file_contents",
+        F.struct(
+            *[F.when(~digit.isin(*gone), F.col(f"file_contents.{f}_id")).alias(f"{f}_id")
+              for f, gone in (("json_config", "0123"), ("sql_file", "3456"), ("template", "7"))]
+        ),
+    )
+    return route.corrupt(views.order_facts(spark, sf), lost)
+
+
+@query
+def clean_registry(spark, sf):
+    """Blobs of a stored registry after a purge, which frees those of purged versions."""
+    registry = Registry(spark, fresh_path(spark, "registry"))
+    ingest(registry, views.as_bundles(views.submissions(spark, sf)), "0")
+    registry.clean(keep=2)
+    return registry.blobs().select("blob_id", "length")
+
+
 @query
 def records_json(spark, sf):
     return fetch.as_json(chain.with_audit_log(views.versions(spark, sf)))

@@ -12,7 +12,7 @@ from bindery.operators.facts import content_facts, file_facts
 from bindery.operators.mixed import BUNDLE, mixed, mixed_versions
 from bindery.operators.ordered import SEGMENT_ROWS
 from bindery.operators.patch import patch, patched_versions, resolve_keys
-from bindery.operators.route import create_only, route, version_rows
+from bindery.operators.route import corrupt, create_only, route, version_rows
 from bindery.operators.validate import manifest_outcomes, validate
 from bindery.plans.registry import Registry
 from bindery.schemas import FAILED, KEY3, UPDATED
@@ -64,6 +64,23 @@ def _refuse_repeats(checked: DataFrame) -> DataFrame:
     return written(good.unionByName(failed), "checked")
 
 
+def _refuse_corrupt(checked: DataFrame, active: DataFrame) -> DataFrame:
+    """Bundles that would carry over a file the stored version lacks fail."""
+    broken = written(corrupt(checked.where("valid"), active), "corrupt")
+    if broken.isEmpty():
+        return checked
+    found = broken.select("seq", F.col("error").alias("_corrupt"))
+    return written(
+        checked.join(found, "seq", "left").withColumns(
+            {
+                "valid": F.col("valid") & F.col("_corrupt").isNull(),
+                "error": F.coalesce("error", "_corrupt"),
+            }
+        ).drop("_corrupt"),
+        "checked",
+    )
+
+
 def _store(
     registry: Registry,
     batch_id: str,
@@ -100,6 +117,7 @@ def ingest(
     if registry.begin(batch_id, known):
         return registry.outcomes(batch_id)
     active = registry.active(before=batch_id, touching=checked)
+    checked = _refuse_corrupt(checked, active)
     carry, identity = (), "seq"
     if "source" in checked.columns:  # known by its place, not by a number of ours
         carry = ("source", "index")

@@ -761,6 +761,45 @@ SELECT {_FLAT}, change FROM v WHERE report_id IN (SELECT report_id FROM asked)""
         "current_state": f"""WITH {_REG},{ORDER_BUNDLES} SELECT {_FLAT} FROM act
 WHERE (csi_id, region, regulation) IN (
   SELECT (csi_id, region, regulation) FROM order_bundles WHERE right(csi_id, 1) = '3')""",
+        "records_deep_page": reg + f"{_FLAT}, active FROM c ORDER BY {_PAGE_ORDER}"
+        " LIMIT 100 OFFSET (SELECT count(*) // 2 FROM c)",
+        "history_not_found": f"""WITH {_PATCHES},
+  q AS (SELECT DISTINCT report_id FROM patches),
+  totals AS (SELECT {_K3}, count(*) AS total_versions FROM v GROUP BY ALL),
+  homes AS (SELECT DISTINCT report_id, {_K3} FROM v)
+  SELECT q.report_id, h.report_id IS NOT NULL AS found, total_versions,
+    CASE WHEN h.report_id IS NULL THEN 'No records found with report_id ''' || q.report_id || ''''
+      END AS error
+  FROM q LEFT JOIN homes h USING (report_id) LEFT JOIN totals USING ({_K3})""",
+        "purge_not_found": f"""WITH {_PATCHES},{_purge(2)},
+  q AS (SELECT DISTINCT report_id FROM patches),
+  homes AS (SELECT DISTINCT report_id, {_K3} FROM v)
+  SELECT q.report_id, purged, kept,
+    CASE WHEN h.report_id IS NULL THEN 'No records found with report_id ''' || q.report_id || ''''
+      END AS error
+  FROM q LEFT JOIN homes h USING (report_id) LEFT JOIN counts USING ({_K3})""",
+        "corrupt_records": f"""WITH {_REG},{ORDER_BUNDLES},
+  met AS (
+    SELECT o.seq, a.report_id, a.report_id[1] IN ('0', '1', '2', '3') AS no_json,
+      a.report_id[1] IN ('3', '4', '5', '6') AS no_sql,
+      'sha256:' || sha256(o.json_text) <> a.json_sum AS cj,
+      'sha256:' || sha256(o.sql_text) <> a.sql_sum AS cs,
+      'sha256:' || sha256(o.tpl_text) IS DISTINCT FROM a.tpl_sum AS ct
+    FROM order_bundles o JOIN act a USING ({_KEY})),
+  judged AS (
+    SELECT *, (NOT cj AND no_json) OR (NOT cs AND no_sql) AS bad FROM met WHERE cj OR cs OR ct),
+  timed AS (
+    SELECT *, min(seq) FILTER (WHERE NOT bad) OVER (PARTITION BY report_id) AS mended FROM judged)
+  SELECT seq, report_id, 'Modify failed for report_id=''' || report_id ||
+    ''': Corrupt record report_id=''' || report_id || ''': missing ' ||
+    CASE WHEN NOT cj AND no_json THEN 'json_config' ELSE 'sql_file' END ||
+    '_id in file_contents' AS error
+  FROM timed WHERE bad AND (mended IS NULL OR seq < mended)""",
+        "clean_registry": f"""WITH {_REG},{_purge(2)},
+  kept AS (SELECT c.* FROM c ANTI JOIN plan USING (report_id, version))
+  SELECT json_sum AS blob_id, json_size AS length FROM kept
+  UNION SELECT sql_sum, sql_size FROM kept
+  UNION SELECT tpl_sum, tpl_size FROM kept WHERE tpl_sum IS NOT NULL""",
         "stream_audit": reg
         + """version, CASE WHEN version = 1 THEN 'CREATED' ELSE 'MODIFIED' END AS action,
     uploaded_at AS timestamp, change AS details FROM c

@@ -223,13 +223,18 @@ class Registry:
         dry_run: bool = False,
     ) -> DataFrame:
         """Apply a retention rule: by age if `max_age_days` is given, otherwise by
-        number, for all groups or those of the given reports."""
+        number, for all groups or those of the given reports. Blobs that no version
+        refers to any more are collected."""
         marked = written(with_successor(self.versions()), "marked")
         if max_age_days:
             plan = retention.purge_by_age(marked, utc_now(), max_age_days)
         else:
             plan = retention.purge_plan(marked, keep, scope, report_ids)
-        return self.purge(written(plan, "plan"), dry_run)
+        done = self.purge(written(plan, "plan"), dry_run)
+        if not dry_run:
+            done = written(done, "purged")
+            self.collect_blobs()
+        return done
 
     def purge(self, plan: DataFrame, dry_run: bool = False) -> DataFrame:
         """Remove planned versions; returns purged and kept per group.

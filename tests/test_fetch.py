@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from bindery.operators import fetch
 
@@ -74,3 +75,16 @@ def test_version_lookup(spark, versions):
         ("r1", 1): (True, 1), ("r1", None): (True, 2), ("r2", 9): (False, 9),
         ("nobody", None): (False, None),
     }
+
+
+@pytest.mark.parametrize("skip", [0, 1, 437, 999, 5000])
+def test_deep_page_equals_sorting(spark, skip):
+    """With ties, null keys and rows that repeat the sort columns."""
+    rows = spark.range(1000).select(
+        F.when(F.col("id") % 9 > 0, F.concat(F.lit("C"), F.col("id") % 13)).alias("csi_id"),
+        F.lit("EU").alias("region"), F.concat(F.lit("R"), F.col("id") % 3).alias("regulation"),
+        F.sha1(F.col("id").cast("string")).alias("report_id"), (F.col("id") % 4).alias("version"),
+    ).cache()
+    want = rows.orderBy(*fetch.PAGE_ORDER).offset(skip).limit(50).collect()
+    got = fetch.deep_page(rows, 50, skip, ranges=7)
+    assert got.collect() == want
