@@ -27,7 +27,7 @@ from bindery.plans.ingest import as_entries, ingest
 from bindery.plans.registry import Registry
 from bindery.schemas import KEY3, KEY4
 from bindery.session import fresh_path, written
-from bindery.sources import files, inline, listing, manifests
+from bindery.sources import documents, files, inline, listing, manifests
 from bindery.streaming import ingest as streaming, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -379,6 +379,27 @@ def clean_registry(spark, sf):
     return registry.blobs().select("blob_id", "length")
 
 
+@query
+def blob_ledger(spark, sf):
+    """References to each blob after two batches and a purge, by the ledger alone."""
+    registry = Registry(spark, fresh_path(spark, "registry"))
+    bundles = views.as_bundles(views.submissions(spark, sf))
+    half = bundles.agg(F.floor(F.max("seq") / 2)).first()[0]
+    for batch_id, rows in (("0", F.col("seq") <= half), ("1", F.col("seq") > half)):
+        ingest(registry, bundles.where(rows), batch_id)
+    registry.purge(written(retention.purge_plan(chain.with_successor(registry.versions()), 2), "plan"))
+    return registry.ledger()
+
+
+@query
+def import_records(spark, sf):
+    """Documents as a store dumps them, some broken and some no records, read back."""
+    return documents.read_documents(views.dumped(spark, sf)).select(
+        "place", *_IDS, "name", *_names(), *_sums(), *_sizes(), "uploaded_at", "version", "change",
+        "active", "error",
+    )
+
+
 @query
 def records_json(spark, sf):
     return fetch.as_json(chain.with_audit_log(views.versions(spark, sf)))

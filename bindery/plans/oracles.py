@@ -800,6 +800,27 @@ WHERE (csi_id, region, regulation) IN (
   SELECT json_sum AS blob_id, json_size AS length FROM kept
   UNION SELECT sql_sum, sql_size FROM kept
   UNION SELECT tpl_sum, tpl_size FROM kept WHERE tpl_sum IS NOT NULL""",
+        "blob_ledger": f"""WITH {_REG},{_purge(2)},
+  used AS (
+    SELECT report_id, version, unnest([json_sum, sql_sum, tpl_sum]) AS blob_id FROM c)
+  SELECT blob_id, count(*) FILTER (WHERE p.report_id IS NULL) AS refs
+  FROM used LEFT JOIN plan p USING (report_id, version) WHERE blob_id IS NOT NULL
+  GROUP BY blob_id""",
+        "import_records": reg + """report_id || '_v' || version AS place, CASE WHEN ok THEN report_id END AS report_id,
+    CASE WHEN ok THEN csi_id END AS csi_id, CASE WHEN ok THEN region END AS region,
+    CASE WHEN ok THEN regulation END AS regulation, CASE WHEN ok THEN name END AS name,
+    CASE WHEN ok THEN json_name END AS json_name, CASE WHEN ok THEN sql_name END AS sql_name,
+    CASE WHEN ok THEN tpl_name END AS tpl_name, CASE WHEN ok THEN json_sum END AS json_sum,
+    CASE WHEN ok THEN sql_sum END AS sql_sum, CASE WHEN ok THEN tpl_sum END AS tpl_sum,
+    CASE WHEN ok THEN json_size END AS json_size, CASE WHEN ok THEN sql_size END AS sql_size,
+    CASE WHEN ok THEN tpl_size END AS tpl_size,
+    CASE WHEN ok THEN CASE WHEN report_id[1] IN ('5', '6') THEN date_trunc('millisecond', uploaded_at)
+      ELSE uploaded_at END END AS uploaded_at,
+    CASE WHEN ok THEN version END AS version, CASE WHEN ok THEN change END AS change,
+    CASE WHEN ok THEN active END AS active,
+    CASE report_id[1] WHEN '0' THEN 'not a JSON document'
+      WHEN '1' THEN 'missing or of another type: csi_id' END AS error
+  FROM (SELECT *, report_id[1] NOT IN ('0', '1') AS ok FROM c WHERE report_id[1] <> '2')""",
         "stream_audit": reg
         + """version, CASE WHEN version = 1 THEN 'CREATED' ELSE 'MODIFIED' END AS action,
     uploaded_at AS timestamp, change AS details FROM c

@@ -8,6 +8,8 @@
     ended/batch_id=B                   the batch has ended: from here on it counts
     audit/batch_id=B                   audit entries, which no purge touches
     audited/batch_id=B                 all audit entries of the batch are there
+    refs/batch_id=B                    how often the batch's versions refer to each blob
+    unrefs/generation=G                the same of the versions that a purge took away
     generations/                       the last row names the current G
     current/, epochs/                  active versions in buckets, see `current`
 
@@ -37,6 +39,9 @@ from bindery.schemas import AUDIT, BLOBS, OUTCOMES, VERSIONS
 from bindery.session import written
 
 _BATCH = [T.StructField("batch_id", T.StringType(), True)]
+_REFS = T.StructType(
+    [T.StructField("blob_id", T.StringType(), True), T.StructField("n", T.LongType(), True)]
+)
 _MARK = T.StructType([T.StructField("id", T.StringType(), True)])
 
 
@@ -192,7 +197,26 @@ class Registry:
     def append_versions(self, rows: DataFrame, batch_id: str) -> None:
         path = f"{self._versions_path(self.generation())}/batch_id={batch_id}"
         for_lookups(rows).parquet(path)
-        self.current.add(self.spark.read.schema(VERSIONS).parquet(path), batch_id)
+        stored = self.spark.read.schema(VERSIONS).parquet(path)
+        self.current.add(stored, batch_id)
+        self._count_refs(stored, f"{self.root}/refs/batch_id={batch_id}")
+
+    def _count_refs(self, versions: DataFrame, path: str) -> None:
+        counts = blob_ops.references(versions).groupBy("blob_id").agg(F.count("*").alias("n"))
+        counts.select(*_REFS.fieldNames()).write.mode("overwrite").parquet(path)
+
+    def ledger(self) -> DataFrame:
+        """blob_id and `refs`, the number of references from versions that stand.
+
+        A sum of what batches added and purges took away, so that versions aren't
+        read again; a blob that was never referred to has no row.
+        """
+        added = self._of_ended(self._read(f"{self.root}/refs", _REFS)).select("blob_id", "n")
+        schema = T.StructType([*_REFS.fields, T.StructField("generation", T.IntegerType())])
+        taken = self._read(f"{self.root}/unrefs", schema)
+        taken = taken.where(F.col("generation") <= self.generation())
+        both = added.union(taken.select("blob_id", -F.col("n")))
+        return both.groupBy("blob_id").agg(F.sum("n").alias("refs"))
 
     def append_outcomes(self, rows: DataFrame, batch_id: str, kind: str) -> None:
         """Outcome rows of any kind, in the one layout that all of them share."""
@@ -251,6 +275,9 @@ class Registry:
         stay = retention.survivors(self.versions(), plan)
         target = self._versions_path(current + 1)
         for_lookups(stay).partitionBy("batch_id").parquet(target)
+        planned = plan.select("report_id", "version")
+        taken = self.versions().join(planned, ["report_id", "version"], "left_semi")
+        self._count_refs(taken, f"{self.root}/unrefs/generation={current + 1}")
         pointer = self.spark.range(1).select(F.lit(current + 1).alias("generation"))
         pointer.write.mode("append").parquet(f"{self.root}/generations")
         self._fold()
@@ -265,7 +292,8 @@ class Registry:
         contents stay where they are until `compact_blobs`. Should the job break
         off, run it again: what it had written is right by itself.
         """
-        dead = blob_ops.orphans(self.blobs(), self.versions()).select("blob_id", "batch_id")
+        standing = self.ledger().where("refs > 0").select("blob_id")
+        dead = self.blobs().select("blob_id", "batch_id").join(standing, "blob_id", "left_anti")
         dead = written(dead, "dead")
         dead.repartition("batch_id").write.mode("append").partitionBy("batch_id").parquet(
             f"{self.root}/dead_blobs"

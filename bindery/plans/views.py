@@ -12,8 +12,8 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bindery.functions import fingerprint as fp
-from bindery.operators import blobs as blob_ops
-from bindery.operators.chain import active_versions, with_successor
+from bindery.operators import blobs as blob_ops, fetch
+from bindery.operators.chain import active_versions, with_audit_log, with_successor
 from bindery.operators.facts import content_facts
 from bindery.operators.patch import resolve_keys
 from bindery.operators.route import route, version_rows
@@ -360,6 +360,37 @@ def stored_for_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_stored[key])
 
 
+def dumped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions as extended JSON, in a form that goes by the report id: cut off,
+    without a key, as a counter, and with the ways to write times and numbers."""
+    digit = F.substring("report_id", 1, 1)
+    place = F.concat_ws("_v", "report_id", F.col("version").cast("string"))
+    record = fetch.as_json(with_audit_log(versions(spark, sf_dir))).select(
+        place.alias("place"), digit.alias("digit"), "record", "version",
+        F.get_json_object("record", "$.uploaded_at").alias("at"),
+    )
+    oid = F.concat(F.lit('{"_id":{"$oid":"'), F.substring(F.md5("place"), 1, 24), F.lit('"},'))
+    counter = F.lit('{"_id":"report_id_seq",')
+    text = F.concat(
+        F.when(F.col("digit") == "2", counter).otherwise(oid), F.expr("substr(record, 2)")
+    )
+    millis = F.unix_millis(F.to_timestamp("at")).cast("string")
+    quoted = F.concat(F.lit('"uploaded_at":"'), F.col("at"), F.lit('"'))
+    number = F.concat(F.lit('"version":'), F.col("version").cast("string"))
+    iso = F.concat(F.lit('"uploaded_at":{"$date":"'), F.col("at"), F.lit('"}'))
+    long = F.concat(F.lit('"uploaded_at":{"$date":{"$numberLong":"'), millis, F.lit('"}}'))
+    wrapped = F.concat(F.lit('"version":{"$numberInt":"'), F.col("version").cast("string"), F.lit('"}'))
+    form = (
+        F.when(F.col("digit") == "0", F.expr("substr(_text, 1, length(_text) - 9)"))
+        .when(F.col("digit") == "1", F.replace("_text", F.lit('"csi_id":'), F.lit('"csi":')))
+        .when(F.col("digit").isin("3", "4"), F.replace("_text", quoted, iso))
+        .when(F.col("digit").isin("5", "6"), F.replace("_text", quoted, long))
+        .when(F.col("digit") == "7", F.replace("_text", number, wrapped))
+        .otherwise(F.col("_text"))
+    )
+    return record.withColumn("_text", text).select("place", form.alias("record"))
+
+
 def active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return active_versions(versions(spark, sf_dir))
 
