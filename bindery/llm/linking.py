@@ -84,6 +84,10 @@ def linked(blocks: DataFrame, verify: Verify, label: str) -> DataFrame:
     `blocks`: columns key and node, and any others, which go along with the node
     as a_* and b_* of the pairs (a, b) given to `verify`; that returns the pairs
     (a, b) that hold. A node may be in many blocks, a pair in several.
+
+    Components are contracted as they are found: a round works out how the links
+    it has added join the components of the round before, and never goes back to
+    earlier links. Blocks whose members have all come together leave the rounds.
     """
     rest = [c for c in blocks.columns if c not in ("key", "node")]
     blocks = written(blocks, f"{label}-blocks")
@@ -95,13 +99,15 @@ def linked(blocks: DataFrame, verify: Verify, label: str) -> DataFrame:
     a = [F.col("hub.node").alias("a"), *[F.col(f"hub.{c}").alias(f"a_{c}") for c in rest]]
     b = [F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in rest]]
     first = sized.where(F.col("node") != F.col("hub.node")).select(*a, *b).distinct()
-    edges = written(verify(first), f"{label}-links")
+    labels = written(components(verify(first).select("a", "b")), f"{label}-labels")
     # what is still apart, in blocks with more than a hub and one other node
     more = sized.where(F.col("size") > 2).select("key", "node", *rest)
+    more = more.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = written(_mixed(more), f"{label}-apart")
     for turn in range(1, TURNS + 1):
-        found = components(edges)
-        apart = written(_apart(more, found), f"{label}-apart")
         pairs, nodes = _open_pairs(apart)
+        if not pairs:
+            return labels
         if pairs <= FEW * nodes or turn == TURNS:
             break
         # another hub for each block, against the members of other components
@@ -109,20 +115,44 @@ def linked(blocks: DataFrame, verify: Verify, label: str) -> DataFrame:
         hub = F.min_by(one, F.xxhash64("node", F.lit(turn))).alias("hub")
         next_ = apart.join(apart.groupBy("key").agg(hub), "key")
         next_ = next_.where(F.col("root") != F.col("hub.root")).select(*a, *b).distinct()
-        edges = edges.select("a", "b").union(written(verify(next_), f"{label}-links").select("a", "b"))
+        labels, merged = _merged(labels, written(verify(next_).select("a", "b"), f"{label}-links"))
+        if merged is not None:
+            apart = written(_mixed(_relabelled(apart, merged)), f"{label}-apart")
     left = apart.select("key", F.col("root").alias("a_root"), F.col("node").alias("a"),
                         *[F.col(c).alias(f"a_{c}") for c in rest])
     right = apart.select("key", F.col("root").alias("b_root"), F.col("node").alias("b"),
                          *[F.col(c).alias(f"b_{c}") for c in rest])
     crossing = left.join(right, "key").where(F.col("a_root") < F.col("b_root"))
     names = ["a", *[f"a_{c}" for c in rest], "b", *[f"b_{c}" for c in rest]]
-    second = verify(crossing.select(*names).distinct())
-    return components(edges.select("a", "b").union(second.select("a", "b")))
+    second = verify(crossing.select(*names).distinct()).select("a", "b")
+    return _merged(labels, written(second, f"{label}-links"))[0]
+
+
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """`rows` with the `root` that each root has come to; `merged` has node and root."""
+    new = merged.select(F.col("node").alias("root"), F.col("root").alias("_new"))
+    rows = rows.join(new, "root", "left")
+    return rows.withColumn("root", F.coalesce("_new", "root")).drop("_new")
 
 
-def _apart(blocks: DataFrame, found: DataFrame) -> DataFrame:
-    """Members, with their component as `root`, of blocks that hold several components."""
-    rooted = blocks.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _merged(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Labels after more links, and how roots have changed; None if there are no links.
+
+    Only the ends of the new links are looked up, and only their roots joined.
+    """
+    if links.isEmpty():
+        return labels, None
+    for end in ("a", "b"):
+        of = labels.select(F.col("node").alias(end), F.col("root").alias("_root"))
+        links = links.join(of, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    merged = written(components(links.select("a", "b")), "merged")
+    fresh = merged.join(labels, "node", "left_anti")  # nodes that were alone so far
+    moved = _relabelled(labels, merged).select("node", "root")
+    return written(moved.union(fresh.select("node", "root")), "labels"), merged
+
+
+def _mixed(rooted: DataFrame) -> DataFrame:
+    """Members of blocks that hold several components."""
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     return rooted.join(mixed.where(F.col("lo") != F.col("hi")).select("key"), "key")
 
