@@ -7,6 +7,8 @@ each distinct word of the block, and work on positions is done by numpy.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -22,10 +24,26 @@ def sliced(
 ) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of each piece have `max_bytes` at most.
 
-    A text that is larger by itself makes a piece of its own. Memory that Arrow
-    holds for later is given back, as workers live on from task to task.
+    A text that is larger by itself makes a piece of its own. Memory that is held
+    for later is given back, as workers live on from task to task.
     """
-    for batch in batches:
+    try:
+        for batch in batches:
+            yield from _sliced(batch, column, max_bytes)
+            pa.default_memory_pool().release_unused()
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _sliced(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
         first, base = 0, 0
@@ -33,7 +51,6 @@ def sliced(
             last = max(int(np.searchsorted(ends, base + max_bytes, "right")), first + 1)
             yield batch.slice(first, last - first)
             first, base = last, int(ends[last - 1])
-        pa.default_memory_pool().release_unused()
 
 
 @dataclass

@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 from bindery.llm.blocks import Words, mix, offsets, sliced, split_lines, split_words
 
 LEVEL = 3
+#: Bytes of texts that are worked on at once.
+BLOCK_BYTES = 2 << 20
 CHUNK = 4096
 #: (bytes from which the row holds, least and greatest compressed / raw ratio)
 #: Greatest ratios lie between those of clean prose and of noise of 64 symbols
@@ -153,7 +155,7 @@ def quality(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Compressor()
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, BLOCK_BYTES):
             found = measured(batch.column(text), judge)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *found], names=[*batch.schema.names, *names]

@@ -26,14 +26,15 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from bindery.llm.blocks import offsets, sliced, split_words
+from bindery.llm.blocks import give_back, offsets, sliced, split_words
 
 CAPACITY = 4096
 PACK_BYTES = 8 << 20
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-#: Words whose ids a task remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Bytes of words whose ids a task remembers, with what Python needs for each; then
+#: it starts anew.
+REMEMBERED, PER_WORD = 24 << 20, 120
 NO_SEQUENCE = (float("inf"), -1)
 
 #: A word of Latin letters and the marks behind it are split by the tokenizer
@@ -60,7 +61,16 @@ class Ids:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.starts, self.flat = np.zeros(1, np.int64), np.empty(0, np.int32)
+        self.held = 0
+        self._starts, self._flat = np.zeros(1024, np.int64), np.empty(4096, np.int32)
+
+    @property
+    def starts(self) -> np.ndarray:
+        return self._starts[: len(self.known) + 1]
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self._flat[: self.starts[-1]]
 
     def _learn(self, keys: list[str], plain: bool) -> None:
         if plain:  # one word each, so the merges alone are needed
@@ -69,11 +79,14 @@ class Ids:
             lists = [[t.id for t in merges(k)] for k in spelt]
         else:
             lists = [e.ids for e in self.model.encode_batch_fast(keys, add_special_tokens=False)]
-        base = len(self.known)
+        base, size = len(self.known), len(self.flat)
+        ends = size + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+        self._starts = _grown(self._starts, base + 1 + len(keys))
+        self._starts[base + 1 : base + 1 + len(keys)] = ends
+        self._flat = _grown(self._flat, int(ends[-1]))
+        self._flat[size : ends[-1]] = np.fromiter((x for y in lists for x in y), np.int32)
         self.known.update(zip(keys, range(base, base + len(keys)), strict=True))
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
-        self.flat = np.concatenate([self.flat, np.fromiter((x for y in lists for x in y), np.int32)])
+        self.held += sum(map(len, keys)) + PER_WORD * len(keys)
 
     def _lookup(self, keys: pa.Array, plain: bool) -> np.ndarray:
         coded = keys.dictionary_encode()
@@ -104,7 +117,7 @@ class Ids:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text starts."""
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.forget()
         words = split_words(texts)
         entries, first = self._entries(words.vocab)
@@ -116,6 +129,11 @@ class Ids:
         return flat[spans(begins[words.codes], lengths)], offsets(lengths)[words.starts]
 
 
+def _grown(array: np.ndarray, size: int) -> np.ndarray:
+    """With room for `size`: at least doubled, so growing costs little on the whole."""
+    return array if size <= len(array) else np.resize(array, max(size, 2 * len(array)))
+
+
 def spans(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """begins[0], begins[0] + 1, ... for as long as lengths[0] says, and so on."""
     ends = np.cumsum(lengths)
@@ -260,6 +278,15 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_for = ids_of(tokenizer)
+        try:
+            yield from packed_pieces(batches, ids_for)
+        finally:  # the worker lives on with other work
+            ids_for.forget()
+            give_back()
+
+    def packed_pieces(
+        batches: Iterator[pa.RecordBatch], ids_for: Ids
+    ) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 33
         for batch in sliced(gathered(batches, text, block_bytes), text, block_bytes):
             ids, starts = ids_for(batch.column(text))
