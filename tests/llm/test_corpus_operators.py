@@ -377,6 +377,34 @@ def test_a_hot_group_is_split_evenly(spark):
     assert max(counts.values()) <= 1.05 * min(counts.values())
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_equal_texts_share_a_shard(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = sharding.sharded(docs).cache()
+    by_text = got.join(docs.select("doc_id", F.sha1("text").alias("h")), "doc_id")
+    split = by_text.groupBy("h").agg(F.count_distinct("shard").alias("n"), F.count("*").alias("m"))
+    assert split.where("m > 1").count() > 5 and split.where("n > 1").isEmpty()
+    sizes = [r["s"] for r in got.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) < 0.01 * sum(sizes) / 8
+
+
+def test_only_what_exceeds_a_shard_is_split(spark):
+    """A third of all rows is one text, a tenth another, over texts of their own."""
+    rows = [(i, "hot " * 20 if i % 3 == 0 else "warm " * 15 if i % 10 == 1 else f"text {i} " * (i % 30 + 1))
+            for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.sharded(docs).join(docs, "doc_id").collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(r.text, set()).add(r.shard)
+    assert [t[:4] for t, s in shards.items() if len(s) > 1] == ["hot "]
+    assert len(shards["hot " * 20]) == 3  # a third of the rows in shards of an eighth
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) - min(sizes.values()) < 0.01 * sum(sizes.values()) / 8
+
+
 def test_sharding_of_odd_rows(odd_docs):
     got = sharding.sharded(odd_docs).collect()
     assert len(got) == 9
