@@ -25,7 +25,7 @@ from bindery.llm.blocks import (
     mix, ngram_hashes, normalised, offsets, signed, sliced, split_words, word_hashes,
 )
 from bindery.llm.linking import linked
-from bindery.llm.rows import KEY, keyed
+from bindery.llm.rows import KEY, aside_private, keyed
 from bindery.session import written
 
 SHINGLE = 5
@@ -246,8 +246,11 @@ def report(docs: DataFrame, **how) -> DataFrame:
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """One row of each group, that of the least (id, file, row), with the columns of `docs`.
 
-    Rows without text all stay.
+    Rows without text all stay. Of a group whose ids are all null, or the same,
+    the first row in its file stays. Columns may have any names, and an empty
+    table stays empty.
     """
+    docs, named_back = aside_private(docs)
     rows = keyed(docs)
     found = written(groups(rows, **how), "groups").where(F.col("root").isNotNull())
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)
@@ -258,6 +261,8 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     gone = found.join(kept, "root").where(
         (F.col("_file") != F.col("kept_file")) | (F.col("_row") != F.col("kept_row"))
     )
-    return rows.join(gone.select(*KEY), list(KEY), "left_anti").select(
-        *[f"`{c}`" for c in docs.columns]
+    return named_back(
+        rows.join(gone.select(*KEY), list(KEY), "left_anti").select(
+            *[f"`{c}`" for c in docs.columns]
+        )
     )

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from bindery.llm.blocks import (
     Words, ngram_hashes, normalised, signed, sliced, split_words, word_hashes,
 )
-from bindery.llm.rows import KEY, keyed
+from bindery.llm.rows import KEY, aside_private, keyed
 from bindery.session import written
 
 SEED_WORDS = 4
@@ -286,7 +286,10 @@ def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents that hold no test item, with the columns of `docs`."""
+    """The documents that hold no test item, with the columns of `docs`, whatever their
+    names. Null and empty texts hold none; equal rows stay or go together."""
+    docs, named_back = aside_private(docs)
     rows = keyed(docs)
     bad = leaks(rows, benchmark, **how).select(*KEY).distinct()
-    return rows.join(bad, list(KEY), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    kept = rows.join(bad, list(KEY), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return named_back(kept)

@@ -71,6 +71,11 @@ def aside(
     )
 
 
+def aside_private(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`aside` for all columns that begin with an underscore, as helper columns do."""
+    return aside(docs, *[c for c in docs.columns if c.startswith("_")])
+
+
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """Mark for broadcast what has been stored and counted to be small enough.
 
