@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -48,6 +49,8 @@ CLOSES = {
 }
 CELLS = {"td", "th"}
 SCOPES = {"table", "td", "th", "caption", "html"}
+#: Ends that reach out of a scope.
+ANYWHERE = SCOPES | {"tr", "thead", "tbody", "tfoot", "body"}
 
 #: A quote opens a value right after the equals sign only; elsewhere it is like a letter.
 ATTRIBUTE = re.compile(
@@ -193,6 +196,7 @@ class Page:
 
     def __init__(self) -> None:
         self.open: list[tuple[str, bool]] = []  # tag, shown
+        self.places: dict[str, list[int]] = {}  # where in `open` each tag is, ascending
         self.hidden = 0
         self.kept = 0  # open elements whose white space is kept
         self.flows = [Writer()]
@@ -211,7 +215,7 @@ class Page:
             self._close_within(closes, bounds)
         elif tag in BLOCKS:
             self._close_within({"p"}, SCOPES | {"button"})
-        if tag in CELLS and self.tables and not any(t == "tr" for t, _ in self._inner()):
+        if tag in CELLS and self.tables and self._last(("tr",)) <= self._last(("table",)):
             self.start("tr", "")
         attrs = attributes(raw) if raw.strip() else {}
         shown = self._shown(tag, attrs)
@@ -222,17 +226,23 @@ class Page:
                 elif tag == "hr":
                     self.flows[-1].block(1)
             return
-        self.open.append((tag, shown))
+        self._push(tag, shown)
         self.hidden += not shown
         if not self.hidden:
             self._enter(tag, attrs)
 
-    def _inner(self) -> Iterator[tuple[str, bool]]:
-        """Open elements within the innermost table."""
-        for entry in reversed(self.open):
-            if entry[0] == "table":
-                return
-            yield entry
+    def _push(self, tag: str, shown: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, shown))
+
+    def _drop(self) -> tuple[str, bool]:
+        tag, shown = self.open.pop()
+        self.places[tag].pop()
+        return tag, shown
+
+    def _last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags, -1 without one."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=-1)
 
     def _shown(self, tag: str, attrs: dict[str, str]) -> bool:
         if tag == "dialog" and "open" in attrs:
@@ -269,7 +279,8 @@ class Page:
         elif tag in BLOCKS:
             flow.block(tag in SPACED)
             if tag == "details" and "open" not in attrs:
-                self.open[-1] = ("details-closed", True)
+                self._drop()
+                self._push("details-closed", True)
         if tag in {"pre", "textarea", "listing", "xmp", "plaintext"}:
             self.kept += 1
 
@@ -297,7 +308,7 @@ class Page:
             flow.block(tag in SPACED)
 
     def _pop(self) -> str:
-        tag, shown = self.open.pop()
+        tag, shown = self._drop()
         if not self.hidden:
             self._leave(tag)
         self.hidden -= not shown
@@ -305,27 +316,23 @@ class Page:
 
     def _close_within(self, tags: set[str], bounds: set[str]) -> None:
         """Close the outermost of `tags` that is open within `bounds`, and all in it."""
-        depth = None
-        for k in range(len(self.open) - 1, -1, -1):
-            tag = self.open[k][0]
-            if tag in tags:
-                depth = k
-            elif tag in bounds or tag == "table":
-                break
-        while depth is not None and len(self.open) > depth:
+        bound = self._last(t for t in (*bounds, "table") if t not in tags)
+        depth = len(self.open)
+        for tag in tags:
+            at = self.places.get(tag, ())
+            if at and at[-1] > bound:
+                depth = min(depth, at[bisect_right(at, bound)])
+        while len(self.open) > depth:
             self._pop()
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", "")
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == tag or (name == "details-closed" and tag == "details"):
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if name in SCOPES and tag not in SCOPES | {"tr", "thead", "tbody", "tfoot", "body"}:
-                return
+        depth = self._last((tag, "details-closed") if tag == "details" else (tag,))
+        if tag not in ANYWHERE and self._last(SCOPES) > depth:
+            return
+        while 0 <= depth < len(self.open):
+            self._pop()
 
     def close(self) -> str:
         while self.open:

@@ -1,6 +1,7 @@
 """Operators that judge or change single texts, against plain Python."""
 
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -331,3 +332,17 @@ def test_texts_without_letters(spark, small_model):
     assert [r.lang_pred for r in rows] == ["und", "und", "und", "en"]
     assert [r.score for r in rows[:3]] == [0, 0, 0]
     assert {r.lang_pred for r in crf_language.identified(docs.where("lang is null")).collect()} == {"und"}
+
+
+def test_html_time_grows_with_the_page():
+    """Open elements are found by tag, so neither unclosed nor stray tags walk the stack."""
+
+    def seconds(page):
+        begun = time.process_time()
+        html_text.render(page)
+        return time.process_time() - begun
+
+    for form in (lambda n: "<div>x" * n, lambda n: "<div>x" * n + "</span>" * n,
+                 lambda n: "<p><b>x" * n + "</i></div>" * n):
+        small, large = seconds(form(10_000)), seconds(form(80_000))
+        assert large < 8 * 4 * max(small, 0.05)
