@@ -1,14 +1,19 @@
-"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
-
-1. Word n-grams of the test items are looked up in the documents.
-2. Every n-gram of an item that a document holds is a seed, however often other
-   documents have it: what one document shares with an item can't be told from
-   counts over all of them. Seeds that place the item alike count once.
-3. Each place names a passage of the document that may hold the item.
+"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+
+1. Word n-grams of the test items are looked up in the documents, and counted.
+2. For each document, placement of an item in it and stretch of the item, the rarest
+   n-gram the document holds there is the seed. What a document shares with an item is
+   compared with its own n-grams only, so no count can hide it: a stretch with any
+   n-gram has a seed.
+3. Each seed names a passage of the document that may hold the item.
 4. Item and passage are aligned word by word (Smith-Waterman), so edits,
    insertions and omissions lower the score and don't break the match.
 
-Words are compared in lower case and without punctuation around them.
+Words are compared in lower case and without punctuation around them. An item of
+fewer words than an n-gram has is its own seed and is found wherever it stands as
+a whole, however common its words are; leave such items out of `benchmark` if this
+isn't wanted. Very long texts are cut into passages no longer than items need, texts
+that are null or empty hold nothing, and empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,10 +27,13 @@ from pyspark.sql import DataFrame, functions as F
 from bindery.llm.blocks import (
     Words, ngram_hashes, normalised, signed, sliced, split_words, word_hashes,
 )
-from bindery.llm.rows import KEY, aside_private, keyed
+from bindery.llm.rows import KEY, aside_private, keyed, small
 from bindery.session import written
 
 SEED_WORDS = 4
+#: Positions of an item that have one seed in common, and words by which placements of an
+#: item may differ and count as one; less than the slack of a passage (4 words or more).
+STRETCH, PLACE = 8, 4
 #: Share of an item's full score that counts as contamination.
 LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -102,6 +110,25 @@ def gram_hits(docs: DataFrame, sizes: list[int], known: np.ndarray | None) -> Da
     return docs.select("_file", "_row", "text").mapInArrow(run, schema)
 
 
+def rare_seeds(hits: DataFrame, seeds: DataFrame) -> DataFrame:
+    """_file, _row, item_id, item_words, begin: one seed for each stretch and placement.
+
+    Rarity is the number of places in all documents. Items share hot n-grams with
+    many documents, so the items' side is broadcast where it has been counted to be
+    small; beyond that the join shuffles and its skew is split at run time.
+    """
+    counts = hits.groupBy("gram").agg(F.count("*").alias("places"))
+    placed = hits.join(small(seeds.join(counts, "gram")), "gram").select(
+        *KEY, "item_id", "item_words", "places",
+        (F.col("pos") - F.col("item_pos")).alias("begin"),
+        F.floor(F.col("item_pos") / STRETCH).alias("stretch"),
+    )
+    place = F.floor(F.col("begin") / PLACE).alias("place")
+    rarest = F.min(F.struct("places", "begin")).alias("seed")
+    found = placed.groupBy(*KEY, "item_id", "item_words", place, "stretch").agg(rarest)
+    return found.select(*KEY, "item_id", "item_words", F.col("seed.begin").alias("begin"))
+
+
 class Known:
     """Membership in a sorted array; a table of bits settles most questions."""
 
@@ -257,11 +284,9 @@ def leaks(
         known = np.sort(found)
     sizes = [r["size"] for r in seeds.select("size").distinct().orderBy("size").collect()]
     hits = written(gram_hits(rows, sizes, known), "hits")
-    begin = (F.col("pos") - F.col("item_pos")).alias("begin")
-    by_row = (
-        hits.join(seeds, "gram")
-        .groupBy(*KEY)
-        .agg(F.collect_set(F.struct("item_id", begin, "item_words")).alias("hits"))
+    rare = rare_seeds(hits, seeds)
+    by_row = rare.groupBy(*KEY).agg(
+        F.collect_set(F.struct("item_id", "begin", "item_words")).alias("hits")
     )
     cut = rows.join(by_row, list(KEY)).mapInArrow(
         passages,

@@ -217,6 +217,52 @@ def test_repeated_edited_copies_are_found_beside_a_verbatim_one(spark):
     }
 
 
+def test_leaks_equal_alignment_of_all_pairs(spark):
+    """Items that share common 4-grams, in documents that hold parts of them."""
+    rng = random.Random(28)
+    common = "one of the most"
+    items = [f"{sentence(rng, 12)} {common} {sentence(rng, 12)}" for _ in range(8)]
+    texts = []
+    for d in range(40):
+        words = items[d % 8].split()
+        if d % 3 == 0:
+            words = words[: rng.randrange(6, 28)]
+        elif d % 3 == 1:
+            words = edited(rng, items[d % 8], rng.randrange(5, 9)).split()
+        else:
+            words = common.split()
+        again = words if d % 5 == 0 else []
+        texts.append(" ".join([sentence(rng, 30), common, *words, sentence(rng, 25), *again]))
+    want = set()
+    for d, text in enumerate(texts):
+        names = {w: k for k, w in enumerate(dict.fromkeys(words_of(text + " " + " ".join(items))))}
+        own = np.array([names[w] for w in words_of(text)])
+        for k, item in enumerate(items):
+            codes = np.array([names[w] for w in words_of(item)])
+            if decontamination.smith_waterman(codes, own)[0] >= len(codes):  # half of two a word
+                want.add((d, k))
+    docs = written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "d")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.report(docs, bench).collect()}
+    assert 10 < len(want) < 40
+    assert got == want
+
+
+def test_a_stretch_with_any_gram_has_its_rarest_as_seed(spark):
+    seeds = spark.createDataFrame(
+        [(g, 4, 1, p, 20) for g, p in ((10, 0), (11, 3), (12, 9), (13, 12))],
+        "gram long, size int, item_id long, item_pos long, item_words long",
+    )
+    found = [(10, 1, 100), (11, 1, 103), (12, 1, 109), (13, 2, 12), (10, 2, 50)]
+    hits = spark.createDataFrame(
+        [(g, 0, r, p) for g, r, p in found] + [(10, 0, 9, 7)] * 5,
+        "gram long, _file long, _row long, pos long",
+    )
+    got = decontamination.rare_seeds(hits, seeds).where("_row < 9").collect()
+    # row 1: a seed in each of two stretches; row 2: two placements
+    assert sorted((r._row, r.begin) for r in got) == [(1, 100), (1, 100), (2, 0), (2, 50)]
+
+
 def test_leaks_of_odd_tables(spark, odd_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.report(odd_docs, none).count() == 0
