@@ -581,6 +581,19 @@ def test_an_edit_leaves_lanes_alone():
         assert len(a & b) >= len(a) - 2 * 8 and a & b
 
 
+def test_bags_bound_the_edit_distance():
+    rng = random.Random(13)
+    for _ in range(200):
+        line = [rng.choice("abc ") for _ in range(rng.randrange(1, 60))]
+        other = list(line)
+        for _ in range(edits := rng.randrange(8)):
+            at = rng.randrange(len(other) + 1)
+            other[at : at + rng.randrange(2)] = rng.choice(["", "a", "d"])
+        a, b = line_dedup.bags(pa.array(["".join(line), "".join(other)])).to_pylist()
+        assert sum(abs(u - v) for u, v in zip(a, b, strict=True)) <= 4 * edits
+    assert max(line_dedup.bags(pa.array(["x" * 1000, ""])).to_pylist()[0]) == 127
+
+
 def test_keys_of_odd_lines():
     odd = ["", "a", "word", "x" * 1000, "spam " * 500, "\U0001F600" * 50, "no grams!"]
     keys, starts = line_dedup.block_keys(pa.array(odd), 0.9)
