@@ -18,16 +18,34 @@ def read_requests(spark, path: str, schema=INLINE_BUNDLE) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_pushed(spark, path: str) -> DataFrame:
-    """Request bodies of the form {"bundles": [...]}, one document per file.
+def _body_type() -> T.StructType:
+    fields = [f for f in INLINE_BUNDLE.fields if f.name not in ("seq", "submitted_at")]
+    return T.StructType([T.StructField("bundles", T.ArrayType(T.StructType(fields)))])
+
+
+def land_bodies(bodies: DataFrame, folder: str) -> None:
+    """Write request bodies, `source` and `value`, as a table with many of them in a file.
+
+    For bodies that come by the million: a file each would cost a task, a listing
+    and a commit more than the bundles in it.
+    """
+    bodies.select("source", "value").write.mode("overwrite").parquet(folder)
+
 
-    A bundle is known by its file and its place there. `seq` follows these; as it
+def read_pushed(spark, path: str, landed: bool = False) -> DataFrame:
+    """Request bodies of the form {"bundles": [...]}, one document per file, or with
+    `landed` one per row of the table that `land_bodies` wrote.
+
+    A bundle is known by its source and its place there. `seq` follows these; as it
     depends on the partitions, ids are made of the place and not of `seq`.
     """
-    fields = [f for f in INLINE_BUNDLE.fields if f.name not in ("seq", "submitted_at")]
-    body = T.StructType([T.StructField("bundles", T.ArrayType(T.StructType(fields)))])
-    docs = spark.read.schema(body).option("multiLine", True).json(path)
-    rows = docs.select(F.input_file_name().alias("source"), F.posexplode("bundles"))
+    if landed:
+        stored = spark.read.schema("source string, value string").parquet(path)
+        docs = stored.select("source", F.from_json("value", _body_type()).alias("body"))
+        rows = docs.select("source", F.posexplode("body.bundles"))
+    else:
+        docs = spark.read.schema(_body_type()).option("multiLine", True).json(path)
+        rows = docs.select(F.input_file_name().alias("source"), F.posexplode("bundles"))
     rows = rows.select("source", F.col("pos").alias("index"), "col.*")
     return numbered(rows).withColumn("submitted_at", F.lit(None).cast("timestamp_ntz"))
 
