@@ -10,6 +10,7 @@ the size of a micro-batch.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,51 +32,53 @@ OUTCOME = (
 )
 
 
+#: Outcomes that leave as one row: a key with more of them yields several.
+PACKED_ROWS = 10_000
+
+
 def _routed_key(
     key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    """The rows of one key in order, against what the rows before have left behind."""
-    rows = pd.concat(list(frames)).sort_values("seq", ignore_index=True)
-    base = rows.iloc[0]
+    """The rows of one key in order, against what the rows before have left behind.
+
+    Most keys have a few rows, so what counts is the cost of a call: rows come and
+    go packed in one column of JSON, and no data frame is worked on.
+    """
+    rows = [json.loads(text) for frame in frames for text in frame["bundle"]]
+    rows.sort(key=lambda r: ("seq" not in r, r.get("seq")))
+    base = rows[0]
     if state.exists:
         report_id, version, *held = state.get
-    elif pd.notna(base["base_version"]):
-        report_id, version = base["base_report"], int(base["base_version"])
-        held = [base[f"base_{s}"] for s in _SUMS]
+    elif "base_version" in base:
+        report_id, version = base.get("base_report"), base["base_version"]
+        held = [base.get(f"base_{s}") for s in _SUMS]
     else:
         report_id, version, held = base["own_id"], 0, [None] * 3
-    before = {}
-    for column, last in zip(_SUMS, held, strict=True):
-        values = rows[column].astype(object).where(rows[column].notna(), None)
-        values = pd.Series([last, *values], dtype=object).ffill()
-        before[column] = values.where(values.notna(), None)
-    differs = {c: (rows[c].fillna("") != before[c][:-1].reset_index(drop=True).fillna("")) for c in _SUMS}
-    first = (rows.index == 0) & (version == 0)
-    brought = rows["tpl_sum"].notna()
-    new = first | differs["json_sum"] | differs["sql_sum"] | (differs["tpl_sum"] & brought)
-    names = pd.Series("", index=rows.index)
-    for column, name in zip(_SUMS, FILE_TYPES, strict=True):
-        apart = names.where(names == "", names + ", ")
-        names = names.where(~differs[column], apart + name)
-    same = names == ""
-    versions = version + new.cumsum()
-    yield pd.DataFrame(
-        {
-            "seq": rows["seq"],
-            **dict(zip(KEY4, key, strict=True)),
-            "status": [
-                CREATED if f else SKIPPED if s else UPDATED for f, s in zip(first, same, strict=True)
-            ],
-            "reason": [
-                REASON_NEW if f else REASON_SAME if s else REASON_CHANGED + n
-                for f, s, n in zip(first, same, names, strict=True)
-            ],
-            "report_id": report_id,
-            "version": versions.astype("int32"),
-            "is_new_version": new,
-        }
-    )
-    state.update((report_id, int(versions.iloc[-1]), *(before[c].iloc[-1] for c in _SUMS)))
+    named = dict(zip(KEY4, key, strict=True)) | {"report_id": report_id}
+    routed = []
+    for row in rows:
+        sums = [row.get(s) for s in _SUMS]
+        differs = [(own or "") != (last or "") for own, last in zip(sums, held, strict=True)]
+        changed = ", ".join(f for f, d in zip(FILE_TYPES, differs, strict=True) if d)
+        first = version == 0
+        new = first or differs[0] or differs[1] or (differs[2] and sums[2] is not None)
+        version += new
+        held = [last if own is None else own for own, last in zip(sums, held, strict=True)]
+        status, reason = (
+            (CREATED, REASON_NEW) if first
+            else (UPDATED, REASON_CHANGED + changed) if changed
+            else (SKIPPED, REASON_SAME)
+        )
+        routed.append(
+            named | {"seq": row.get("seq"), "status": status, "reason": reason, "version": version,
+                     "is_new_version": new}
+        )
+        if len(routed) == PACKED_ROWS:
+            yield pd.DataFrame({"routed": [json.dumps(routed)]})
+            routed = []
+    if routed:
+        yield pd.DataFrame({"routed": [json.dumps(routed)]})
+    state.update((report_id, version, *held))
 
 
 def route_stateful(
@@ -105,9 +108,11 @@ def route_stateful(
         for k in KEY4:
             same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
         rows = rows.join(held, same, "left").drop(*[f"_of_{k}" for k in KEY4])
-    return rows.groupBy(*KEY4).applyInPandasWithState(
-        _routed_key, OUTCOME, STATE, "append", GroupStateTimeout.NoTimeout
+    packed = F.to_json(F.struct(*[c for c in rows.columns if c not in KEY4])).alias("bundle")
+    done = rows.select(*KEY4, packed).groupBy(*KEY4).applyInPandasWithState(
+        _routed_key, "routed string", STATE, "append", GroupStateTimeout.NoTimeout
     )
+    return done.select(F.inline(F.from_json("routed", f"array<struct<{OUTCOME}>>")))
 
 
 def start_stateful_route(

@@ -1,5 +1,7 @@
 """Stateful stream routing: equal to the batch, from a registry, and across restarts."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 from test_registry import SF_DIR
@@ -12,7 +14,7 @@ from bindery.plans.ingest import apply_mixed, ingest
 from bindery.plans.registry import Registry
 from bindery.session import fresh_path
 from bindery.sources import inline
-from bindery.streaming import ingest as streaming
+from bindery.streaming import ingest as streaming, stateful
 from bindery.streaming.stateful import start_stateful_route
 
 
@@ -82,3 +84,40 @@ def test_mixed_batch_is_stored(spark, bundles):
     assert moved.join(stored, F.col("file_contents.json_config_id") == F.col("blob_id")).count() == 3
     again = apply_mixed(registry, rows, "m")
     assert again.count() == rows.count() and registry.versions().count() == versions.count()
+
+
+def test_odd_keys_come_back_as_they_were(spark, bundles):
+    """Names that JSON escapes, empty and null parts, in two portions."""
+    odd = F.when(F.col("seq") % 2 == 0, 'a "b"\n\\c é').otherwise("")
+    few = bundles.where("seq < 120").withColumns({"csi_id": F.lit("x"), "region": odd})
+    few = few.withColumn("regulation", F.lit(None).cast("string"))
+    landing, target, mark = (fresh_path(spark, n) for n in ("landing", "target", "mark"))
+    for part in ("seq < 70", "seq >= 70"):
+        push(spark, few.where(part), landing, target, mark)
+    got, want = spark.read.parquet(target), route(content_facts(few))
+    assert rows_of(got) == rows_of(want)
+    key = ("seq", "csi_id", "region", "regulation", "json_name", "is_new_version")
+    assert set(got.select(*key).collect()) == set(want.select(*key).collect())
+
+
+def test_a_key_is_read_and_left_in_one_packed_column(monkeypatch):
+    """Data frames of many columns for each key made up the time; long keys leave in packs."""
+    monkeypatch.setattr(stateful, "PACKED_ROWS", 2)
+
+    class Held:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    texts = ['{"seq":2,"own_id":"b","json_sum":"j"}', '{"seq":1,"own_id":"a","json_sum":"j","sql_sum":"s"}']
+    texts += ['{"seq":3,"own_id":"c","json_sum":"j","sql_sum":"s"}']
+    held = Held()
+    frames = iter([stateful.pd.DataFrame({"bundle": texts})])
+    out = list(stateful._routed_key(("x", None, "r", "c"), frames, held))
+    assert [(*o.columns, len(o)) for o in out] == [("routed", 1), ("routed", 1)]
+    made = [r for o in out for r in json.loads(o["routed"][0])]
+    assert [(r["seq"], r["status"], r["version"]) for r in made] == [
+        (1, "created", 1), (2, "updated", 2), (3, "skipped", 2)
+    ]
+    assert made[0]["region"] is None and held.value == ("a", 2, "j", "s", None)
