@@ -1,6 +1,7 @@
 """Mixed batches against a sequential model, with keys given up and taken again."""
 
 import datetime as dt
+import importlib
 import random
 
 import models
@@ -144,3 +145,34 @@ def test_without_moves_it_is_routing(spark, registry):
     want = route(rows, registry[0], "x")
     columns = ["seq", "status", "reason", "report_id", "version", "changed"]
     assert sorted(got.select(*columns).collect()) == sorted(want.select(*columns).collect())
+
+
+def test_later_rounds_hold_only_groups_that_still_change(spark, registry, monkeypatch):
+    """One group whose moves hang on each other, and one that the first round settles."""
+    active, records = registry
+    first, second, _ = sorted(
+        (i for i, r in records.items() if r["key3"][0] == "C0"), key=lambda i: records[i]["json_name"]
+    )
+    calm = next(i for i, r in records.items() if r["key3"][0] == "C1")
+    moves = [(first, records[second]["json_name"]), (second, records[first]["json_name"]),
+             (second, "new.json"), (first, records[second]["json_name"])]
+    moves += [(calm, f"free{k}.json") for k in range(30)]
+    rows = [
+        dict.fromkeys(SCHEMA.names)
+        | {"seq": seq, "kind": "patch_id", "report_id": rid, "json_name": name,
+           "json_sum": f"j{seq}", "name": f"n{seq}"}
+        for seq, (rid, name) in enumerate(moves)
+    ]
+    module, sizes = importlib.import_module("bindery.operators.mixed"), []
+    keep = module.written
+
+    def counting(df, label):
+        stored = keep(df, label)
+        if label == "owned":
+            sizes.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(module, "written", counting)
+    compare(spark, registry, rows)
+    *rounds, _ = sizes
+    assert len(rounds) > 1 and rounds[0] > 60 and max(rounds[1:]) < 20
