@@ -89,6 +89,21 @@ def purge_counts(versions: DataFrame, plan: DataFrame, scope: str = "triple") ->
     )
 
 
+def counts_between(before: DataFrame, after: DataFrame, scope: str = "triple") -> DataFrame:
+    """Per group, versions purged and kept, where `after` is what a purge left of `before`.
+
+    Counts alone, combined before the shuffle.
+    """
+    group = _scope(scope)
+    both = before.select(*group, F.lit(0).cast("long").alias("stayed")).union(
+        after.select(*group, F.lit(1).cast("long"))
+    )
+    counts = both.groupBy(*group).agg(
+        F.count_if(F.col("stayed") == 0).alias("n"), F.sum("stayed").alias("kept")
+    )
+    return counts.select(*group, (F.col("n") - F.col("kept")).alias("purged"), "kept")
+
+
 def purge_requests(versions: DataFrame, asked: DataFrame, keep: int = KEEP_VERSIONS) -> DataFrame:
     """What a purge of each report asked for does: `purged` and `kept` of its group, or
     the `error` that there is no such report."""

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter, Row, SparkSession, t
 
 from bindery.operators.chain import active_versions
 from bindery.schemas import KEY3, VERSIONS
+from bindery.session import compressed
 
 #: Choose buckets so that one holds some 100,000 active versions.
 BUCKETS, DELTAS = 16, 32
@@ -47,15 +48,24 @@ _PLACED = T.StructType(
 )
 
 
-def for_lookups(rows: DataFrame, row_group: int = ROW_GROUP) -> DataFrameWriter:
+def _sorted(rows: DataFrame, folder: str | None) -> DataFrameWriter:
+    """Writer of rows sorted by report id, below folders named by a column if given.
+    The one sort begins with that column, so the writer need not sort again."""
+    folders = [folder] if folder else []
+    rows = rows.sortWithinPartitions(*folders, "report_id", "version")
+    return compressed(rows.write).mode("overwrite").partitionBy(*folders)
+
+
+def for_lookups(
+    rows: DataFrame, folder: str | None = None, row_group: int = ROW_GROUP
+) -> DataFrameWriter:
     """Writer of version rows that serves point lookups.
 
     Sorted by report id within each file, so its row groups have narrow ranges,
     with Bloom filters for equality on the report id and the parts of KEY3. A
     lookup reads the row groups that may hold what it asks for.
     """
-    writer = rows.sortWithinPartitions("report_id", "version").write.mode("overwrite")
-    writer = writer.option("parquet.block.size", row_group)
+    writer = _sorted(rows, folder).option("parquet.block.size", row_group)
     for column in LOOKED_UP:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer = writer.option(f"parquet.bloom.filter.adaptive.enabled#{column}", "true")
@@ -88,7 +98,8 @@ class CurrentState:
         rows = rows.select(*VERSIONS.fieldNames(), bucket_of(buckets).alias("bucket"))
         rows = rows.repartition("bucket")
         path = f"{self._path(epoch)}/batch_id={batch_id}"
-        for_lookups(rows).partitionBy("bucket").parquet(path)
+        # Read by whole buckets and never by an equality, so without Bloom filters.
+        _sorted(rows, "bucket").parquet(path)
 
     def add(self, versions: DataFrame, batch_id: str) -> None:
         """The delta of a batch; replaces what an earlier try has written."""

@@ -35,8 +35,8 @@ from bindery.functions.text import utc_now
 from bindery.operators import blobs as blob_ops, retention
 from bindery.operators.chain import active_versions, audit_feed, with_successor
 from bindery.plans.current import BUCKETS, DELTAS, CurrentState, for_lookups
-from bindery.schemas import AUDIT, BLOBS, OUTCOMES, VERSIONS
-from bindery.session import written
+from bindery.schemas import AUDIT, BLOBS, KEY3, OUTCOMES, VERSIONS
+from bindery.session import compressed, written
 
 _BATCH = [T.StructField("batch_id", T.StringType(), True)]
 _REFS = T.StructType(
@@ -98,10 +98,11 @@ class Registry:
 
     def _write_audit(self, batch_id: str) -> None:
         path = f"{self._versions_path(self.generation())}/batch_id={batch_id}"
-        made = audit_feed(self.spark.read.schema(VERSIONS).parquet(path))
+        missing = audit_feed(self.spark.read.schema(VERSIONS).parquet(path))
         there = self.audit().where(F.col("batch_id") == batch_id)
-        missing = made.join(there, ["report_id", "version", "action"], "left_anti")
-        missing.select(*AUDIT.fieldNames()).write.mode("append").parquet(
+        if not there.isEmpty():  # only after a break; as a rule entries are made map-only
+            missing = missing.join(there, ["report_id", "version", "action"], "left_anti")
+        compressed(missing.select(*AUDIT.fieldNames()).write).mode("append").parquet(
             f"{self.root}/audit/batch_id={batch_id}"
         )
         self._mark("audited", batch_id)
@@ -189,7 +190,8 @@ class Registry:
         return self._read(f"{self.root}/dead_blobs", T.StructType(BLOBS.fields[:1]))
 
     def append_blobs(self, rows: DataFrame, batch_id: str) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/blobs/batch_id={batch_id}")
+        path = f"{self.root}/blobs/batch_id={batch_id}"
+        compressed(rows.write).mode("overwrite").parquet(path)
         if not self._dead().where(F.col("batch_id") == batch_id).isEmpty():
             none = self.spark.createDataFrame([], T.StructType(BLOBS.fields[:1]))
             none.write.mode("overwrite").parquet(f"{self.root}/dead_blobs/batch_id={batch_id}")
@@ -199,10 +201,8 @@ class Registry:
         for_lookups(rows).parquet(path)
         stored = self.spark.read.schema(VERSIONS).parquet(path)
         self.current.add(stored, batch_id)
-        self._count_refs(stored, f"{self.root}/refs/batch_id={batch_id}")
-
-    def _count_refs(self, versions: DataFrame, path: str) -> None:
-        counts = blob_ops.references(versions).groupBy("blob_id").agg(F.count("*").alias("n"))
+        counts = blob_ops.references(stored).groupBy("blob_id").agg(F.count("*").alias("n"))
+        path = f"{self.root}/refs/batch_id={batch_id}"
         counts.select(*_REFS.fieldNames()).write.mode("overwrite").parquet(path)
 
     def ledger(self) -> DataFrame:
@@ -228,7 +228,7 @@ class Registry:
             for f in OUTCOMES
         ]
         path = f"{self.root}/outcomes/batch_id={batch_id}"
-        rows.select(*columns).write.mode("overwrite").parquet(path)
+        compressed(rows.select(*columns).write).mode("overwrite").parquet(path)
 
     def outcomes(self, batch_id: str | None = None) -> DataFrame:
         rows = self._of_ended(self._read(f"{self.root}/outcomes", OUTCOMES))
@@ -249,7 +249,9 @@ class Registry:
         """Apply a retention rule: by age if `max_age_days` is given, otherwise by
         number, for all groups or those of the given reports. Blobs that no version
         refers to any more are collected."""
-        marked = written(with_successor(self.versions()), "marked")
+        # A plan goes by these columns; the rest of a version stays where it is.
+        slim = self.versions().select(*retention.ROW_ID, *KEY3, "uploaded_at")
+        marked = written(with_successor(slim), "marked")
         if max_age_days:
             plan = retention.purge_by_age(marked, utc_now(), max_age_days)
         else:
@@ -266,24 +268,25 @@ class Registry:
         Survivors go to a new generation, which counts from the moment its
         number is written. A dry run writes nothing.
         """
-        versions = with_successor(self.versions())
-        counts = retention.purge_counts(versions, plan)
         if dry_run:
-            return counts
+            return retention.purge_counts(self.versions(), plan)
         self.recover()
         current = self.generation()
-        stay = retention.survivors(self.versions(), plan)
+        old = self.versions()
         target = self._versions_path(current + 1)
-        for_lookups(stay).partitionBy("batch_id").parquet(target)
-        planned = plan.select("report_id", "version")
-        taken = self.versions().join(planned, ["report_id", "version"], "left_semi")
-        self._count_refs(taken, f"{self.root}/unrefs/generation={current + 1}")
+        for_lookups(retention.survivors(old, plan), "batch_id").parquet(target)
+        stay = self._of_ended(self._read(target, VERSIONS))
+        # What went is the difference of two counts, so no row is joined for it.
+        refs = [(blob_ops.references(old), 1), (blob_ops.references(stay), -1)]
+        both = [rows.select("blob_id", F.lit(n).cast("long").alias("n")) for rows, n in refs]
+        taken = both[0].union(both[1]).groupBy("blob_id").agg(F.sum("n").alias("n")).where("n > 0")
+        taken.select(*_REFS.fieldNames()).write.mode("overwrite").parquet(
+            f"{self.root}/unrefs/generation={current + 1}"
+        )
         pointer = self.spark.range(1).select(F.lit(current + 1).alias("generation"))
         pointer.write.mode("append").parquet(f"{self.root}/generations")
         self._fold()
-        old = self._of_ended(self._read(self._versions_path(current), VERSIONS))
-        gone = retention.survivors(old, self.versions())
-        return retention.purge_counts(with_successor(old), gone)
+        return retention.counts_between(old, stay)
 
     def collect_blobs(self) -> None:
         """Take blobs that nobody refers to out of the registry.

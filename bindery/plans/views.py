@@ -19,7 +19,7 @@ from bindery.operators.patch import resolve_keys
 from bindery.operators.route import route, version_rows
 from bindery.plans.current import for_lookups
 from bindery.schemas import KEY4
-from bindery.session import fresh_path
+from bindery.session import compressed, fresh_path
 from bindery.sources.inline import build_payload
 
 _stored: dict[tuple[str, str, str], str] = {}
@@ -40,7 +40,7 @@ def stored(
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
         path = fresh_path(spark, name)
-        build().write.mode("overwrite").parquet(path)
+        compressed(build().write).mode("overwrite").parquet(path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
 
