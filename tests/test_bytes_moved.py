@@ -13,14 +13,17 @@ from bindery.session import fresh_path, written
 
 SF_DIR = "/root/testdata/sf0.001"
 
+
 def stored(spark, batch_id="a"):
     reg = Registry(spark, fresh_path(spark, "registry"))
     ingest(reg, views.as_bundles(views.submissions(spark, SF_DIR)).where("seq < 300"), batch_id)
     return reg
 
+
 def counted(df):
     return sorted(map(tuple, df.select("csi_id", "region", "regulation", "purged", "kept").collect()))
 
+
 def test_clean_plans_with_narrow_rows(spark, monkeypatch):
     columns = {}
 
@@ -35,6 +38,7 @@ def test_clean_plans_with_narrow_rows(spark, monkeypatch):
     assert not columns["marked"] & {"checksums", "file_contents", "original_files", "change"}
     assert not columns["plan"] & {"checksums", "file_contents", "original_files", "change"}
 
+
 def test_purge_returns_the_counts_of_a_join(spark):
     reg = stored(spark)
     before = written(with_successor(reg.versions()), "before")
@@ -47,6 +51,7 @@ def test_purge_returns_the_counts_of_a_join(spark):
     ledger = {tuple(r) for r in reg.ledger().where("refs > 0").collect()}
     assert ledger == {tuple(r) for r in refs.collect()}
 
+
 def test_audit_entries_are_joined_only_after_a_break(spark, monkeypatch):
     on = []
     kind = type(spark.range(1))
@@ -66,6 +71,7 @@ def test_audit_entries_are_joined_only_after_a_break(spark, monkeypatch):
     assert entry in on
     assert sorted(map(str, reg.audit().select(*entry).collect())) == want
 
+
 def test_tables_are_compressed_and_sorted_within_folders(spark):
     reg = stored(spark)
     reg.clean(keep=1)
