@@ -238,6 +238,11 @@ class Registry:
         """Every audit entry ever made, whatever has been purged since."""
         return self._read(f"{self.root}/audit", AUDIT)
 
+    def marked(self) -> DataFrame:
+        """What a retention plan goes by: the identity, KEY3, age and `active` of each
+        version. The rest of a version stays where it is."""
+        return with_successor(self.versions().select(*retention.ROW_ID, *KEY3, "uploaded_at"))
+
     def clean(
         self,
         keep: int = retention.KEEP_VERSIONS,
@@ -249,9 +254,7 @@ class Registry:
         """Apply a retention rule: by age if `max_age_days` is given, otherwise by
         number, for all groups or those of the given reports. Blobs that no version
         refers to any more are collected."""
-        # A plan goes by these columns; the rest of a version stays where it is.
-        slim = self.versions().select(*retention.ROW_ID, *KEY3, "uploaded_at")
-        marked = written(with_successor(slim), "marked")
+        marked = written(self.marked(), "marked")
         if max_age_days:
             plan = retention.purge_by_age(marked, utc_now(), max_age_days)
         else:

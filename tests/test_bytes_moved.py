@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 
 from bindery.operators import blobs as blob_ops, retention
 from bindery.operators.chain import audit_feed, with_successor
-from bindery.plans import registry as registry_module, views
+from bindery.plans import catalog, registry as registry_module, views
 from bindery.plans.ingest import ingest
 from bindery.plans.registry import Registry
 from bindery.session import fresh_path, written
@@ -84,3 +84,16 @@ def test_tables_are_compressed_and_sorted_within_folders(spark):
         for f in glob.glob(f"{reg.root}/{table}/**/*.parquet", recursive=True):
             ids = pq.ParquetFile(f).read(["report_id"])["report_id"].to_pylist()
             assert ids == sorted(ids)
+
+
+def test_the_ledger_query_plans_with_narrow_rows(spark, monkeypatch):
+    columns = {}
+
+    def spy(df, label):
+        columns[label] = set(df.columns)
+        return written(df, label)
+
+    monkeypatch.setattr(catalog, "written", spy)
+    assert catalog.queries()["blob_ledger"](spark, SF_DIR).count() > 0
+    assert {"report_id", "version", "active"} <= columns["plan"]
+    assert not columns["plan"] & {"checksums", "file_contents", "original_files", "change"}
