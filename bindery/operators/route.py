@@ -145,6 +145,15 @@ MODIFY_FAILED, CORRUPT = "Modify failed for report_id='", "': Corrupt record rep
 CORRUPT_FILE, CORRUPT_END = "': missing ", "_id in file_contents"
 
 
+def _lacks(file_type: str) -> F.Column:
+    return F.col(f"file_contents.{file_type}_id").isNull()
+
+
+def lacking() -> F.Column:
+    """Whether a stored version has no config or no SQL."""
+    return _lacks(FILE_TYPES[0]) | _lacks(FILE_TYPES[1])
+
+
 def corrupt(bundles: DataFrame, active: DataFrame) -> DataFrame:
     """seq, report_id, error of bundles that would carry over a file that the stored
     version doesn't have.
@@ -155,8 +164,8 @@ def corrupt(bundles: DataFrame, active: DataFrame) -> DataFrame:
     bundle is skipped before its files are looked at.
     """
     parts = dict(zip(("json", "sql", "tpl"), FILE_TYPES))
-    lacks = {s: F.col(f"file_contents.{parts[s]}_id").isNull() for s in ("json", "sql")}
-    bad = active.where(lacks["json"] | lacks["sql"]).select(
+    lacks = {s: _lacks(parts[s]) for s in ("json", "sql")}
+    bad = active.where(lacking()).select(
         *KEY4[:3], F.col("original_files.json_config").alias("json_name"),
         F.col("report_id").alias("_report"),
         *[lacks[s].alias(f"_no_{s}") for s in lacks],

@@ -12,7 +12,7 @@ from bindery.operators.facts import content_facts, file_facts
 from bindery.operators.mixed import BUNDLE, mixed, mixed_versions
 from bindery.operators.ordered import SEGMENT_ROWS
 from bindery.operators.patch import patch, patched_versions, resolve_keys
-from bindery.operators.route import corrupt, create_only, route, version_rows
+from bindery.operators.route import corrupt, create_only, lacking, route, version_rows
 from bindery.operators.validate import manifest_outcomes, validate
 from bindery.plans.registry import Registry
 from bindery.schemas import FAILED, KEY3, UPDATED
@@ -65,7 +65,13 @@ def _refuse_repeats(checked: DataFrame) -> DataFrame:
 
 
 def _refuse_corrupt(checked: DataFrame, active: DataFrame) -> DataFrame:
-    """Bundles that would carry over a file the stored version lacks fail."""
+    """Bundles that would carry over a file the stored version lacks fail.
+
+    `active` had better be stored: as a rule nothing in it lacks a file, and then
+    the bundles aren't looked at.
+    """
+    if active.where(lacking()).isEmpty():
+        return checked
     broken = written(corrupt(checked.where("valid"), active), "corrupt")
     if broken.isEmpty():
         return checked
@@ -116,7 +122,7 @@ def ingest(
     known = checked.drop("seq") if "source" in checked.columns else checked
     if registry.begin(batch_id, known):
         return registry.outcomes(batch_id)
-    active = registry.active(before=batch_id, touching=checked)
+    active = written(registry.active(before=batch_id, touching=checked), "active")
     checked = _refuse_corrupt(checked, active)
     carry, identity = (), "seq"
     if "source" in checked.columns:  # known by its place, not by a number of ours

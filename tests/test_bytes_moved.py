@@ -3,12 +3,15 @@
 import glob
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from bindery.operators import blobs as blob_ops, retention
 from bindery.operators.chain import audit_feed, with_successor
-from bindery.plans import catalog, registry as registry_module, views
+from bindery.operators.route import corrupt
+from bindery.plans import catalog, ingest as ingest_module, registry as registry_module, views
 from bindery.plans.ingest import ingest
 from bindery.plans.registry import Registry
+from bindery.schemas import FILE_TYPES
 from bindery.session import fresh_path, written
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -97,3 +100,27 @@ def test_the_ledger_query_plans_with_narrow_rows(spark, monkeypatch):
     assert catalog.queries()["blob_ledger"](spark, SF_DIR).count() > 0
     assert {"report_id", "version", "active"} <= columns["plan"]
     assert not columns["plan"] & {"checksums", "file_contents", "original_files", "change"}
+
+
+def test_bundles_are_searched_for_lost_files_only_if_a_version_lacks_one(spark, monkeypatch):
+    asked = []
+
+    def spy(bundles, active):
+        asked.append(active)
+        return corrupt(bundles, active)
+
+    monkeypatch.setattr(ingest_module, "corrupt", spy)
+    reg = stored(spark)
+    more = views.as_bundles(views.submissions(spark, SF_DIR)).where("seq >= 300")
+    ingest(reg, more, "b")
+    assert not asked
+    ids = [F.col(f"file_contents.{f}_id") for f in FILE_TYPES]
+    ids[1] = F.lit(None).cast("string")
+    names = [f"{f}_id" for f in FILE_TYPES]
+    lost = F.struct(*[c.alias(n) for c, n in zip(ids, names, strict=True)])
+    active = written(reg.active().withColumn("file_contents", lost), "active")
+    checked = ingest_module._checked(more, "inline", False)
+    want = {r.seq for r in corrupt(checked.where("valid"), active).collect()}
+    judged = ingest_module._refuse_corrupt(checked, active)
+    assert asked and want
+    assert {r.seq for r in judged.where("error LIKE '%Corrupt record%'").collect()} == want
