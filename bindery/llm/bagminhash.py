@@ -10,16 +10,19 @@ So a process ends as soon as it is later than what any register needs, and
 most shingles end at their first point.
 
 Signatures are cut into bands. Documents that share a band are candidates, and
-the overlap of their multisets is then computed exactly.
+the overlap of their multisets is then computed exactly. Where blocks hold many that
+are not similar, sketches of the multisets tell most of these pairs before.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bindery.llm.blocks import (
     mix, ngram_hashes, normalised, offsets, signed, sliced, split_words, word_hashes,
@@ -34,6 +37,8 @@ SIMILAR = 0.8
 BANDS, BAND_ROWS = 20, 5
 #: Bytes of text that are signed or compared at once; about a hundred times as much memory.
 BLOCK = 3 << 20
+#: 64-bit words of a sketch: with 16 it tells pairs of documents of up to some 1500 words.
+SKETCH = 16
 #: The first time limit leaves a register empty with probability exp(-SLACK).
 SLACK = 5.0
 
@@ -158,6 +163,52 @@ def overlaps(pairs: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
             )
 
 
+def parities(grams: np.ndarray, owners: np.ndarray, count: int) -> np.ndarray:
+    """count x SKETCH words: of each bit, whether an odd number of a text's shingles fall on it.
+
+    Each shingle that one of two multisets has more often flips one bit, so no more
+    bits differ than the multisets do.
+    """
+    place = mix(grams) >> np.uint64(32)
+    word = owners * SKETCH + (place % np.uint64(SKETCH)).astype(np.int64)
+    out = np.zeros(count * SKETCH, np.uint64)
+    np.bitwise_xor.at(out, word, np.uint64(1) << (place >> np.uint64(26)))
+    return out.reshape(count, SKETCH)
+
+
+def sketched(texts: DataFrame, n: int) -> DataFrame:
+    """node, sketch (parities), total (shingles) for each row of (cls, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", BLOCK):
+            grams, owners = shingles(batch.column("text"), n)
+            sketch = parities(grams, owners, batch.num_rows)
+            ends = pa.array(np.arange(batch.num_rows + 1) * SKETCH, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("cls"),
+                    pa.ListArray.from_arrays(ends, pa.array(signed(sketch.ravel()))),
+                    pa.array(np.bincount(owners, minlength=batch.num_rows)),
+                ],
+                names=["node", "sketch", "total"],
+            )
+
+    return texts.mapInArrow(run, "node binary, sketch array<long>, total long")
+
+
+def may_be_similar(similar: float) -> Column:
+    """Whether the sketches of a pair leave it possible.
+
+    With a weighted Jaccard similarity s, multisets of A and B shingles have
+    (A + B) * s / (1 + s) in common, so they differ in (A + B) * (1 - s) / (1 + s).
+    """
+    apart = [
+        F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(SKETCH)
+    ]
+    most = (F.col("a_total") + F.col("b_total")) * ((1 - similar) / (1 + similar)) + 1e-6
+    return functools.reduce(operator.add, apart) <= most
+
+
 def banded(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """cls, keys for each row of (cls, text) whose text has words."""
 
@@ -222,7 +273,9 @@ def groups(
             F.col("similarity") >= similar
         )
 
-    found = linked(blocks, verify, "bagminhash")
+    found = linked(
+        blocks, verify, "bagminhash", lambda: sketched(held[0], n), may_be_similar(similar)
+    )
     return (
         rows.select(*KEY, "doc_id", "cls")
         .join(found, F.col("cls") == F.col("node"), "left")

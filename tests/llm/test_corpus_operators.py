@@ -104,6 +104,49 @@ def test_linking_equals_all_pairs(spark):
     assert len(tested) <= len(pairs)
 
 
+def test_a_block_with_few_links_needs_no_square_of_pairs(spark):
+    """A tenth of the pairs of one large block hold: hubs find the component, not all pairs."""
+    size, tested = 300, set()
+    links = {p for p in combinations(range(size), 2) if random.Random(p[0] * size + p[1]).random() < 0.1}
+
+    def verify(pairs):
+        rows = [tuple(sorted((r.a, r.b))) for r in pairs.select("a", "b").collect()]
+        tested.update(rows)
+        return spark.createDataFrame([p for p in rows if p in links], "a long, b long")
+
+    df = spark.createDataFrame([(1, n) for n in range(size)], "key long, node long")
+    got = {r.node: r.root for r in linking.linked(df, verify, "test").collect()}
+    assert got == plain_components(links)
+    assert len(tested) <= size * size / 2 / 3
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_sketches_hide_no_pair(spark, monkeypatch, few):
+    """Numbers are linked if near; what sketches rule out is not verified."""
+    monkeypatch.setattr(linking, "FEW", few)
+    rng = random.Random(5)
+    blocks = sorted({(k, rng.randrange(400)) for k in range(6) for _ in range(60)})
+    tested = set()
+
+    def verify(pairs):
+        rows = pairs.select("a", "b").collect()
+        tested.update((r.a, r.b) for r in rows)
+        good = [(r.a, r.b) for r in rows if abs(r.a - r.b) <= 3]
+        return spark.createDataFrame(good, "a long, b long")
+
+    df = spark.createDataFrame(blocks, "key long, node long")
+    sketches = lambda: df.select("node", F.col("node").alias("at")).distinct()
+    near = F.abs(F.col("a_at") - F.col("b_at")) <= 5
+    got = linking.linked(df, verify, "test", sketches, near).collect()
+    by_key = {}
+    for k, n in blocks:
+        by_key.setdefault(k, set()).add(n)
+    pairs = {p for s in by_key.values() for p in combinations(sorted(s), 2)}
+    assert {r.node: r.root for r in got} == plain_components(p for p in pairs if p[1] - p[0] <= 3)
+    first = {(min(s), n) for s in by_key.values() for n in s}
+    assert all(abs(a - b) <= 5 for a, b in tested - first)
+
+
 # -- scoring ------------------------------------------------------------------
 
 
@@ -645,6 +688,21 @@ def test_signatures_estimate_weighted_jaccard():
         assert abs((a == b).mean() - want) < 4 * math.sqrt(want * (1 - want) / m) + 1e-9
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for size in (1, 30, 800):
+        a, b = rng.integers(0, 5, (2, size))
+        grams = rng.integers(0, 1 << 62, size).astype(np.uint64)
+        x, y = (
+            bagminhash.parities(np.repeat(grams, w), np.zeros(w.sum(), np.int64), 1) for w in (a, b)
+        )
+        differ = int(np.bitwise_count(x ^ y).sum())
+        assert differ <= np.abs(a - b).sum()
+        assert differ > 0 or (a == b).all() or size == 1
+    docs, owners = np.array([3, 4, 3], np.uint64), np.array([0, 0, 2])
+    assert np.bitwise_count(bagminhash.parities(docs, owners, 3)).sum(axis=1).tolist() == [2, 0, 1]
+
+
 def test_signatures_do_not_depend_on_company():
     keys = np.arange(50, dtype=np.uint64)
     weights = np.arange(50) % 7 + 1
