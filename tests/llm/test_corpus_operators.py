@@ -637,6 +637,23 @@ def test_bags_bound_the_edit_distance():
     assert max(line_dedup.bags(pa.array(["x" * 1000, ""])).to_pylist()[0]) == 127
 
 
+def test_pairs_that_only_share_letters_are_not_aligned():
+    """Edits within the limit always pass; other lines of the same letters don't."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(60):
+        line = random_line(rng, 40)
+        texts += [(line, changed(rng, line, 5)), (line, "".join(rng.sample(line, len(line))))]
+    x, y = (pa.array(side) for side in zip(*texts, strict=True))
+    most = pa.array([5 if i % 2 == 0 else len(t[0]) // 10 for i, t in enumerate(texts)], pa.int32())
+    rows = pa.RecordBatch.from_arrays([x, y, most], names=["x", "y", "most"])
+    kept = pa.Table.from_batches(line_dedup.alike([rows])).to_pylist()
+    assert [(r["x"], r["y"]) for r in kept if r["most"] == 5] == texts[::2]
+    assert len(kept) == 60
+    apart = np.abs(np.diff(np.array(line_dedup.bags(pa.array(["abcabc", "abcabd"]), 3, 1024).to_pylist()), axis=0))
+    assert apart.sum() <= 2 * 3
+
+
 def test_keys_of_odd_lines():
     odd = ["", "a", "word", "x" * 1000, "spam " * 500, "\U0001F600" * 50, "no grams!"]
     keys, starts = line_dedup.block_keys(pa.array(odd), 0.9)
