@@ -612,6 +612,39 @@ def test_recall_of_lines_with_changes_up_to_half_the_limit(words):
     assert met >= 0.9 * 300
 
 
+def scattered_edits(rng, line, edits):
+    out = list(line)
+    for _ in range(edits):
+        at = rng.randrange(len(out))
+        out[at : at + rng.randrange(2)] = rng.choice(["", "q", "z"])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("size", [10, 14, 18, 19, 20, 23, 26, 29])
+def test_short_lines_within_the_limit_always_meet(size):
+    """Every pair of two lines under 30 letters, one, two edits apart, shares a key."""
+    rng = random.Random(size)
+    texts = []
+    while len(texts) < 600:
+        line = "".join(rng.choice("abcde fghi 12") for _ in range(size)).strip()
+        other = scattered_edits(rng, line, rng.randrange(1, 3)).strip()
+        numbers = [[c for c in x if c.isdigit()] for x in (line, other)]
+        alike = line != other and numbers[0] == numbers[1] and similarity(line, other) >= 0.9
+        if alike and max(len(line), len(other)) < 30:
+            texts += [line, other]
+    keys, starts = line_dedup.block_keys(pa.array(texts), 0.9)
+    of = [set(keys[a:b].tolist()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    assert all(a & b for a, b in zip(of[::2], of[1::2], strict=True))
+
+
+def test_short_lines_with_a_typo_are_dropped(spark):
+    lines = ["Read the whole story", "read the hole story", "Alle Rechte vorbehalten", "Alle Rechte vorbehaltn",
+             "see page 12 of it", "see page 13 of it", "see page of it"]
+    docs = written(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "short")
+    got = line_dedup.deduplicated(docs).collect()
+    assert {r.doc_id for r in got if not r.text} == {1, 3}
+
+
 def test_an_edit_leaves_lanes_alone():
     """Pigeonholes: each lane that none of the changed n-grams is in is a shared key."""
     rng = random.Random(3)
