@@ -414,6 +414,30 @@ def test_a_chance_meeting_with_the_first_document_hides_no_pair(spark):
     assert {(11, 10), (12, 10)} <= pairs
 
 
+def test_an_extension_ends_where_the_texts_part():
+    a = np.arange(100, dtype=np.uint32)
+    b = np.concatenate([a[:40], a[:60] + 1000]).astype(np.uint32)
+    assert chaining.extension(a, b) == (40, 40, False)
+    assert chaining.extension(a[:30], b[:30]) == (30, 30, True)
+    assert chaining.extension(a, a + 1000) == (0, 0, False)
+    assert chaining.extension(a[:2], a[:2] + 1000) == (0, 0, True)
+    assert chaining.extension(a[:0], b) == (0, 0, True)
+
+
+def test_passages_of_one_seed_reach_as_far_as_they_go(spark):
+    """A window of 400 5-mers leaves these 300 words a seed or two."""
+    rng = random.Random(31)
+    passage = sentence(rng, 300)
+    rows = [(d, f"{sentence(rng, 60)} {passage} {sentence(rng, 60)}") for d in range(3)]
+    one_file = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = chaining.passages(written(one_file, "docs"), window=400).collect()
+    assert any(r.words >= 300 for r in found)
+    assert len({tuple(r) for r in found}) == len(found)
+    for r in found:
+        words, other = words_of(rows[r.doc_id][1]), words_of(rows[r.of_doc_id][1])
+        assert r.identity < 1 or words[r.start : r.end] == other[r.of_start : r.of_end]
+
+
 def test_exact_copies_are_whole_passages(spark, docs):
     copies = docs.groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("d"))
     rows = chaining.passages(docs).collect()
